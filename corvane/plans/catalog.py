@@ -1,0 +1,4 @@
+"""The queries over the supplied tables, by name, and the SQL that gives the same rows."""
+
+QUERIES = {}
+ORACLES = {}
