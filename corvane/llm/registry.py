@@ -1,10 +1,15 @@
 """The queries of this package, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, language_id, quality_rules
+from . import byte_bpe, decontaminate, knn_quality, language_id, license_scan, ngram_lm, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.verdicts,
+    "op2_decontaminate": decontaminate.query,
+    "op3_simhash": simhash.query,
+    "op4_license_scan": license_scan.query,
+    "op5_ngram_lm": ngram_lm.query,
     "op6_language_id": language_id.predicted,
     "op9_byte_bpe": byte_bpe.digests,
+    "op10_knn_quality": knn_quality.query,
 }
 ORACLES: dict[str, str] = {}
