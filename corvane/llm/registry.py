@@ -1,6 +1,6 @@
 """The queries of this package, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, decontaminate, knn_quality, language_id, license_scan, ngram_lm, quality_rules, simhash
+from . import byte_bpe, decontaminate, knn_quality, language_id, license_scan, ngram_lm, passage_dedup, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.verdicts,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_license_scan": license_scan.query,
     "op5_ngram_lm": ngram_lm.query,
     "op6_language_id": language_id.predicted,
+    "op7_suffix_dedup": suffix_dedup.query,
+    "op8_passage_dedup": passage_dedup.query,
     "op9_byte_bpe": byte_bpe.digests,
     "op10_knn_quality": knn_quality.query,
 }
