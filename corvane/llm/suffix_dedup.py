@@ -86,7 +86,7 @@ def cut(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.nda
 
 
 def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The order of all suffixes by their first `length` bytes or more, by doubling; and the ranks by prefix length."""
+    """The order of all suffixes by their first `length` symbols or more, by doubling; and the ranks by prefix length."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, data.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -148,7 +148,7 @@ def intervals(order: np.ndarray, prefixes: np.ndarray, length: int) -> Iterator[
 
 
 def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, start)]) of each maximal repeat of the texts of at least `length` bytes, lengths up to LENGTH doubled a few times.
+    """(length, [(text, start)]) of each maximal repeat of the texts of at least `length` bytes, with all of its places.
 
     Neighbouring texts are kept apart by symbols of their own, so no repeat crosses them.
     """
@@ -158,7 +158,7 @@ def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tup
         owner.append(np.full(len(t) + 1, i))
         place.append(np.arange(len(t) + 1))
     data, owner, place = np.concatenate(parts), np.concatenate(owner), np.concatenate(place)
-    order, levels = suffix_array(data, length)
+    order, levels = suffix_array(data, max(map(len, texts)))
     left = np.concatenate(([0], data[:-1]))
     left[place == 0] = 1 << 40  # the start of a text has nothing in common with any other left
     prefixes = common_prefixes(data, order, levels)
