@@ -8,9 +8,9 @@ carried from word to word and the logarithms added up; its end is a word, too.
 
 The model grows with the corpus, so it's neither broadcast nor brought to the driver. Documents are dealt out to
 parts of a bounded size. Each part asks for the words and bigrams it has, as sorted blocks of 64-bit keys; the
-tasks that hold a range of keys add up their counts and answer every part with the totals of its own, from which
-the part builds the automaton its texts can reach. (Two of n different bigrams share a key with a probability
-of about n squared over 2^65.)
+tasks that hold a range of keys add up their counts and answer every part with the totals of its own, in the order
+of its keys, from which the part builds the automaton its texts can reach. It is one job, which shuffles texts and
+keys once each. (Two of n different bigrams share a key with a probability of about n squared over 2^57.)
 
 Null texts are empty: an end only. Repeated rows train and are scored as often as they are there. With nothing to
 train on, p(w) is 1 for every word and all scores are 0.
@@ -72,7 +72,29 @@ class Block:
     def bigram_keys(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
         key = (self.keys[before] * _MIX) ^ self.keys[words]
         key = (key ^ (key >> np.uint64(31))) * _MIX
-        return key ^ (key >> np.uint64(29))
+        return key >> np.uint64(8) << np.uint64(8)  # 56 bits are moved
+
+
+class Request:
+    """What a part asks for: its words' and its bigrams' keys, sorted, and where each range of keys ends."""
+
+    def __init__(self, block: Block, parts: int):
+        self.pairs, self.inverse = np.unique(block.before * block.size + block.words, return_inverse=True)
+        shown = np.flatnonzero(np.arange(block.size) != 1)  # the start is no word
+        self.numbers, self.keys, self.ends = {}, {}, {}
+        for order, own, keys in ((1, shown, block.keys[shown]), (2, np.arange(len(self.pairs)), block.bigram_keys(self.pairs // block.size, self.pairs % block.size))):
+            turn = np.argsort(keys)
+            self.numbers[order], self.keys[order] = own[turn], keys[turn]
+            inner = np.searchsorted(self.keys[order], np.array([(k << 64) // parts for k in range(1, parts)], np.uint64))
+            self.ends[order] = list(enumerate(zip([0, *inner.tolist()], [*inner.tolist(), len(keys)])))
+
+
+_BLOCKS = "part int, order int, bucket int, keys binary, counts binary, types long, tokens long"
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], ["part", "order", "bucket", "keys", "counts", "types", "tokens"])
 
 
 def _ask(parts: int):
@@ -80,45 +102,29 @@ def _ask(parts: int):
         part = group.column("part")[0].as_py()
         block = Block(group.column("text").cast(pa.large_binary()).to_pylist())
         train = np.repeat(np.array([not x for x in group.column("held_out").to_pylist()]), block.lengths)
-        uni = np.bincount(block.words, weights=train, minlength=block.size).astype(np.uint32)
-        pairs, inverse = np.unique(block.before * block.size + block.words, return_inverse=True)
-        bi = np.bincount(inverse, weights=train, minlength=len(pairs)).astype(np.uint32)
-        shown = np.ones(block.size, bool)
-        shown[1] = False
-        shown[0] = len(block.words) > 0
+        request = Request(block, parts)
+        counts = {1: np.bincount(block.words, weights=train, minlength=block.size), 2: np.bincount(request.inverse, weights=train, minlength=len(request.pairs))}
         rows = []
-        for order, keys, counts in ((1, block.keys[shown], uni[shown]), (2, block.bigram_keys(pairs // block.size, pairs % block.size), bi)):
-            turn = np.argsort(keys)
-            keys, counts = keys[turn], counts[turn]
-            edges = np.searchsorted(keys, np.array([(b << 64) // parts for b in range(1, parts)], np.uint64))
-            for bucket, (a, b) in enumerate(zip([0, *edges], [*edges, len(keys)])):
-                if b > a:
-                    rows.append((part, order, bucket, pack(_steps(keys[a:b])), pack(counts[a:b])))
-        names = ("part", "order", "bucket", "keys", "counts")
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], list(names))
+        for order in (1, 2):
+            own = counts[order][request.numbers[order]].astype(np.uint32)
+            rows += [(part, order, bucket, pack(_steps(request.keys[order][a:b])), pack(own[a:b]), None, None) for bucket, (a, b) in request.ends[order] if b > a]
+        return _table(rows)
 
     return run
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """To each part the totals of the keys it asked for that training has; one row for part -1 with the types and tokens."""
+    """To each part the totals of the keys it asked for; one row for part -1 with the types and tokens of the range."""
     order, bucket = group.column("order")[0].as_py(), group.column("bucket")[0].as_py()
-    parts = group.column("part").to_pylist()
     asked = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in group.column("keys").to_pylist()]
     counts = [unpack(x, np.uint32) for x in group.column("counts").to_pylist()]
     keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.uint64)
-    rows = [(-1, order, bucket, b"", pack(np.array([np.count_nonzero(totals), totals.sum()], np.uint64)))]
-    at = 0
-    for part, own in zip(parts, asked):
-        found = totals[inverse[at : at + len(own)]]
+    rows, at = [(-1, order, bucket, None, None, int(np.count_nonzero(totals)), int(totals.sum()))], 0
+    for part, own in zip(group.column("part").to_pylist(), asked):
+        rows.append((part, order, bucket, None, pack(np.minimum(totals[inverse[at : at + len(own)]], 2**32 - 1).astype(np.uint32)), None, None))
         at += len(own)
-        known = found > 0
-        if known.any():
-            rows.append((part, order, bucket, pack(_steps(own[known])), pack(np.minimum(found[known], 2**32 - 1).astype(np.uint32))))
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", "order", "bucket", "keys", "counts"])
+    return _table(rows)
 
 
 class Automaton:
@@ -136,7 +142,7 @@ class Automaton:
         return total
 
 
-def _scorer(tokens: int, types: int, prior: float):
+def _scorer(parts: int, prior: float):
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
@@ -144,26 +150,19 @@ def _scorer(tokens: int, types: int, prior: float):
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], columns)
         block = Block(docs.column("text").cast(pa.large_binary()).to_pylist())
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        request = Request(block, parts)
+        types, tokens = answers.column("all_types")[0].as_py(), answers.column("all_tokens")[0].as_py()
+        totals = {1: np.zeros(block.size), 2: np.zeros(len(request.pairs))}
+        answered = {(o, b): c for o, b, c in zip(*(answers.column(n).to_pylist() for n in ("order", "bucket", "counts")))}
         for order in (1, 2):
-            own = answers.filter(pa.compute.equal(answers.column("order"), order)).sort_by("bucket")
-            keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in own.column("keys").to_pylist()]
-            counts = [unpack(x, np.uint32) for x in own.column("counts").to_pylist()]
-            known[order] = (np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-
-        def look_up(order: int, wanted: np.ndarray) -> np.ndarray:
-            keys, counts = known[order]
-            if not len(keys):
-                return np.zeros(len(wanted))
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, counts[at], 0).astype(float)
-
-        count = look_up(1, block.keys)
+            for bucket, (a, b) in request.ends[order]:
+                if b > a:
+                    totals[order][request.numbers[order][a:b]] = unpack(answered[order, bucket], np.uint32)
+        count, seen = totals[1], totals[2]
         count[1] = count[0]  # as many starts as ends
         p = (count + 1) / (tokens + types + 1)
-        pairs = np.unique(block.before * block.size + block.words)
+        pairs = request.pairs
         before, words = pairs // block.size, pairs % block.size
-        seen = look_up(2, block.bigram_keys(before, words))
         own = seen > 0
         weights = np.log10((seen[own] + prior * p[words[own]]) / (count[before[own]] + prior))
         root = np.log10(p)
@@ -185,15 +184,11 @@ def score(docs: DataFrame, prior: float = PRIOR, part_bytes: int = PART_BYTES) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"))
-    blocks = "part int, order int, bucket int, keys binary, counts binary"
-    asked = dealt.groupBy("part").applyInArrow(_ask(parts), blocks)
-    answers = common.durable(asked.groupBy("order", "bucket").applyInArrow(_answer, blocks))
-    types = tokens = 0
-    for row in answers.where("part = -1 and order = 1").select("counts").toLocalIterator():  # two numbers for each range of keys
-        found = unpack(bytes(row["counts"]), np.uint64)
-        types, tokens = types + int(found[0]), tokens + int(found[1])
+    answers = dealt.groupBy("part").applyInArrow(_ask(parts), _BLOCKS).groupBy("order", "bucket").applyInArrow(_answer, _BLOCKS)
+    whole = answers.where("part = -1 and order = 1").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("all_types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))  # one row
+    replies = answers.where("part >= 0").select("part", "order", "bucket", "counts").crossJoin(F.broadcast(whole))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(_scorer(tokens, types, prior), out)
+    return dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_scorer(parts, prior), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
