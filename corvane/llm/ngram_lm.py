@@ -31,7 +31,7 @@ from . import common
 #: The weight of the prior, in words.
 PRIOR = 30.0
 #: Text of a part, in bytes.
-PART_BYTES = 12 << 20
+PART_BYTES = 5 << 20
 _END, _START = b" end", b" start"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
