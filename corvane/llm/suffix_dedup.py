@@ -174,12 +174,27 @@ def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tup
     return found
 
 
+def _company(texts: list[bytes], length: int) -> list[int]:
+    """The texts that have a string of `length` bytes whose rolling hash is there twice: all that have a repeat."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.concatenate(([1], np.full(len(data), _MIX, np.uint64))).astype(np.uint64))
+        sums = np.concatenate(([0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
+        starts = np.concatenate([np.arange(a, a + len(t) - length + 1) for a, t in zip(common.segments(np.array([len(t) for t in texts])), texts)])
+        # every hash is brought to the same power, that of the last start
+        hashes = (sums[starts + length] - sums[starts]) * powers[len(data) - starts]
+    owner = np.repeat(np.arange(len(texts)), [len(t) - length + 1 for t in texts])
+    _, inverse, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    return np.unique(owner[often[inverse] > 1]).tolist()
+
+
 def _covered(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """The stretches of each text that lie in repeats, from their maximal repeats."""
+    """The stretches of each text that lie in repeats, from the maximal repeats of those texts that have any."""
     marks: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for depth, places in maximal_repeats(texts, length):
+    own = _company(texts, length)
+    for depth, places in maximal_repeats([texts[i] for i in own], length) if own else ():
         for text, start in places:
-            marks[text].append((start, start + depth))
+            marks[own[text]].append((start, start + depth))
     return [_merge(m) for m in marks]
 
 
@@ -269,15 +284,46 @@ def _compare(length: int):
     return run
 
 
-def _strings(length: int):
-    """(class, start, hash) of each string of the classes."""
+def _strings(length: int, parts: int):
+    """The hashes of all strings of the classes, dealt out by hash: (bucket, classes, owner, start, hash), the last three packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
-                view = memoryview(data)
-                n = len(data) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.binary()), pa.array(np.arange(n)), pa.array([xxhash.xxh3_128_digest(view[i : i + length]) for i in range(n)], pa.binary())], ["class", "start", "hash"])
+            for piece in range(0, batch.num_rows, 2000):
+                names, texts = (batch.column(i).slice(piece, 2000).to_pylist() for i in (1, 2))
+                counts = [len(t) - length + 1 for t in texts]
+                owner, start = np.repeat(np.arange(len(texts), dtype=np.int32), counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+                digest = xxhash.xxh3_128_digest
+                hashes = np.frombuffer(b"".join([digest(v[i : i + length]) for v, n in zip(map(memoryview, texts), counts) for i in range(n)]), "S16")
+                bucket = hashes.view(np.uint64)[::2] % np.uint64(parts)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+                rows = [(k, names, owner[o].tobytes(), start[o].tobytes(), hashes[o].tobytes()) for k, o in ((k, order[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a)]
+                kinds = (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "classes", "owner", "start", "hash"])
+
+    return run
+
+
+def _twice(length: int):
+    """(class, start, end) of the strings of a bucket that are there twice, neighbouring ones drawn together."""
+
+    def run(group: pa.Table) -> pa.Table:
+        halves = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hash").to_pylist()]).reshape(-1, 2)
+        classes, owner, at = [], [], 0
+        for names, own in zip(group.column("classes").to_pylist(), group.column("owner").to_pylist()):
+            owner.append(np.frombuffer(own, np.int32).astype(np.int64) + at)
+            classes += names
+            at += len(names)
+        owner, start = np.concatenate(owner), np.concatenate([np.frombuffer(x, np.int32) for x in group.column("start").to_pylist()])
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        equal = (halves[order[1:]] == halves[order[:-1]]).all(1)
+        found = order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for i, a in zip(owner[found].tolist(), start[found].tolist()):
+            spans.setdefault(i, []).append((a, a + length))
+        rows = [(classes[i], a, b) for i, own in spans.items() for a, b in _merge(own)]
+        return pa.table([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["class", "start", "end"])
 
     return run
 
@@ -295,9 +341,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = held.where(F.col("classes") <= MOST).select("key", "class", "bytes").repartition(parts, "key").sortWithinPartitions("key", "class")
     compared = few.mapInArrow(_compare(length), "class binary, start long, end long")
-    strings = held.where(F.col("classes") > MOST).select("key", "class", "bytes").mapInArrow(_strings(length), "class binary, start long, hash binary")
-    again = strings.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    counted = strings.join(again, "hash").select("class", "start", (F.col("start") + length).alias("end"))
+    strings = held.where(F.col("classes") > MOST).select("key", "class", "bytes").mapInArrow(_strings(length, parts), "bucket int, classes array<binary>, owner binary, start binary, hash binary")
+    counted = strings.groupBy("bucket").applyInArrow(_twice(length), "class binary, start long, end long")
     spans = whole.union(compared).union(counted).groupBy("class").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # within a segment: few bytes
     of_rows = found.join(spans, "class").select("row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end"))).alias("spans"))
     return of_rows.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
