@@ -90,10 +90,10 @@ def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, data.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for k in range(4):
-        key = (key << np.uint64(16)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    span, levels = 4, []
+    for k in range(7):  # symbols have nine bits
+        key = (key << np.uint64(9)) | padded[k : k + n]
+    order = np.argsort(key)
+    span, levels = 7, []
     while True:
         ordered = key[order]
         rank = np.empty(n, np.int64)
@@ -104,7 +104,7 @@ def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[
         following = np.full(n, 0, np.int64)
         following[: n - span] = rank[span:] + 1 if span < n else 0
         key = (rank.astype(np.uint64) << np.uint64(32)) | following.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         span *= 2
 
 
@@ -150,11 +150,11 @@ def intervals(order: np.ndarray, prefixes: np.ndarray, length: int) -> Iterator[
 def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, start)]) of each maximal repeat of the texts of at least `length` bytes, with all of its places.
 
-    Neighbouring texts are kept apart by symbols of their own, so no repeat crosses them.
+    A symbol that no text has stands between texts, and common prefixes are cut there, so no repeat crosses it.
     """
     parts, owner, place = [], [], []
     for i, t in enumerate(texts):
-        parts += [np.frombuffer(t, np.uint8).astype(np.uint64) + 1, np.array([300 + (i & 0x7FFF)], np.uint64)]
+        parts += [np.frombuffer(t, np.uint8).astype(np.uint64) + 1, np.zeros(1, np.uint64)]
         owner.append(np.full(len(t) + 1, i))
         place.append(np.arange(len(t) + 1))
     data, owner, place = np.concatenate(parts), np.concatenate(owner), np.concatenate(place)
