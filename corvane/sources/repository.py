@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 import subprocess
@@ -63,9 +62,8 @@ class Ignore:
     @staticmethod
     def _pattern(rule: str) -> re.Pattern:
         only_dir, anchored = rule.endswith("/"), "/" in rule.rstrip("/")
-        pieces = []
-        for part in rule.strip("/").split("/"):
-            pieces.append(".*" if part == "**" else re.sub(r"\\z|\\Z|\(\?s:|\)$", "", fnmatch.translate(part)).replace(".*", "[^/]*"))
+        wild = {"*": "[^/]*", "?": "[^/]"}
+        pieces = [".*" if part == "**" else "".join(wild.get(c) or re.escape(c) for c in part) for part in rule.strip("/").split("/")]
         body = "/".join(pieces).replace(".*/", "(?:.*/)?")
         return re.compile(("" if anchored else "(?:.*/)?") + body + ("/.*" if only_dir else "(?:/.*)?") + r"\Z")
 
