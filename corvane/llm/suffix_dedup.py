@@ -147,8 +147,8 @@ def intervals(order: np.ndarray, prefixes: np.ndarray, length: int) -> Iterator[
                 stack.append([value, left])
 
 
-def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, start)]) of each maximal repeat of the texts of at least `length` bytes, with all of its places.
+def _maximal(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """Of the texts one after the other: the text and the place in it of each symbol, and (length, where) of each maximal repeat.
 
     A symbol that no text has stands between texts, and common prefixes are cut there, so no repeat crosses it.
     """
@@ -165,13 +165,21 @@ def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tup
     # a prefix ends where its text does
     room = np.concatenate([np.arange(len(t), -1, -1) for t in texts])
     prefixes[1:] = np.minimum(prefixes[1:], np.minimum(room[order[1:]], room[order[:-1]]))
-    found = []
-    for depth, a, b in intervals(order, prefixes, length):
-        own = order[a : b + 1]
-        before = left[own]
-        if (before >= 1 << 40).any() or (before != before[0]).any():
-            found.append((depth, sorted(zip(owner[own].tolist(), place[own].tolist()))))
-    return found
+
+    def found() -> Iterator[tuple[int, np.ndarray]]:
+        for depth, a, b in intervals(order, prefixes, length):
+            own = order[a : b + 1]
+            before = left[own]
+            if (before >= 1 << 40).any() or (before != before[0]).any():
+                yield depth, own
+
+    return owner, place, found()
+
+
+def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(text, start)]) of each maximal repeat of the texts of at least `length` bytes, with all of its places."""
+    owner, place, found = _maximal(texts, length)
+    return [(depth, sorted(zip(owner[own].tolist(), place[own].tolist()))) for depth, own in found]
 
 
 def _company(texts: list[bytes], length: int) -> list[int]:
@@ -190,12 +198,20 @@ def _company(texts: list[bytes], length: int) -> list[int]:
 
 def _covered(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """The stretches of each text that lie in repeats, from the maximal repeats of those texts that have any."""
-    marks: list[list[tuple[int, int]]] = [[] for _ in texts]
-    own = _company(texts, length)
-    for depth, places in maximal_repeats([texts[i] for i in own], length) if own else ():
-        for text, start in places:
-            marks[own[text]].append((start, start + depth))
-    return [_merge(m) for m in marks]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    kept = _company(texts, length)
+    if not kept:
+        return out
+    owner, place, found = _maximal([texts[i] for i in kept], length)
+    longest = np.zeros(len(owner), np.int64)
+    for depth, own in found:
+        longest[own] = np.maximum(longest[own], depth)
+    at = np.arange(len(owner))
+    gone = np.maximum.accumulate(np.where(longest > 0, at + longest, 0)) > at  # a repeat ends with its text
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        out[kept[owner[a]]].append((int(place[a]), int(place[a]) + b - a))
+    return out
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
