@@ -30,6 +30,11 @@ LONG_PIECE = 64
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """The tokens and ranks of a rank file."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+
+
 class Vocabulary:
     """Tokens by rank, the merge that makes each, and the test for valid pairs."""
 
@@ -67,7 +72,7 @@ class Vocabulary:
 
     @classmethod
     def from_file(cls, content: bytes) -> Vocabulary:
-        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)})
+        return cls(ranks_of(content))
 
     def border(self, left: int, right: int) -> bool:
         """valid(), remembered."""
@@ -308,7 +313,7 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", output: str = "decod
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(shared.value).tokens.__getitem__
+        token = {rank: token for token, rank in ranks_of(shared.value).items()}.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
