@@ -37,7 +37,7 @@ def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = file.read()
     own = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    found = byte_bpe.decode(byte_bpe.encode(own, ranks, public_tokenizers.PATTERN), ranks)
+    found = byte_bpe.round_trip(own, ranks, public_tokenizers.PATTERN)
     return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 

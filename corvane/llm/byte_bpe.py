@@ -284,6 +284,33 @@ def _columns(df: DataFrame, drop: str, add: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != drop), add])
 
 
+def _encoder(ranks: bytes, pattern: str) -> Encoder:
+    """One for each worker process, rank file and pattern."""
+    key = (ranks, pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary(ranks), pattern)
+    return _encoders[key]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, text: str, output: str) -> Iterator[pa.RecordBatch]:
+    for batch, texts in common.chunks(batches, text):
+        found = [encoder.encode(t.decode()) if t else b"" for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        names = [n for n in batch.schema.names if n != text]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), ids], [*names, output])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: dict[int, bytes], ids: str, output: str) -> Iterator[pa.RecordBatch]:
+    token = tokens.__getitem__
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            texts = [b"".join(map(token, x or ())) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, output])
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", output: str = "ids") -> DataFrame:
     """docs with the token ids of its text column in place of the text (array<int>; null texts give none).
 
@@ -293,17 +320,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", outp
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared.value, pattern)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(vocabulary(shared.value), pattern)
-        encoder = _encoders[key]
-        for batch, texts in common.chunks(batches, text):
-            found = [encoder.encode(t.decode()) if t else b"" for t in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), ids], [*names, output])
+        yield from _encoded(batches, _encoder(shared.value, pattern), text, output)
 
     return docs.mapInArrow(run, _columns(docs, text, f"`{output}` array<int>"))
 
@@ -313,19 +330,20 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", output: str = "decod
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: token for token, rank in ranks_of(shared.value).items()}.__getitem__
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [b"".join(map(token, x or ())) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, output])
+        yield from _decoded(batches, {rank: token for token, rank in ranks_of(shared.value).items()}, ids, output)
 
     return docs.mapInArrow(run, _columns(docs, "", f"`{output}` binary"))
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """doc_id, ids and decoded of every document."""
-    return decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """docs with ids and decoded in place of the text: encode() and decode() in one pass, with one worker for both."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value, pattern)
+        yield from _decoded(_encoded(batches, encoder, text, "ids"), encoder.vocabulary.tokens, "ids", "decoded")
+
+    return docs.mapInArrow(run, _columns(docs, text, "`ids` array<int>, `decoded` binary"))
 
 
 def digests(spark, sf_dir: str) -> DataFrame:
@@ -334,7 +352,7 @@ def digests(spark, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    found = round_trip(common.read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    found = round_trip(common.read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
