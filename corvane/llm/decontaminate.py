@@ -1,17 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Texts become lower-case words of letters and digits. Every n-gram of the test items is counted over all
-documents; an item's seeds are its n-grams that are no more frequent than its median one, so even an item that
-many documents hold has seeds. Where a document has a seed, the stretch around it that the item can cover is
-aligned with the item word by word: match 1, mismatch or gap -1, from the best local start. The score is that of
-the best alignment over the number of the item's words; from LEAST on, the document leaks the item.
+Texts become lower-case words of letters and digits. A document leaks an item if the best local alignment of the
+two (match 1, mismatch or gap -1) scores LEAST or more of the number of the item's words; this is the score given.
 
-Items shorter than the n-grams have one seed, themselves. Null and empty texts leak nothing, null or empty items
+Seeds lose none of these. An alignment of m matches in k runs has k - 1 edits or more between them, so its score is
+m - k + 1 at most, while the runs have m - k n-grams of two words: an alignment that scores s has s - 1 of the item's
+n-grams or more. Every n-gram of the items is counted over all documents; of an item with p n-grams that needs n of
+them, the p - n + 1 rarest are its seeds, of which such an alignment then has one. Where a document has a seed and
+n of the n-grams, the stretch around it that the alignment can cover is aligned with the item word by word.
+
+Items of one or two words have one seed, themselves. Null and empty texts leak nothing, null or empty items
 are not looked for. Repeated rows and items give repeated results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-NGRAM = 4
+#: Of longer n-grams an alignment with an edit in every few words has none.
+NGRAM = 2
 LEAST = 0.5
 #: Items are taken in blocks of about so many bytes, which are broadcast; each block reads the documents twice.
 BLOCK_BYTES = 16 << 20
@@ -75,6 +80,9 @@ class Items:
                 self.words.append(words)
         self.grams = np.array(sorted(places), np.uint64)
         self.places = [places[k] for k in self.grams.tolist()]
+        #: of each item the n-grams (by their place in grams), in order
+        self.own = [np.searchsorted(self.grams, self.keys(w)) for w in self.words]
+        self.sizes = sorted({min(self.size, len(w)) for w in self.words})
 
     def keys(self, words: np.ndarray) -> np.ndarray:
         """A key for each n-gram; texts shorter than one have a single key."""
@@ -88,7 +96,7 @@ class Items:
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a document, and the n-grams (by their place in grams) found there."""
         found = []
-        for size in sorted({min(self.size, len(w)) for w in self.words}):
+        for size in self.sizes:
             if len(numbers) < size:
                 continue
             key = Items.keys(_Sized(size), numbers)
@@ -154,16 +162,20 @@ def _block(spark, docs: DataFrame, items: Items, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
     often = _frequencies(docs, shared, "text")
     frequency = np.array([often.get(g, 0) for g in range(len(items.grams))], np.int64)
-    of_item: list[list[int]] = [[] for _ in items.ids]
-    for gram, places in enumerate(items.places):
-        for item, _ in places:
-            of_item[item].append(frequency[gram])
-    median = [float(np.median(x)) for x in of_item]
-    # seeds of each n-gram: the items for which it is rare
-    seeds = spark.sparkContext.broadcast([[(i, at) for i, at in places if frequency[gram] <= median[i]] for gram, places in enumerate(items.places)])
+    score = [math.ceil(least * len(w)) for w in items.words]
+    needed = [max(1, n - 1) for n in score]
+    # seeds of each n-gram: the places at which it is rare for an item, as items and places one after the other
+    rare: list[list[tuple[int, int]]] = [[] for _ in items.grams]
+    for item, own in enumerate(items.own):
+        for at in np.argsort(frequency[own], kind="stable")[: len(own) - needed[item] + 1].tolist():
+            rare[own[at]].append((item, at))
+    starts = np.cumsum([0, *map(len, rare)])
+    flat = np.array([p for places in rare for p in places], np.int64).reshape(-1, 2)
+    seeds = spark.sparkContext.broadcast((starts, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, rare = shared.value, seeds.value
+        items, (starts, flat) = shared.value, seeds.value
+        seen = np.zeros(len(items.grams), bool)
         for batch, texts in common.chunks(batches, "text"):
             found = []
             ids = batch.column(0).to_pylist()
@@ -171,23 +183,31 @@ def _block(spark, docs: DataFrame, items: Items, least: float) -> DataFrame:
                 if not t:
                     continue
                 numbers = _numbers(items, t)
-                spans: dict[int, list[tuple[int, int]]] = {}
-                for at, gram in zip(*map(np.ndarray.tolist, items.hits(numbers))):
-                    for item, place in rare[gram]:
-                        size = len(items.words[item])
-                        spans.setdefault(item, []).append((max(0, at - place - size // 2), min(len(numbers), at - place + size + size // 2)))
-                for item, stretches in spans.items():
+                at, gram = items.hits(numbers)
+                often = starts[gram + 1] - starts[gram]
+                total = int(often.sum())
+                if not total:
+                    continue
+                which = flat[np.repeat(starts[gram], often) + np.arange(total) - np.repeat(common.segments(often), often)]
+                shift = np.repeat(at, often) - which[:, 1]
+                order = np.lexsort((shift, which[:, 0]))
+                of_item, shift = which[order, 0], shift[order]
+                edges = np.flatnonzero(np.concatenate(([True], of_item[1:] != of_item[:-1], [True])))
+                seen[gram] = True
+                near = [(item, a, b) for item, a, b in zip(of_item[edges[:-1]].tolist(), edges.tolist(), edges[1:].tolist()) if np.count_nonzero(seen[items.own[item]]) >= needed[item]]
+                seen[gram] = False
+                for item, a, b in near:
                     best = (0, 0, 0)
-                    stretches.sort()
-                    start, end = stretches[0]
-                    for a, b in (*stretches[1:], (1 << 60, 0)):
-                        if a <= end:
-                            end = max(end, b)
+                    size = len(items.words[item])
+                    reach = size - score[item]  # as many edits at most
+                    low, high = np.maximum(0, shift[a:b] - reach), np.minimum(len(numbers), shift[a:b] + size + reach)
+                    cuts = np.flatnonzero(low[1:] > high[:-1]) + 1
+                    for start, end in zip(low[[0, *cuts]].tolist(), high[[*(cuts - 1), -1]].tolist()):
+                        if np.count_nonzero(np.isin(items.own[item], gram[(at >= start) & (at < end)])) < needed[item]:
                             continue
-                        score, x, y = align(items.words[item], numbers[start:end])
-                        if score > best[0]:
-                            best = (score, start + x, start + y)
-                        start, end = a, b
+                        points, x, y = align(items.words[item], numbers[start:end])
+                        if points > best[0]:
+                            best = (points, start + x, start + y)
                     if best[0] >= least * len(items.words[item]):
                         found.append((doc, items.ids[item], best[0] / len(items.words[item]), best[1], best[2]))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

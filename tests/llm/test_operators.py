@@ -102,6 +102,35 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_leaks_are_those_of_all_pairs(spark):
+    rng = random.Random(12)
+    items = {i: words(rng, n, 3000, "q").split() for i, n in enumerate([20, 30, 30, 45, 12, 3])}
+    texts = {}
+    for i, item in items.items():
+        for edits in range(4, 9) if len(item) > 12 else range(1, 4):
+            for kind in ("even", "random", "insert", "delete"):
+                own = item.copy()
+                at = range(edits, len(own), max(1, len(own) // edits)) if kind == "even" else sorted(rng.sample(range(len(own)), min(edits, len(own))), reverse=True)
+                for k in at:
+                    own[k : k + (kind != "insert")] = [] if kind == "delete" else [f"new{rng.randrange(99)}"]
+                texts[len(texts)] = words(rng, rng.randrange(40), 3000, "q").split() + own + words(rng, 30, 3000, "q").split()
+    # every fourth word is another one: no four words in a row are left
+    texts[len(texts)] = [w if k % 4 != 3 else "x" for k, w in enumerate(items[1])]
+    texts[len(texts)] = items[2]  # an exact copy
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    numbers: dict[str, int] = {}
+    as_numbers = lambda own: np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int64)
+    expected = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            points, start, end = decontaminate.align(as_numbers(item), as_numbers(text))
+            if points >= decontaminate.LEAST * len(item):
+                expected[d, i] = (points / len(item), start, end)
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == expected and len(expected) > 60
+
+
 def plain_fingerprint(text):
     own = [w for w in (text or "").encode().lower().split()]
     if not own:
