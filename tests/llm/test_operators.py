@@ -299,6 +299,49 @@ def test_passages(spark, empty):
     assert passage_dedup.passages(empty).count() == 0
 
 
+def test_passages_with_different_text_between(spark):
+    rng = random.Random(14)
+    rows, shared = [], {}
+    for n, gaps in ((60, (0, 5, 20, 40, 60, 100, 150, 300)), (100, (20, 60, 130, 250)), (300, (100, 200, 500, 800))):
+        for gap in gaps:
+            for other_gap in {gap, gap + 7, gap // 2}:
+                one, two = (words(rng, n, 10**6, "p") for _ in range(2))
+                for g in (gap, other_gap):
+                    head, between = words(rng, rng.randrange(40), 10**6, "h"), words(rng, g, 10**6, "g")
+                    text = " ".join([head, one, between, two, words(rng, 30, 10**6, "t")]).split()
+                    doc = len(rows)
+                    at = len(head.split())
+                    shared[doc] = set(range(at, at + n)) | set(range(at + n + g, at + n + g + n))
+                    rows.append((doc, " ".join(text)))
+    covered = {doc: set() for doc in shared}
+    for r in passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["doc_id"] // 2 == r["other_id"] // 2
+        length = max(r["end_word"] - r["start_word"], r["other_end"] - r["other_start"])
+        assert r["n_same"] >= passage_dedup.SAME * length
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        covered[r["other_id"]] |= set(range(r["other_start"], r["other_end"]))
+    assert [doc for doc in shared if shared[doc] - covered[doc]] == []
+
+
+def test_stretches_are_the_longest():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        a = rng.integers(0, 10**9, 160).astype(np.uint64)
+        b = a.copy()
+        differ = rng.random(160) < np.repeat(rng.choice([0.0, 0.1, 0.3, 0.9], 8), 20)
+        b[differ] += np.uint64(10**10)
+        equal = np.concatenate(([0], np.cumsum(~differ)))
+        own = [i for i in range(156) if not differ[i : i + 5].any()]
+        if not own:
+            continue
+        x = np.array(own)
+        start, end, *_ = passage_dedup.align(a, b, x, x)
+        pairs = [(equal[j] - equal[i], j - i) for i in range(start, end) for j in range(i + 50, end + 1) if not differ[i] and not differ[j - 1] and equal[j] - equal[i] >= passage_dedup.SAME * (j - i)]
+        got = passage_dedup.stretches(a, b, x, x, 50)
+        assert max((g[4] for g in got), default=0) == max((s for s, _ in pairs), default=0)
+        assert all(j <= k for (_, j, *_), (k, *_) in zip(got, got[1:]))
+
+
 def test_fenwick_chains_are_best():
     rng = random.Random(3)
     for _ in range(40):
