@@ -7,7 +7,8 @@ all documents of a language. A document is kept if, for some language, both dist
 rule has a least length, as the histograms of short texts say little.
 
 A null text has no words and is rejected for that. Documents without a language, or whose language has too
-few documents, add to no reference; where no language has one, only the base rules decide. Repeated rows count
+few documents, add to no reference. Of a document whose language has none, only the base rules decide; one without
+a language is held against all references, if there are any. Repeated rows count
 as often as they are there. Other columns are passed on as they are; names of results replace equal ones.
 """
 
@@ -26,8 +27,8 @@ COMMON_WORDS, SHORT = 40, 6
 #: The largest distance of a text that is kept, by histogram, and the least length from which it counts.
 MOST_CLASSES, LEAST_CHARS = 0.27, 100
 MOST_WORDS, LEAST_WORDS = 0.45, 40
-#: A language needs as many documents for a reference; at most so many languages, those with most documents.
-LEAST_DOCS, MOST_LANGS = 10, 64
+#: A language needs as many documents for a reference.
+LEAST_DOCS = 10
 #: What a document counts for in a reference, dealt out to its words.
 WEIGHT = 1_000_000
 
@@ -100,7 +101,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
 
     Every document deals WEIGHT out to its characters, and to its words, evenly. The weights are summed by
     language and by language and word, with map-side combining. To the driver come a row for each language and
-    the most common words of each: a table bounded by MOST_LANGS times COMMON_WORDS.
+    the most common words of each: COMMON_WORDS times the languages.
     """
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts, steps = _classes(F.coalesce(F.col("text"), F.lit("")))
@@ -110,7 +111,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     classed = once(classed, "n", F.array(*counts)).withColumn("total", F.greatest(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)))
     sums = [F.sum(F.floor(WEIGHT * F.col("n")[i] / F.col("total"))) for i in range(len(CLASS_NAMES))]
     totals = classed.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.array(*sums).alias("classes"))
-    found = {r["lang"]: r.asDict() for r in totals.where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).collect()}
+    found = {r["lang"]: r.asDict() for r in totals.where(F.col("docs") >= LEAST_DOCS).collect()}
     listed = once(known.where(F.col("lang").isin(list(found))), "words", words_of(F.col("text")))
     listed = listed.select("lang", F.floor(WEIGHT / F.greatest(F.size("words"), F.lit(1))).alias("weight"), F.explode(F.filter("words", lambda w: F.length(w) <= SHORT)).alias("word"))
     by_word = listed.groupBy("lang", "word").agg(F.sum("weight").alias("n"))
@@ -177,6 +178,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     measured = distances(measured, refs) if refs else measured.withColumn("distance", F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("w")))
     fits = (F.col("word_chars") < LEAST_CHARS) | (F.col("distance.c") <= MOST_CLASSES)
     fits &= (F.col("n_words") < LEAST_WORDS) | (F.col("distance.w") <= MOST_WORDS)
+    if refs:
+        fits |= F.col(lang).isNotNull() & ~F.col(lang).isin([r["lang"] for r in refs])
     out = measured.withColumns({"class_distance": F.col("distance.c"), "word_distance": F.col("distance.w"), "kept": ~F.col("base_failed") & fits})
     return out.drop("word_list", "class_n", "distance")
 

@@ -76,6 +76,20 @@ def test_quality_distance_is_jensen_shannon(spark):
     assert got[99]["c"] > 0.3 > got[0]["c"]
 
 
+def test_quality_of_languages_without_reference(spark):
+    rng = random.Random(2)
+    texts = [(i, words(rng, 80, 300, "wort"), "de") for i in range(12)]
+    texts += [(50, " ".join("語" * 3 + chr(0x4E00 + rng.randrange(500)) for _ in range(80)), "ja"), (51, "$$$ 111 " * 60, "ja")]
+    texts += [(52, " ".join("語" * 3 + chr(0x4E00 + rng.randrange(500)) for _ in range(80)), None)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+    assert kept[50] and not kept[51] and not kept[52] and kept[0]
+
+
+def test_quality_has_references_of_all_languages(spark):
+    texts = [(i, f"a b c d e w{i % 66}", f"l{i % 66}") for i in range(660)]
+    assert len(quality_rules.references(spark.createDataFrame(texts, "doc_id long, text string, lang string"))) == 66
+
+
 def test_align_matches_plain_smith_waterman():
     rng = np.random.default_rng(0)
     for _ in range(60):
