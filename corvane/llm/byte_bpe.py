@@ -4,15 +4,18 @@ For each prefix of a piece exactly one token can be the last one of its encoding
 position is that one if the encoding of what precedes it ends in a token with which it forms a valid pair: two
 tokens whose concatenation BPE would give back as these two. The table of last tokens so holds the encodings
 of all prefixes; an append goes on from it, and an edit recomputes it only until it agrees with the old one.
+Whole tables of documents are encoded with the tables of many pieces side by side, place by place.
 
-Null texts count as empty. Ranks are given as bytes of a rank file (base64 token, space, rank).
+Null texts count as empty and give no ids. Repeated rows give repeated results, an empty table an empty one. Long
+texts are split and encoded a block of pieces at a time, pieces of over LONG_PIECE bytes each by a table of its own.
+Columns named like a result are replaced by it. Ranks are given as bytes of a rank file (base64 token, space, rank).
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct texts between blanks whose ids a worker remembers, twice: those met since there were as many, and those before.
-MEMORY = 400_000
-#: Longer ones aren't remembered.
+#: Pieces whose ids a worker remembers, twice: those met since there were as many, and those before.
+MEMORY = 150_000
+#: Bytes of the longest pieces that are remembered and encoded side by side.
 LONG_PIECE = 64
-#: Unicode's White_Space, for which the patterns write \\s.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Pairs of tokens of which a worker remembers whether they are valid: a power of two.
+PAIRS = 1 << 20
+#: Text that is split at once, in bytes, and pieces of a longer text.
+BLOCK_BYTES, BLOCK_PIECES = 4 << 20, 500_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ranks_of(content: bytes) -> dict[bytes, int]:
@@ -42,7 +48,6 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.borders: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
         for rank in sorted(self.tokens):
@@ -74,16 +79,6 @@ class Vocabulary:
     def from_file(cls, content: bytes) -> Vocabulary:
         return cls(ranks_of(content))
 
-    def border(self, left: int, right: int) -> bool:
-        """valid(), remembered."""
-        key = left << 32 | right
-        found = self.borders.get(key)
-        if found is None:
-            if len(self.borders) >= MEMORY:
-                self.borders.clear()
-            found = self.borders[key] = self.valid(left, right)
-        return found
-
     def valid(self, left: int, right: int) -> bool:
         """Whether BPE leaves the border between two adjacent tokens in place.
 
@@ -123,13 +118,13 @@ class PrefixTable:
             token = ranks.get(data[start:end])
             if token is None or token in voc.whole_only:
                 continue
-            if start == 0 or voc.border(last[start], token):
+            if start == 0 or voc.valid(last[start], token):
                 return token
         raise ValueError("the vocabulary has no token for a byte")
 
     def append(self, data: bytes) -> PrefixTable:
         done, self.data, voc = len(self.data), self.data + data, self.vocabulary
-        data, last, stop, follow, at, known = self.data, self.last, len(self.data), voc.tree.get, voc.at, voc.borders.get
+        data, last, stop, follow, at = self.data, self.last, len(self.data), voc.tree.get, voc.at
         last += [-1] * (stop - done)
         for start in range(max(0, done + 1 - voc.longest), stop):  # what follows each prefix, while tokens begin so
             before, node, end = last[start], 0, start
@@ -138,9 +133,8 @@ class PrefixTable:
                 node = follow(node << 8 | byte)
                 if node is None:
                     break
-                if end > done and last[end] < 0 and (token := at[node]) >= 0:
-                    if before < 0 or (fits := known(before << 32 | token)) or fits is None and voc.border(before, token):
-                        last[end] = token
+                if end > done and last[end] < 0 and (token := at[node]) >= 0 and (start == 0 or voc.valid(before, token)):
+                    last[end] = token
         self.computed += stop - done
         return self
 
@@ -170,71 +164,178 @@ class PrefixTable:
         return found[::-1]
 
 
-class _Irregular(Exception):
-    """White space other than single blanks at the border of a part."""
-
-
-class _Parts(dict):
-    """The ids of texts between blanks, without (lead empty) or with the blank before them, of the last ones used."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead, self.older = encoder, lead, {}
+class Tables:
+    """The prefix tables of many pieces at once, with the vocabulary as arrays."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.size = vocabulary, max(vocabulary.tokens, default=0) + 1
+        self.length = np.zeros(self.size, np.int64)
+        self.left, self.right = np.arange(self.size), np.arange(self.size)
+        for rank, (left, right) in vocabulary.split.items():
+            self.length[rank], self.left[rank], self.right[rank] = len(vocabulary.tokens[rank]), left, right
+        pairs = np.array([(a * self.size + b, rank) for (a, b), rank in vocabulary.pairs.items()], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair_keys, self.pair_ranks = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], 0)
+        # the tree with inner nodes first; only these have a row of followers
+        keys, nodes = (np.fromiter(x, np.int64, len(vocabulary.tree)) for x in (vocabulary.tree.keys(), vocabulary.tree.values()))
+        inner = np.unique(np.append(keys >> 8, 0))
+        number = np.full(len(vocabulary.at), -1, np.int64)
+        number[inner] = np.arange(len(inner))
+        number[number < 0] = np.arange(len(inner), len(number))
+        self.inner = len(inner)
+        self.follow = np.full((self.inner, 256), -1, np.int32)
+        self.follow[number[keys >> 8], keys & 255] = number[nodes]
+        self.at = np.full(len(number), -1, np.int32)
+        self.at[number] = vocabulary.at
+        #: Pairs by a hash of theirs, with what was found in the lowest bit: the last one met of those that share a place.
+        self.known = np.full(PAIRS, -1, np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], 1 << 40)
+
+    def valid(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Vocabulary.valid() of pairs side by side."""
+        found, open_, bound = np.ones(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 40)
+        while len(open_):
+            wins = self._rank(left, right) < bound
+            found[open_[wins]] = False
+            inner, outer = self.right[left], self.left[right]
+            into_left, into_right = inner != left, outer != right
+            into_left &= (left > right) | ~into_right
+            go = (into_left | into_right) & ~wins
+            bound = np.where(into_left, left, right + 1)[go]
+            left, right = np.where(into_left, inner, left)[go], np.where(into_left, right, outer)[go]
+            open_ = open_[go]
+        return found
 
-    def __missing__(self, part: str) -> bytes:
-        found = self.older.get(part)
-        if found is None:
-            if not part or self.encoder.white(part[0]) or self.encoder.white(part[-1]):
-                raise _Irregular
-            found = self.encoder.split(self.lead + part)
-        if len(part) <= LONG_PIECE:
-            if len(self) >= MEMORY:
-                self.older = dict(self)
-                self.clear()
-            self[part] = found
+    def borders(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """valid(), remembered."""
+        key = left.astype(np.int64) * self.size + right
+        place = (key.astype(np.uint64) * _MIX >> np.uint64(65 - PAIRS.bit_length())).astype(np.int64)
+        held = self.known[place]
+        found, new = (held & 1).astype(bool), np.flatnonzero(held >> 1 != key)
+        if len(new):
+            if len(new) < 64:
+                own, test = key[new], self.vocabulary.valid
+                fits = np.array([test(*divmod(k, self.size)) for k in own.tolist()], bool)
+            else:
+                distinct, own = np.unique(key[new], return_inverse=True)
+                fits, own = self.valid(distinct // self.size, distinct % self.size)[own], key[new]
+            found[new] = fits
+            self.known[place[new]] = own * 2 + fits
         return found
 
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as 32-bit numbers: the last tokens of all prefixes, place by place, then read from the ends back."""
+        if not pieces:
+            return []
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-lengths, kind="stable")  # the pieces that reach a place come first
+        column = np.empty(len(order), np.int64)
+        column[order] = np.arange(len(order))
+        most = int(lengths.max())
+        data = np.zeros((most, len(pieces)), np.uint8)
+        total = int(lengths.sum())
+        data[np.arange(total) - np.repeat(common.segments(lengths), lengths), np.repeat(column, lengths)] = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = lengths[order]
+        reach = np.searchsorted(-sizes, -np.arange(most + 1), side="left")  # pieces of more than so many bytes
+        last = np.full((most + 1, len(pieces)), -1, np.int32)
+        for start in range(most):
+            own, before = np.arange(reach[start]), last[start]
+            node, end = self.follow[0, data[start, : reach[start]]], start
+            while True:
+                there = node >= 0
+                if not there.all():
+                    own, node = own[there], node[there]
+                end += 1
+                token, row = self.at[node], last[end]
+                new = np.flatnonzero((token >= 0) & (row[own] < 0))
+                who, token = own[new], token[new]
+                if start:
+                    fits = self.borders(before[who], token)
+                    who, token = who[fits], token[fits]
+                row[who] = token
+                if end >= most:
+                    break
+                on = np.flatnonzero((node < self.inner) & (own < reach[end]))
+                if not len(on):
+                    break
+                own = own[on]
+                node = self.follow[node[on], data[end, own]]
+        counts, steps, at, open_ = np.zeros(len(pieces), np.int64), [], sizes.copy(), np.arange(len(pieces))
+        while len(open_):
+            token = last[at[open_], open_]
+            if (token < 0).any():
+                raise ValueError("the vocabulary has no token for a byte")
+            steps.append((open_, token))
+            counts[open_] += 1
+            at[open_] -= self.length[token]
+            open_ = open_[at[open_] > 0]
+        ends = np.cumsum(counts)
+        out = np.empty(int(counts.sum()), np.int32)
+        for k, (own, token) in enumerate(steps):
+            out[ends[own] - 1 - k] = token
+        found, ends = out.tobytes(), (4 * ends).tolist()
+        sorted_ids = [found[a:b] for a, b in zip([0, *ends], ends)]
+        return [sorted_ids[k] for k in column.tolist()]
 
-class Encoder:
-    """Encodes whole texts: each match of the pattern apart, without special tokens.
 
-    attaches says that the pattern joins one blank to what follows it and no other match holds both white
-    space and something else, as those of the public byte-level vocabularies do. Texts are then cut at single
-    blanks, where matches begin in any case, and what stands between them is remembered.
-    """
+class Encoder:
+    """Encodes whole texts: each match of the pattern apart, without special tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, attaches: bool = True):
-        self.vocabulary, self.find, self.memory, self.attaches = vocabulary, regex.compile(pattern).findall, {}, attaches
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary, self.pattern, self.tables = vocabulary, regex.compile(pattern), Tables(vocabulary)
+        self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.white = re.compile(f"[{WHITE}]").match
-        self.first, self.others = _Parts(self, ""), _Parts(self, " ")
-
-    def piece(self, piece: str) -> bytes:
-        """Its ids as 32-bit numbers."""
-        if found := self.older.get(piece):
-            return found
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        found = np.array([whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens(), np.int32).tobytes()
-        if len(data) <= LONG_PIECE:
-            if len(self.memory) >= MEMORY // 2:
-                self.memory, self.older = {}, self.memory
-            self.memory[piece] = found
-        return found
 
-    def split(self, text: str) -> bytes:
-        memory, piece = self.memory, self.piece
-        return b"".join([memory.get(p) or piece(p) for p in self.find(text)])
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Makes sure that the memory has the pieces; gives the ids of those too long for it."""
+        missing = pieces - self.memory.keys()
+        if len(self.memory) + len(missing) > MEMORY:
+            self.older, self.memory = self.memory, {}
+            missing = pieces
+        new, long, ranks, memory, older = [], {}, self.vocabulary.ranks, self.memory, self.older.get
+        for piece in missing:
+            found = older(piece)
+            if found is None:
+                data = piece.encode()
+                if (whole := ranks.get(data)) is not None:
+                    found = whole.to_bytes(4, "little")
+                elif len(data) <= LONG_PIECE:
+                    new.append((piece, data))
+                    continue
+                else:
+                    found = np.array(PrefixTable(self.vocabulary, data).tokens(), np.int32).tobytes()
+            if len(piece) <= LONG_PIECE:
+                memory[piece] = found
+            else:
+                long[piece] = found
+        memory.update(zip([p for p, _ in new], self.tables.encode([d for _, d in new])))
+        return long
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        long = self._learn(set(chain.from_iterable(lists)))
+        get = self.memory.__getitem__
+        if long:
+            return [b"".join([long.get(p) or get(p) for p in x]) for x in lists]
+        return [b"".join(map(get, x)) for x in lists]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers. What texts of BLOCK_BYTES together have is split at once."""
+        if sum(map(len, texts)) <= BLOCK_BYTES:
+            return self._ids([self.pattern.findall(t) for t in texts])
+        out = []
+        for text in texts:
+            matches, parts = (m.group() for m in self.pattern.finditer(text)), []
+            while block := list(islice(matches, BLOCK_PIECES)):
+                parts += self._ids([block])
+            out.append(b"".join(parts))
+        return out
 
     def encode(self, text: str) -> bytes:
-        if self.attaches:
-            try:
-                first, *rest = text.split(" ")
-                others = self.others
-                return self.first[first] + b"".join([others[p] for p in rest])
-            except _Irregular:
-                pass
-        return self.split(text)
+        return self.encode_all([text])[0]
 
 
 class Document:
@@ -264,8 +365,8 @@ class Document:
         return again
 
     def tokens(self) -> list[int]:
-        ids = [self.encoder.encode(self.text[a:b]) for a, b in zip(self.starts, [*self.starts[1:], len(self.text)])]
-        return np.frombuffer(b"".join(ids), np.int32).tolist()
+        pieces = [self.text[a:b] for a, b in zip(self.starts, [*self.starts[1:], len(self.text)])]
+        return np.frombuffer(self.encoder._ids([pieces])[0], np.int32).tolist()
 
 
 _made: dict[bytes, Vocabulary] = {}
@@ -280,10 +381,6 @@ def vocabulary(content: bytes) -> Vocabulary:
     return _made[content]
 
 
-def _columns(df: DataFrame, drop: str, add: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != drop), add])
-
-
 def _encoder(ranks: bytes, pattern: str) -> Encoder:
     """One for each worker process, rank file and pattern."""
     key = (ranks, pattern)
@@ -293,22 +390,27 @@ def _encoder(ranks: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, text: str, output: str) -> Iterator[pa.RecordBatch]:
-    for batch, texts in common.chunks(batches, text):
-        found = [encoder.encode(t.decode()) if t else b"" for t in texts]
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-        names = [n for n in batch.schema.names if n != text]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), ids], [*names, output])
+def _ids(texts: list[bytes | None], encoder: Encoder) -> pa.ListArray:
+    found = encoder.encode_all([t.decode() if t else "" for t in texts])
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
 
+def _bytes(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """What each list of ids stands for: the tokens one after the other are the texts one after the other. Null lists count as empty."""
+    flat, starts = ids.flatten(), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
+    whole = tokens.take(flat)
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    data = whole.buffers()[2] or pa.py_buffer(b"")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends[starts])), data]).cast(pa.binary())
 
-def _decoded(batches: Iterator[pa.RecordBatch], tokens: dict[int, bytes], ids: str, output: str) -> Iterator[pa.RecordBatch]:
-    token = tokens.__getitem__
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            texts = [b"".join(map(token, x or ())) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, output])
+
+def _tokens(ranks: dict[bytes, int]) -> pa.Array:
+    """The tokens by rank; ranks that none has are null."""
+    found: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        found[rank] = token
+    return pa.array(found, pa.large_binary())
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", output: str = "ids") -> DataFrame:
@@ -318,32 +420,45 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", outp
     row depends on its own text only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    docs, names, schema = common.reduced(docs, [text], {output: "array<int>"}, last=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _encoded(batches, _encoder(shared.value, pattern), text, output)
+        encoder = _encoder(shared.value, pattern)
+        for batch, texts in common.chunks(batches, len(names)):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _ids(texts, encoder)], [*names, output])
 
-    return docs.mapInArrow(run, _columns(docs, text, f"`{output}` array<int>"))
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """docs with one more column: the bytes that its ids stand for (binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    docs, names, schema = common.reduced(docs, [], {output: "binary"})
+    at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _decoded(batches, {rank: token for token, rank in ranks_of(shared.value).items()}, ids, output)
+        tokens = _tokens(ranks_of(shared.value))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, _bytes(part.column(at), tokens)], [*names, output])
 
-    return docs.mapInArrow(run, _columns(docs, "", f"`{output}` binary"))
+    return docs.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
     """docs with ids and decoded in place of the text: encode() and decode() in one pass, with one worker for both."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    docs, names, schema = common.reduced(docs, [text], {"ids": "array<int>", "decoded": "binary"}, last=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        yield from _decoded(_encoded(batches, encoder, text, "ids"), encoder.vocabulary.tokens, "ids", "decoded")
+        tokens = _tokens(encoder.vocabulary.ranks)
+        for batch, texts in common.chunks(batches, len(names)):
+            ids = _ids(texts, encoder)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, _bytes(ids, tokens)], [*names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, _columns(docs, text, "`ids` array<int>, `decoded` binary"))
+    return docs.mapInArrow(run, schema)
 
 
 def digests(spark, sf_dir: str) -> DataFrame:

@@ -40,12 +40,31 @@ def doc_remainder(doc_id, modulus: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def reduced(docs: DataFrame, drop: list[str], results: dict[str, str], last: str | None = None) -> tuple[DataFrame, list[str], str]:
+    """docs without the columns named in drop or like a result, and with `last` as the last column (under a name of its own);
+    the names that are left, without that one; and the schema of these and the results.
+
+    Columns are told apart by place afterwards, so that no name of the caller's can clash with one of ours.
+    """
+    gone = {n.lower() for n in (*drop, *results)}
+    fields = [f for f in docs.schema.fields if f.name.lower() not in gone]
+    names = [f.name for f in fields]
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {kind}" for n, kind in results.items())])
+    kept = [docs[quoted(n)] for n in names]
+    return docs.select(*kept, *([docs[quoted(last)].alias("_last")] if last else [])), names, schema
+
+
+def quoted(name: str) -> str:
+    """A column's name as it has to be written where dots and quotes have a meaning."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts add up to about limit bytes (one text at least), with the texts as UTF-8."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)).cast(pa.large_binary())
         ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + batch.num_rows + 1]
         start = 0
         while start < batch.num_rows:
