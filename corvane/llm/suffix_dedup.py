@@ -3,15 +3,24 @@
 Every string of LENGTH bytes has one anchor: of the ANCHOR-byte strings in it, the one with the least hash, the
 first of equals. Equal strings have equal anchors at equal places, so strings that start one after the other
 and share an anchor's place make a segment, and repeats are only looked for among segments whose anchors have
-equal bytes (by a 64-bit hash). Segments with equal bytes are one class; each string of a class with several
-members is a repeat. The bytes of one member of each of the other classes whose anchor several classes share are
-put one after the other; a suffix array with its common prefixes is built over them, and a stack scan gives the
-tree of intervals with a common prefix of LENGTH bytes or more. An interval whose suffixes have different bytes to
-their left, or none, is a maximal repeat, with all of its occurrences; the others are parts of one. Anchors that
-more than MOST classes share are too much for one task: of those, each string is counted by its own hash.
-
-Matches never cross documents. A null text is empty: nothing is removed, and the digest is that of no bytes. Rows
-are told apart by a hash of id and text, so repeated rows are repeats of each other.
+equal hashes. Segments with equal bytes are one class, with as many members.
+
+Strings of classes that share an anchor can only be equal if they start as far before it. So the suffix array is
+kept by that distance: for distance 0 the classes are sorted by the bytes from the anchor on, with the common
+prefixes of neighbours, and one step to the left sorts those of equal left sides by one byte more. For each
+distance a stack scan gives the tree of intervals with a common prefix of LENGTH bytes or more; an interval is
+scanned where its suffixes can't all be drawn out by the same byte to the left: it is a maximal repeat then, with
+all of its occurrences, which are those of all members of its classes. A class with several members is one as well.
+What repeats cover is removed. (A repeat is maximal within its segments; a longer one is a series of these.)
+
+An anchor that over MOST classes share is parted: the strings that start LOW to HIGH bytes before it all hold the
+bytes from LOW before it to LENGTH - HIGH after its start, so classes meet again by those bytes, cut to what the
+strings of the range cover. Equal ones are then one class. Ranges are halved until few classes are left; a
+range of one distance leaves one class. No group of classes so ever has to be in one task, and none is left out.
+
+Matches never cross documents. A null or empty text, or one of fewer bytes, has no repeats; the digest of a null one is
+that of no bytes. Rows are told apart by a hash of id and text, so repeated rows are repeats of each other. An empty
+table gives an empty one. Long texts are cut piece by piece. Columns but doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -27,12 +36,12 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, ANCHOR = 400, 64
-#: Classes that share an anchor and are put into one suffix array, at most.
+#: Classes of an anchor that are scanned in one task, at most; those of more are parted first.
 MOST = 2000
-#: Bytes of a suffix array, about.
-ARRAY_BYTES = 1 << 20
-#: Bits of the filter that keeps classes without company out of the shuffle; it only saves work.
-FILTER_BITS = 1 << 25
+#: Bytes that are scanned side by side, about.
+ARRAY_BYTES = 4 << 20
+#: Up to so many shared anchors, a filter of 16 bits each (8 MB at most) is broadcast; beyond, texts are joined with what is wanted of them.
+FILTER_KEYS = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,152 +75,130 @@ def _least(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[window - 1 : window - 1 + n])
 
 
-def cut(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The segments of a text: first and last start of their strings, and the anchor's hash."""
+def cut(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of a text: first and last start of their strings, the anchor's place and its hash."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = _hashes(np.frombuffer(data, np.uint8), anchor)
-    firsts, lasts, keys = [], [], []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    out = [[], [], [], []]
     window, piece = length - anchor + 1, 1 << 22
+    whole = np.frombuffer(data, np.uint8)
     for at in range(0, len(data) - length + 1, piece):  # the places of a piece fit beside the hash
-        own = hashes[at : at + piece + window - 1]
-        place = np.arange(len(own), dtype=np.uint64)
-        packed = (own >> np.uint64(24) << np.uint64(24)) | place
+        own = _hashes(whole[at : at + piece + length - 1], anchor)
+        packed = (own >> np.uint64(24) << np.uint64(24)) | np.arange(len(own), dtype=np.uint64)
         where = (_least(packed, window) & np.uint64((1 << 24) - 1)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-        firsts.append(starts + at)
-        lasts.append(np.concatenate((starts[1:], [len(where)])) - 1 + at)
-        keys.append(own[where[starts]])
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(keys)
-
-
-def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The order of all suffixes by their first `length` symbols or more, by doubling; and the ranks by prefix length."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, data.dtype)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # symbols have nine bits
-        key = (key << np.uint64(9)) | padded[k : k + n]
-    order = np.argsort(key)
-    span, levels = 7, []
-    while True:
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-        levels.append((span, rank))
-        if span >= length or rank[order[-1]] == n - 1:
-            return order, levels
-        following = np.full(n, 0, np.int64)
-        following[: n - span] = rank[span:] + 1 if span < n else 0
-        key = (rank.astype(np.uint64) << np.uint64(32)) | following.astype(np.uint64)
-        order = np.argsort(key)
-        span *= 2
+        for x, values in zip(out, (starts + at, np.append(starts[1:], len(where)) - 1 + at, where[starts] + at, own[where[starts]])):
+            x.append(values)
+    return tuple(map(np.concatenate, out))
+
 
+def intervals(prefixes: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(common prefix, first, last) of each interval of sorted suffixes whose common prefix is at least length, inner ones first.
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """The length of the common prefix of each suffix and the one before it in order, up to twice the last span."""
-    n = len(data)
-    i, j, found = order[:-1].copy(), order[1:].copy(), np.zeros(len(order) - 1, np.int64)
-    for span, rank in reversed(levels):
-        both = (i < n) & (j < n)
-        same = np.zeros(len(i), bool)
-        same[both] = rank[i[both]] == rank[j[both]]
-        found[same] += span
-        i[same] += span
-        j[same] += span
-    for _ in range(levels[0][0] - 1):
-        both = (i < n) & (j < n)
-        same = np.zeros(len(i), bool)
-        same[both] = data[i[both]] == data[j[both]]
-        found[same] += 1
-        i[same] += 1
-        j[same] += 1
-        i[~same] = n
-    return np.concatenate(([0], found))
-
-
-def intervals(order: np.ndarray, prefixes: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(common prefix, first, last) of each interval of the suffix array whose common prefix is at least length, inner ones first."""
+    prefixes: how much each suffix has in common with the one before it.
+    """
     wide = np.flatnonzero(prefixes >= length)
     if not len(wide):
         return
-    for run in np.split(wide, np.flatnonzero(np.diff(wide) > 1) + 1):
-        stack: list[list[int]] = []
-        for at in (*run.tolist(), -1):
-            value = int(prefixes[at]) if at >= 0 else 0
-            left = at - 1
-            while stack and stack[-1][0] > value:
+    values = prefixes[wide].tolist()
+    stack: list[tuple[int, int]] = []
+    before = None
+    for at, value in zip(wide.tolist(), values):
+        if before is not None and at != before + 1:
+            while stack:
                 depth, left = stack.pop()
-                yield depth, left, (at if at >= 0 else int(run[-1]) + 1) - 1
-            if value and (not stack or stack[-1][0] < value):
-                stack.append([value, left])
-
-
-def _maximal(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
-    """Of the texts one after the other: the text and the place in it of each symbol, and (length, where) of each maximal repeat.
-
-    A symbol that no text has stands between texts, and common prefixes are cut there, so no repeat crosses it.
+                yield depth, left, before
+        left = at - 1
+        while stack and stack[-1][0] > value:
+            depth, left = stack.pop()
+            yield depth, left, at - 1
+        if not stack or stack[-1][0] < value:
+            stack.append((value, left))
+        before = at
+    while stack:
+        depth, left = stack.pop()
+        yield depth, left, before
+
+
+class _Least:
+    """The least of any stretch of an array, from tables of stretches of 1, 2, 4 ... values."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        self.tables = [values]
+        step = 1
+        while 2 * step <= longest:
+            last = self.tables[-1].copy()
+            last[:-step] = np.minimum(last[:-step], last[step:])
+            self.tables.append(last)
+            step *= 2
+        self.tables = np.stack(self.tables)
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        level = np.frexp((stop - start).astype(np.float64))[1] - 1
+        return np.minimum(self.tables[level, start], self.tables[level, stop - (1 << level)])
+
+
+def scan(texts: list[bytes], place: np.ndarray, members: np.ndarray, group: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    """The maximal repeats of classes, a distance from the anchor at a time.
+
+    texts: the classes' bytes, those that share an anchor (the same number in group) one after the other; place: where
+    the anchor is in each. Yields (classes, starts, repeats): suffixes in order, as numbers of classes and where they
+    start in them, and (length, first, last) of each repeat, as places in that order; inner ones come first.
     """
-    parts, owner, place = [], [], []
-    for i, t in enumerate(texts):
-        parts += [np.frombuffer(t, np.uint8).astype(np.uint64) + 1, np.zeros(1, np.uint64)]
-        owner.append(np.full(len(t) + 1, i))
-        place.append(np.arange(len(t) + 1))
-    data, owner, place = np.concatenate(parts), np.concatenate(owner), np.concatenate(place)
-    order, levels = suffix_array(data, max(map(len, texts)))
-    left = np.concatenate(([0], data[:-1]))
-    left[place == 0] = 1 << 40  # the start of a text has nothing in common with any other left
-    prefixes = common_prefixes(data, order, levels)
-    # a prefix ends where its text does
-    room = np.concatenate([np.arange(len(t), -1, -1) for t in texts])
-    prefixes[1:] = np.minimum(prefixes[1:], np.minimum(room[order[1:]], room[order[:-1]]))
-
-    def found() -> Iterator[tuple[int, np.ndarray]]:
-        for depth, a, b in intervals(order, prefixes, length):
-            own = order[a : b + 1]
-            before = left[own]
-            if (before >= 1 << 40).any() or (before != before[0]).any():
-                yield depth, own
-
-    return owner, place, found()
-
-
-def maximal_repeats(texts: list[bytes], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, start)]) of each maximal repeat of the texts of at least `length` bytes, with all of its places."""
-    owner, place, found = _maximal(texts, length)
-    return [(depth, sorted(zip(owner[own].tolist(), place[own].tolist()))) for depth, own in found]
-
-
-def _company(texts: list[bytes], length: int) -> list[int]:
-    """The texts that have a string of `length` bytes whose rolling hash is there twice: all that have a repeat."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate(([1], np.full(len(data), _MIX, np.uint64))).astype(np.uint64))
-        sums = np.concatenate(([0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
-        starts = np.concatenate([np.arange(a, a + len(t) - length + 1) for a, t in zip(common.segments(np.array([len(t) for t in texts])), texts)])
-        # every hash is brought to the same power, that of the last start
-        hashes = (sums[starts + length] - sums[starts]) * powers[len(data) - starts]
-    owner = np.repeat(np.arange(len(texts)), [len(t) - length + 1 for t in texts])
-    _, inverse, often = np.unique(hashes, return_inverse=True, return_counts=True)
-    return np.unique(owner[often[inverse] > 1]).tolist()
-
-
-def _covered(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """The stretches of each text that lie in repeats, from the maximal repeats of those texts that have any."""
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    kept = _company(texts, length)
-    if not kept:
-        return out
-    owner, place, found = _maximal([texts[i] for i in kept], length)
-    longest = np.zeros(len(owner), np.int64)
-    for depth, own in found:
-        longest[own] = np.maximum(longest[own], depth)
-    at = np.arange(len(owner))
-    gone = np.maximum.accumulate(np.where(longest > 0, at + longest, 0)) > at  # a repeat ends with its text
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        out[kept[owner[a]]].append((int(place[a]), int(place[a]) + b - a))
-    return out
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat, base, room = np.frombuffer(b"".join(texts), np.uint8), common.segments(sizes), sizes - place
+    width = int(room.max())
+    right = np.zeros((len(texts), width), np.uint8)
+    nth = np.arange(int(room.sum())) - np.repeat(common.segments(room), room)
+    right[np.repeat(np.arange(len(texts)), room), nth] = flat[np.repeat(base + place, room) + nth]
+    turn = np.lexsort((room, right.view(f"S{width}").ravel(), group))  # a text that ends comes before those that go on
+    place, room, sizes, members, group, base, right = (x[turn] for x in (place, room, sizes, members, group, base, right))
+    differ = right[1:] != right[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), width)
+    shared = np.minimum(shared, np.minimum(room[1:], room[:-1]))
+    shared[group[1:] != group[:-1]] = -length
+    del right, differ
+    least = _Least(np.concatenate(([-length], shared)).astype(np.int32), int(np.bincount(group).max()))
+    most = int(place.max())
+    left = np.zeros((most + 1, len(texts)), np.uint8)  # the byte before the suffix that starts so far before the anchor
+    nth = np.arange(int(place.sum())) - np.repeat(common.segments(place), place)
+    left[nth, np.repeat(np.arange(len(texts)), place)] = flat[np.repeat(base + place - 1, place) - nth]
+
+    own, run = np.arange(len(texts)), group
+    for distance in range(most + 1):
+        # classes that go so far back, those of equal left sides side by side and sorted by what follows
+        alone = np.ones(len(own) + 1, bool)
+        alone[1:-1] = run[1:] != run[:-1]
+        single = alone[1:] & alone[:-1]
+        if single.any():  # nothing else has its strings from here on
+            several = own[single & (members[own] > 1)]
+            if len(several):
+                yield turn[several], np.zeros(len(several), np.int64), [(int(sizes[k]), i, i) for i, k in enumerate(several.tolist())]
+            own, run = own[~single], run[~single]
+        if not len(own):
+            return
+        heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        of_run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(own))))
+        ends = place[own] == distance
+        before = np.where(ends, np.int64(256), left[distance, own])
+        odd = ends | (before != before[heads][of_run])
+        if not odd.any():
+            continue  # all are drawn out to the left alike
+        event = np.logical_or.reduceat(odd, heads)[of_run]
+        which, code = own[event], before[event]
+        prefixes = np.full(len(which), -1, np.int64)
+        inside = np.flatnonzero(of_run[event][1:] == of_run[event][:-1]) + 1
+        prefixes[inside] = distance + least(which[inside - 1] + 1, which[inside] + 1)
+        changes = np.concatenate(([0], np.cumsum((code[1:] != code[:-1]) | (code[1:] == 256))))
+        found = [(depth, a, b) for depth, a, b in intervals(prefixes, length) if code[a] == 256 or changes[b] > changes[a]]
+        around = np.maximum(prefixes, np.append(prefixes[1:], -1))
+        leaves = np.flatnonzero((code == 256) & (members[which] > 1) & (sizes[which] > around))
+        found = [(int(sizes[which[k]]), k, k) for k in leaves.tolist()] + found
+        if found:
+            yield turn[which], place[which] - distance, found
+        order = np.argsort(of_run * 257 + before, kind="stable")
+        order = order[~ends[order]]
+        own, run = own[order], (of_run * 257 + before)[order]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -224,154 +211,224 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _segments(docs: DataFrame, length: int) -> DataFrame:
-    """(row, key, class, first, last) of every segment; class is a 128-bit hash of its bytes."""
+def _covered(scanned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, start, end) of what the repeats cover, overlapping ones drawn together."""
+    owners, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for which, start, found in scanned:
+        longest = np.zeros(len(which), np.int64)
+        for depth, a, b in found:
+            np.maximum(longest[a : b + 1], depth, out=longest[a : b + 1])
+        own = np.flatnonzero(longest)
+        owners.append(which[own])
+        starts.append(start[own])
+        ends.append(start[own] + longest[own])
+    owner, start, end = map(np.concatenate, (owners, starts, ends))
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    if not len(owner):
+        return owner, start, end
+    room = int(end.max()) + 1
+    reach = np.maximum.accumulate(owner * room + end)
+    first = np.flatnonzero(np.concatenate(([True], (owner * room + start)[1:] > reach[:-1])))
+    return owner[first], start[first], reach[np.append(first[1:], len(owner)) - 1] - owner[first] * room
+
+
+def _segments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(row, key, class, first, span, place) of every segment: class is a 128-bit hash of its bytes, span its last start less the first, place that of the anchor in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.chunks(batches, "text"):
-            out = [[], [], [], [], []]
+        for batch, texts in common.chunks(batches, 1):
+            rows, classes, out, digest = [], [], [[], [], [], []], xxhash.xxh3_128_digest
             for row, t in zip(batch.column(0).to_pylist(), texts):
                 if not t or len(t) < length:
                     continue
-                firsts, lasts, keys = cut(t, length)
-                out[0].append(np.full(len(firsts), row))
-                out[1].append(keys.view(np.int64))
+                first, last, place, keys = cut(t, length, anchor)
+                rows += [row] * len(first)
                 view = memoryview(t)
-                out[2] += [xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(firsts.tolist(), lasts.tolist())]
-                out[3].append(firsts)
-                out[4].append(lasts)
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out[0], out[1], out[3], out[4])]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(out[2], pa.binary()), pa.array(columns[2]), pa.array(columns[3])], ["row", "key", "class", "first", "last"])
+                classes += [digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
+                for x, values in zip(out, (keys.view(np.int64), first, last - first, place - first)):
+                    x.append(values)
+            key, first, span, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            values = [pa.array(rows, pa.binary()), pa.array(key), pa.array(classes, pa.binary()), pa.array(first), pa.array(span.astype(np.int32)), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(values, ["row", "key", "class", "first", "span", "place"])
 
-    return docs.mapInArrow(run, "row long, key long, class binary, first long, last long")
+    return docs.select("row", "text").mapInArrow(run, "row binary, key long, class binary, first long, span int, place int")
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with one bit set for each key (a long): a fixed size, whatever the number of keys."""
-    words = keys.select((F.pmod("key", F.lit(FILTER_BITS)) / 64).cast("int").alias("word"), F.pmod("key", F.lit(64)).cast("int").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    found = np.zeros(FILTER_BITS // 64, np.int64)
-    found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return found
+_HELD = "key long, class binary, bytes binary, span int, place int"
 
 
-def _bytes_of(docs: DataFrame, bitmap, length: int) -> DataFrame:
-    """(key, class, bytes) of the segments whose anchor the bitmap has."""
+def _filtered(docs: DataFrame, shared: DataFrame, many: int, length: int, anchor: int) -> DataFrame:
+    """The segments whose anchor is in shared, by a bitmap of 16 bits or more for each of the `many` keys (and a few others)."""
+    bits = 1 << max(12, (16 * many).bit_length())
+    words = shared.select((F.pmod("key", F.lit(bits)) / 64).cast("int").alias("word"), F.pmod("key", F.lit(64)).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    found = np.zeros(bits // 64, np.int64)
+    found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    bitmap = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for _, texts in common.chunks(batches, "text"):
-            keys_out, classes, data = [], [], []
+        held = bitmap.value
+        for _, texts in common.chunks(batches, 0):
+            out, digest = [[], [], [], [], []], xxhash.xxh3_128_digest
             for t in texts:
                 if not t or len(t) < length:
                     continue
-                firsts, lasts, keys = cut(t, length)
+                first, last, place, keys = cut(t, length, anchor)
                 keys = keys.view(np.int64)
-                at = np.mod(keys, FILTER_BITS)
-                for i in np.flatnonzero((bits[at // 64] >> (at % 64)) & 1).tolist():
-                    own = t[firsts[i] : lasts[i] + length]
-                    keys_out.append(int(keys[i]))
-                    classes.append(xxhash.xxh3_128_digest(own))
-                    data.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.int64()), pa.array(classes, pa.binary()), pa.array(data, pa.binary())], ["key", "class", "bytes"])
-
-    return docs.select("row", "text").mapInArrow(run, "key long, class binary, bytes binary").groupBy("key", "class").agg(F.first("bytes").alias("bytes"))
+                at = np.mod(keys, bits)
+                own = np.flatnonzero((held[at // 64] >> (at % 64)) & 1)
+                parts = [t[a : b + length] for a, b in zip(first[own].tolist(), last[own].tolist())]
+                for x, values in zip(out, (keys[own].tolist(), map(digest, parts), parts, (last - first)[own].tolist(), (place - first)[own].tolist())):
+                    x += values
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "class", "bytes", "span", "place"])
 
+    return docs.select("text").mapInArrow(run, _HELD)
 
-def _compare(length: int):
-    """For whole anchors, in suffix arrays of about ARRAY_BYTES: (class, start, end) of the repeats of each class."""
 
-    def flush(classes: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
-        rows = [(c, a, b) for c, spans in zip(classes, _covered(texts, length)) for a, b in spans] if texts else []
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["class", "start", "end"])
+def _joined(docs: DataFrame, classes: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """The same, of one member of each class, by a join of the texts with what is wanted of them."""
+    wanted = classes.join(shared.select("key"), "key").select("at.row", F.struct("key", "class", "span", "place", F.col("at.first").alias("first")).alias("part"))
+    wanted = wanted.groupBy("row").agg(F.collect_list("part").alias("parts"))  # as many as the text has segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, texts, held, last = [], [], 0, None
-        for batch in batches:
-            for key, name, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if key != last and (held >= ARRAY_BYTES or len(texts) >= 30_000):
-                    yield flush(classes, texts)
-                    classes, texts, held = [], [], 0
-                classes.append(name)
-                texts.append(data)
-                held, last = held + len(data), key
-        yield flush(classes, texts)
+        for batch, texts in common.chunks(batches, 0):
+            rows = [(p["key"], p["class"], t[p["first"] : p["first"] + p["span"] + length], p["span"], p["place"]) for t, parts in zip(texts, batch.column(1).to_pylist()) for p in parts]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "class", "bytes", "span", "place"])
+
+    return docs.select("row", "text").join(wanted, "row").select("text", "parts").mapInArrow(run, _HELD)
 
-    return run
 
+_FOUND = "key long, class binary, start long, end long, repeat binary"
 
-def _strings(length: int, parts: int):
-    """The hashes of all strings of the classes, dealt out by hash: (bucket, classes, owner, start, hash), the last three packed."""
+
+def _scanned(length: int, named: bool):
+    """For whole anchors, about ARRAY_BYTES at once: (key, class, start, end) of what repeats cover; if named, of each repeat in each class, with a hash of its bytes."""
+
+    def flush(keys: list[int], classes: list[bytes], texts: list[bytes], place: list[int], members: list[int]) -> pa.RecordBatch:
+        group = np.cumsum(np.concatenate(([0], np.diff(np.array(keys)) != 0)))
+        found = scan(texts, np.array(place, np.int64), np.array(members, np.int64), group, length)
+        repeat = None
+        if named:
+            rows = [(w, s, s + depth) for which, start, own in found for depth, a, b in own for w, s in zip(which[a : b + 1].tolist(), start[a : b + 1].tolist())]
+            owner, start, end = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            repeat = [xxhash.xxh3_128_digest(texts[w][a:b]) for w, a, b in rows]
+        else:
+            owner, start, end = _covered(found)
+        own = owner.tolist()
+        values = [pa.array([keys[k] for k in own], pa.int64()), pa.array([classes[k] for k in own], pa.binary()), pa.array(start), pa.array(end), pa.array(repeat or [None] * len(own), pa.binary())]
+        return pa.RecordBatch.from_arrays(values, ["key", "class", "start", "end", "repeat"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = ([], [], [], [], []), 0
         for batch in batches:
-            for piece in range(0, batch.num_rows, 2000):
-                names, texts = (batch.column(i).slice(piece, 2000).to_pylist() for i in (1, 2))
-                counts = [len(t) - length + 1 for t in texts]
-                owner, start = np.repeat(np.arange(len(texts), dtype=np.int32), counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
-                digest = xxhash.xxh3_128_digest
-                hashes = np.frombuffer(b"".join([digest(v[i : i + length]) for v, n in zip(map(memoryview, texts), counts) for i in range(n)]), "S16")
-                bucket = hashes.view(np.uint64)[::2] % np.uint64(parts)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(parts + 1))
-                rows = [(k, names, owner[o].tobytes(), start[o].tobytes(), hashes[o].tobytes()) for k, o in ((k, order[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a)]
-                kinds = (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "classes", "owner", "start", "hash"])
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if held[0] and row[0] != held[0][-1] and size >= ARRAY_BYTES:
+                    yield flush(*held)
+                    held, size = ([], [], [], [], []), 0
+                for x, value in zip(held, row):
+                    x.append(value)
+                size += len(row[2])
+        if held[0]:
+            yield flush(*held)
 
     return run
 
 
-def _twice(length: int):
-    """(class, start, end) of the strings of a bucket that are there twice, neighbouring ones drawn together."""
-
-    def run(group: pa.Table) -> pa.Table:
-        halves = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hash").to_pylist()]).reshape(-1, 2)
-        classes, owner, at = [], [], 0
-        for names, own in zip(group.column("classes").to_pylist(), group.column("owner").to_pylist()):
-            owner.append(np.frombuffer(own, np.int32).astype(np.int64) + at)
-            classes += names
-            at += len(names)
-        owner, start = np.concatenate(owner), np.concatenate([np.frombuffer(x, np.int32) for x in group.column("start").to_pylist()])
-        order = np.lexsort((halves[:, 1], halves[:, 0]))
-        equal = (halves[order[1:]] == halves[order[:-1]]).all(1)
-        found = order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for i, a in zip(owner[found].tolist(), start[found].tolist()):
-            spans.setdefault(i, []).append((a, a + length))
-        rows = [(classes[i], a, b) for i, own in spans.items() for a, b in _merge(own)]
-        return pa.table([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["class", "start", "end"])
+_PART = f"{_HELD}, members long, low int, high int, parent_key long, parent binary, shift int"
+
+
+def _halved(length: int):
+    """Each class's strings by the halves of their range: what they cover, and the hash of what all strings of the half have in common with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "class", "bytes", "span", "place", "members", "low", "high", "parent_key", "parent", "shift"]
+        for batch in batches:
+            rows = []
+            for key, name, data, span, place, members, low, high in zip(*(batch.column(n).to_pylist() for n in names[:8])):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    near, far = max(a, place - span), min(b, place)  # distances from the anchor
+                    if a <= b and near <= far:
+                        own = data[place - far : place - near + length]
+                        core = xxhash.xxh64_intdigest(data[place - a : place - b + length], key & 0xFFFFFFFF)
+                        core = (core ^ (a << 20 | b) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+                        rows.append((core - (1 << 64) if core >> 63 else core, xxhash.xxh3_128_digest(own), own, far - near, far, members, a, b, key, name, place - far))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, spans: array of (start, end) in bytes) of the rows (row: long, text) of docs that have repeats."""
-    spark = docs.sparkSession
-    found = common.durable(_segments(docs, length))
-    classes = found.groupBy("key", "class").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("last") - F.col("first")).alias("span"))
-    classes = common.durable(classes)
-    shared = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    whole = classes.where("members > 1").select("class", F.lit(0).cast("long").alias("start"), (F.col("span") + length).alias("end"))
-    bitmap = spark.sparkContext.broadcast(_filter(shared))
-    held = common.durable(_bytes_of(docs, bitmap, length).join(shared, "key"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = held.where(F.col("classes") <= MOST).select("key", "class", "bytes").repartition(parts, "key").sortWithinPartitions("key", "class")
-    compared = few.mapInArrow(_compare(length), "class binary, start long, end long")
-    strings = held.where(F.col("classes") > MOST).select("key", "class", "bytes").mapInArrow(_strings(length, parts), "bucket int, classes array<binary>, owner binary, start binary, hash binary")
-    counted = strings.groupBy("bucket").applyInArrow(_twice(length), "class binary, start long, end long")
-    spans = whole.union(compared).union(counted).groupBy("class").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # within a segment: few bytes
-    of_rows = found.join(spans, "class").select("row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end"))).alias("spans"))
-    return of_rows.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _repeated(held: DataFrame, length: int, named: bool) -> DataFrame:
+    """_FOUND of classes (key, class, bytes, span, place, members, classes, low, high): classes is how many share the key."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = held.where(F.col("classes") <= MOST).select("key", "class", "bytes", "place", "members")
+    few = few.repartition(parts, "key").sortWithinPartitions("key", "class")
+    found = few.mapInArrow(_scanned(length, named), _FOUND)
+    crowded = held.where(F.col("classes") > MOST)
+    if crowded.isEmpty():
+        return found
+    halves = common.durable(crowded.select("key", "class", "bytes", "span", "place", "members", "low", "high").mapInArrow(_halved(length), _PART))
+    own = halves.groupBy("key", "class").agg(*[F.first(n).alias(n) for n in ("bytes", "span", "place", "low", "high")], F.sum("members").alias("members"))
+    own = common.durable(own)
+    held = own.join(common.durable(own.groupBy("key").agg(F.count(F.lit(1)).alias("classes"))), "key").where("classes > 1 or members > 1")
+    inner = common.durable(_repeated(held, length, named))
+    up = halves.select("key", "class", "parent_key", "parent", "shift").join(inner, ["key", "class"])
+    up = up.select(F.col("parent_key").alias("key"), F.col("parent").alias("class"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "repeat")
+    return found.unionByName(up)
+
+
+def _all(docs: DataFrame, length: int, anchor: int, named: bool) -> tuple[DataFrame, DataFrame]:
+    """The segments of docs (row, text), and _FOUND of their classes."""
+    found = common.durable(_segments(docs, length, anchor))
+    classes = common.durable(found.groupBy("key", "class").agg(F.count(F.lit(1)).alias("members"), F.first("span").alias("span"), F.first("place").alias("place"), F.min(F.struct("row", "first")).alias("at")))
+    counted = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max("members").alias("most"), F.first("class").alias("class"), F.first("span").alias("span"))
+    counted = common.durable(counted.where("classes > 1 or most > 1"))
+    whole = counted.where("classes = 1").select("key", "class", F.lit(0).cast("long").alias("start"), (F.col("span") + length).cast("long").alias("end"), F.col("class").alias("repeat"))
+    shared = counted.where("classes > 1").select("key", "classes")
+    many = shared.count()
+    taken = _filtered(docs, shared, many, length, anchor) if many <= FILTER_KEYS else _joined(docs, classes, shared, length)
+    taken = taken.groupBy("key", "class").agg(*[F.first(n).alias(n) for n in ("bytes", "span", "place")])
+    members = classes.join(shared, "key").select("key", "class", "members", "classes")
+    held = taken.join(members, ["key", "class"]).withColumns({"low": F.lit(0), "high": F.lit(length - anchor)})
+    return found, whole.unionByName(_repeated(common.durable(held), length, named))
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """(repeat, doc_id, start, end) of every occurrence of every maximal repeat of docs (doc_id, text), in bytes; repeat is a 128-bit hash of its bytes."""
+    docs = _rows(docs)
+    found, repeats = _all(docs, length, anchor, named=True)
+    places = found.join(common.durable(repeats), ["key", "class"])
+    places = places.select("repeat", "row", (F.col("start") + F.col("first")).alias("start"), (F.col("end") + F.col("first")).alias("end"))
+    return places.join(docs.select("row", "doc_id"), "row").select("repeat", "doc_id", "start", "end").distinct()
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    doc_id = F.col("doc_id").cast("long")
+    row = F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), "text")))
+    return docs.select(doc_id.alias("doc_id"), F.col("text").alias("text"), row.alias("row"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """(row, spans: array of (start, end) in bytes) of the rows of docs (row: binary, text) that have repeats. A hot class is one side's hot key in a plain join, which Spark can split."""
+    found, covered = _all(docs, length, anchor, named=False)
+    spans = covered.groupBy("key", "class").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # within a segment: few bytes
+    placed = found.select("row", "key", "class", "first").join(common.durable(spans), ["key", "class"])
+    placed = placed.select("row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end"))).alias("spans"))
+    return placed.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """docs (doc_id, text) with kept (binary), n_bytes, n_removed and n_spans in place of text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    spans = repeats(docs.select("row", "text"), length)
+    docs = _rows(docs)
+    spans = repeats(docs.select("row", "text"), length, anchor)
     joined = docs.join(spans, "row", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.chunks(batches, "text"):
+        for batch, texts in common.chunks(batches, 1):
             kept, removed, count = [], [], []
             for t, spans in zip(texts, batch.column(2).to_pylist()):
                 t = t or b""

@@ -258,9 +258,15 @@ def test_languages(spark, empty):
     assert language_id.identify(train, nothing).where("lang_pred <> 'und'").count() == 0
 
 
-@pytest.mark.parametrize("most", [2000, 1])
-def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, most):
+@pytest.mark.parametrize("most,keys", [(2000, 1 << 22), (1, 1 << 22), (3, 0)])
+def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, most, keys):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "FILTER_KEYS", keys)
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh \n") for _ in range(900))  # with other text around it in each document
+    more = [(300 + i, words(rng, rng.randrange(60)) + passage[rng.randrange(200) : 900 - rng.randrange(200)] + words(rng, rng.randrange(60)), None, None, None, None, None) for i in range(12)]
+    rows = rows + more + [(400, "\0" * 1000 + "é" * 300, None, None, None, None, None), (None, passage, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     seen = Counter()
     for r in rows:
         data = (r[1] or "").encode()
@@ -279,19 +285,65 @@ def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, most):
     assert suffix_dedup.remove(empty).count() == 0
 
 
-def test_maximal_repeats_are_all_and_maximal():
+@pytest.mark.parametrize("most", [2000, 1])
+def test_maximal_repeats_have_all_occurrences(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
     rng = random.Random(6)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(4, 30))) for _ in range(12)]
+    texts = {i: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for i in range(40)}
+    texts |= {50: texts[1], 51: texts[1], 52: "x" + texts[2], 53: "ab" * 30}
+    where = {}
+    for i, t in texts.items():
+        for a in range(len(t)):
+            for b in range(a + 12, len(t) + 1):
+                where.setdefault(t[a:b], set()).add((i, a))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = {}
+    for r in suffix_dedup.maximal_repeats(docs, 12, 8).collect():
+        groups.setdefault(bytes(r["repeat"]), set()).add((r["doc_id"], r["start"], r["end"]))
+    covered = {i: bytearray(len(t)) for i, t in texts.items()}
+    strings = set()
+    for own in groups.values():
+        found = {texts[i][a:b] for i, a, b in own}
+        assert len(found) == 1
+        string = found.pop()
+        assert len(string) >= 12 and {(i, a) for i, a, _ in own} == where[string] and len(own) > 1
+        strings.add(string)
+        for i, a, b in own:
+            covered[i][a:b] = b"\1" * (b - a)
+    for string, places in where.items():
+        if len(string) == 12 and len(places) > 1:
+            assert any(string in s for s in strings)
+            for i, a in places:
+                assert all(covered[i][a : a + 12])
+
+
+def test_scan_finds_what_a_plain_search_does():
+    rng = random.Random(8)
     for _ in range(30):
-        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 40))) for _ in range(3)]
-        got = {(texts[p[0][0]][p[0][1] : p[0][1] + n], tuple(p)) for n, p in suffix_dedup.maximal_repeats(texts, 4)}
-        expected = set()
-        for n in range(4, 40):
+        middle = bytes(rng.choice(b"xy") for _ in range(8))
+        texts, place = [], []
+        for _ in range(rng.randrange(2, 9)):
+            left = bytes(rng.choice(b"ab") for _ in range(rng.randrange(5)))
+            right = bytes(rng.choice(b"ab") for _ in range(rng.randrange(max(0, 4 - len(left)), 5)))
+            texts.append(left + middle + right)
+            place.append(len(left))
+        texts, place = zip(*dict(zip(texts, place)).items())
+        got = {}
+        for which, start, found in suffix_dedup.scan(list(texts), np.array(place), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64), 12):
+            for depth, a, b in found:
+                own = {(int(w), int(s)) for w, s in zip(which[a : b + 1], start[a : b + 1])}
+                w, s = min(own)
+                assert texts[w][s : s + depth] not in got
+                got[texts[w][s : s + depth]] = own
+        expected = {}
+        for n in range(12, 17):
             for s in {t[i : i + n] for t in texts for i in range(len(t) - n + 1)}:
-                places = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - n + 1) if t[i : i + n] == s]
-                left = {(k, -1) if i == 0 else texts[k][i - 1] for k, i in places}
-                right = {(k, -1) if i + n == len(texts[k]) else texts[k][i + n] for k, i in places}
-                if len(places) > 1 and (len(left) > 1 or any(i == 0 for _, i in places)) and (len(right) > 1 or any(i + n == len(texts[k]) for k, i in places)):
-                    expected.add((s, tuple(places)))
+                places = {(k, i) for k, (t, p) in enumerate(zip(texts, place)) for i in range(p + 1) if t[i : i + n] == s}
+                left = [None if i == 0 else texts[k][i - 1] for k, i in places]
+                right = [None if i + n == len(texts[k]) else texts[k][i + n] for k, i in places]
+                if len(places) > 1 and (None in left or len(set(left)) > 1) and (None in right or len(set(right)) > 1):
+                    expected[s] = places
         assert got == expected
 
 
