@@ -389,6 +389,94 @@ def test_passages_with_different_text_between(spark):
     assert [doc for doc in shared if shared[doc] - covered[doc]] == []
 
 
+def edited(rng, own, every, how="even"):
+    """A copy with an edit in every so many words (on average)."""
+    out = []
+    for i, w in enumerate(own):
+        hit = i % every == every - 1 if how == "even" else rng.random() < 1 / every
+        kind = rng.randrange(3) if hit else 3
+        out += [f"new{rng.randrange(10**6)}"] if kind == 0 else [w, f"more{rng.randrange(10**6)}"] if kind == 1 else [] if kind == 2 else [w]
+    return out
+
+
+def agreeing(a, b):
+    """The longest common subsequence, plainly."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_passage_among_pieces_of_it(spark):
+    rng = random.Random(21)
+    own = words(rng, 80, 10**6, "p").split()
+    text = lambda middle: " ".join([words(rng, rng.randrange(60), 10**6, "h"), *middle, words(rng, rng.randrange(60), 10**6, "t")])
+    rows = [(100, text(own)), (200, text(own))]
+    for doc in (*range(1, 60), *range(101, 160), *range(201, 260)):
+        at = rng.randrange(65)
+        rows.append((doc, text(own[at : at + 16])))
+    got = passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(200, 100)}
+    assert sum(r["end_word"] - r["start_word"] for r in got) == 80
+
+
+def test_passages_of_all_pairs(spark):
+    rng = random.Random(5)
+    rows, where = [], []
+    for k in range(60):
+        n, every = rng.choice([55, 80, 150, 400]), rng.choice([0, 0, 30, 20, 12, 10])
+        own = words(rng, n, 10**6, "p").split()
+        for copy in range(rng.choice([2, 2, 3, 14])):
+            middle = edited(rng, own, every, rng.choice(["even", "random"])) if every and copy else own
+            head = words(rng, rng.randrange(50), 10**6, "h").split()
+            where.append((len(rows), k, middle))
+            rows.append((len(rows), " ".join([*head, *middle, *words(rng, rng.randrange(50), 10**6, "t").split()])))
+    linked = {}
+    for r in passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        linked.setdefault(r["doc_id"], set()).add(r["other_id"])
+        linked.setdefault(r["other_id"], set()).add(r["doc_id"])
+        assert where[r["doc_id"]][1] == where[r["other_id"]][1]
+    exact = lost = pairs = 0
+    for i, k, a in where:
+        for j, m, b in where[:i]:
+            if k == m and agreeing(a, b) >= 0.8 * max(len(a), len(b)):
+                pairs += 1
+                reached, todo = {i}, [i]  # through other copies, too
+                while todo:
+                    new = linked.get(todo.pop(), set()) - reached
+                    reached |= new
+                    todo += new
+                lost += j not in reached
+                exact += a == b and j not in reached
+    assert exact == 0 and lost <= 0.1 * pairs, (lost, pairs)
+
+
+def test_passages_with_repeated_ids_and_other_names(spark):
+    rng = random.Random(2)
+    own, other = words(rng, 70, 10**6, "p"), words(rng, 90, 10**6, "q")
+    rows = [(1, own, 1, "a"), (1, other, 2, "b"), (2, own, 3, "c"), (3, "x y z " + other, 4, "d"), (3, "x y z " + other, 5, "e"), (4, None, 6, "f"), (None, own, 7, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans long, hash string")
+    got = {tuple(r) for r in passage_dedup.passages(docs).collect()}
+    assert got == {(2, 0, 70, 1, 0, 70, 70), (3, 3, 93, 1, 0, 90, 90)}
+    left = passage_dedup.without_repeats(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(1, own, 1, "a"), (1, other, 2, "b"), (3, "x y z ", 4, "d"), (3, "x y z ", 5, "e"), (4, None, 6, "f"), (None, own, 7, "g")], key=repr)
+
+
+def test_passage_longer_than_what_is_fetched(spark):
+    rng = random.Random(31)
+    one = words(rng, 400, 10**6, "p").split()
+    changed = [w if i % 4 or 60 < i < 90 else f"n{i}" for i, w in enumerate(one)]  # seeds in the middle only
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(changed))], "doc_id long, text string")
+    for r in passage_dedup.passages(docs).collect():
+        assert r["n_same"] >= 0.8 * (r["end_word"] - r["start_word"])
+    both = words(rng, 30_000, 10**6, "w")
+    got = passage_dedup.passages(spark.createDataFrame([(1, both), (2, "a " + both)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(2, 1, 30_001, 1, 0, 30_000, 30_000)]
+
+
 def test_stretches_are_the_longest():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -401,9 +489,12 @@ def test_stretches_are_the_longest():
         if not own:
             continue
         x = np.array(own)
-        start, end, *_ = passage_dedup.align(a, b, x, x)
+        borders = passage_dedup.path(a, b, x, x)
+        start, end = int(borders[0, 0]), int(borders[-1, 0])
+        if (borders[:, 0] != borders[:, 1]).any():
+            continue  # drawn out over other words
         pairs = [(equal[j] - equal[i], j - i) for i in range(start, end) for j in range(i + 50, end + 1) if not differ[i] and not differ[j - 1] and equal[j] - equal[i] >= passage_dedup.SAME * (j - i)]
-        got = passage_dedup.stretches(a, b, x, x, 50)
+        got = passage_dedup.stretches(borders, 50)
         assert max((g[4] for g in got), default=0) == max((s for s, _ in pairs), default=0)
         assert all(j <= k for (_, j, *_), (k, *_) in zip(got, got[1:]))
 
