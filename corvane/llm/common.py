@@ -21,18 +21,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application's in the one that all executors share, removed when the application ends.
 
-    The folder is spark.checkpoint.dir; where a session names none (tests), one is made under the warehouse.
+    That one is spark.checkpoint.dir; where a session names none (tests), it is made under the warehouse.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        context.setCheckpointDir(folder or f"{warehouse}/_checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    found = context.getConf().get("spark.checkpoint.dir", None)
+    if found is None and not (own := context._jsc.sc().getCheckpointDir()).isEmpty():
+        found = own.get()
+    folder = f"{(found or spark.conf.get('spark.sql.warehouse.dir') + '/_checkpoints').rstrip('/')}/corvane-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: df written as a table in the shared folder, and read back. What was written outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def doc_remainder(doc_id, modulus: int):
@@ -59,6 +69,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def remainder_sql(doc_id: str, modulus: int) -> str:
+    """doc_remainder() in SQL."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    table = f"list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: {step}))"
+    codes = f"list_transform(string_split(coalesce({doc_id}::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)"
+    codes = f"CASE WHEN {doc_id} IS NULL THEN [] ELSE {codes} END"
+    return f"(SELECT xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {modulus} FROM (SELECT {table} AS t) _)"
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts add up to about limit bytes (one text at least), with the texts as UTF-8."""
     for batch in batches:
