@@ -6,10 +6,13 @@ is the Jensen-Shannon distance (the root of the divergence in bits, 0 to 1). The
 all documents of a language. A document is kept if, for some language, both distances are small enough; each
 rule has a least length, as the histograms of short texts say little.
 
-A null text has no words and is rejected for that. Documents without a language, or whose language has too
-few documents, add to no reference. Of a document whose language has none, only the base rules decide; one without
-a language is held against all references, if there are any. Repeated rows count
-as often as they are there. Other columns are passed on as they are; names of results replace equal ones.
+A null text has no words and is rejected for that, and so is an empty one. Documents without a language, or whose
+language has too few documents, add to no reference. Of a document whose language has none, only the base rules decide;
+one without a language is held against all references, if there are any. Words that are equally common in a language
+are taken in their order. Repeated rows count as often as they are there; an empty table gives an empty one. Texts of
+any length count whole. Other columns are passed on; those named like a result are replaced.
+
+References are part of the plan: over LANGUAGES languages with enough documents, judge() raises ValueError.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from . import common
 #: Character classes: name and the characters, as a class of Java's regular expressions. All others but white space are one more.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{N}", "symbol": r"#*$%&|<>", "stop": r".,;:!?"}
 CLASS_NAMES = (*CLASSES, "other")
-#: A language's common words: how many, and of how many characters at most.
-COMMON_WORDS, SHORT = 40, 6
+#: A language's common words, and languages that have references, at most.
+COMMON_WORDS, LANGUAGES = 40, 200
 #: The largest distance of a text that is kept, by histogram, and the least length from which it counts.
 MOST_CLASSES, LEAST_CHARS = 0.27, 100
 MOST_WORDS, LEAST_WORDS = 0.45, 40
 #: A language needs as many documents for a reference.
 LEAST_DOCS = 10
-#: What a document counts for in a reference, dealt out to its words.
-WEIGHT = 1_000_000
+#: What a document counts for in a reference, dealt out to its words: whole numbers, so that sums don't depend on the order.
+WEIGHT = 1_000_000_000
+#: The columns of the verdict.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 _SPACE = r"[\x09-\x0D ]"
 
@@ -96,8 +101,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("base", "_windows", "_lines", *steps)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
-    """By language: class shares, common words (of SHORT characters at most) and their shares.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = LANGUAGES) -> list[dict]:
+    """By language: class shares, common words and their shares.
 
     Every document deals WEIGHT out to its characters, and to its words, evenly. The weights are summed by
     language and by language and word, with map-side combining. To the driver come a row for each language and
@@ -109,11 +114,14 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     for name, step in steps.items():
         classed = classed.withColumn(name, step)
     classed = once(classed, "n", F.array(*counts)).withColumn("total", F.greatest(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)))
-    sums = [F.sum(F.floor(WEIGHT * F.col("n")[i] / F.col("total"))) for i in range(len(CLASS_NAMES))]
+    sums = [F.sum(F.call_function("div", WEIGHT * F.col("n")[i], F.col("total"))) for i in range(len(CLASS_NAMES))]
     totals = classed.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.array(*sums).alias("classes"))
-    found = {r["lang"]: r.asDict() for r in totals.where(F.col("docs") >= LEAST_DOCS).collect()}
+    rows = totals.where(F.col("docs") >= LEAST_DOCS).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} languages with {LEAST_DOCS} documents or more")
+    found = {r["lang"]: r.asDict() for r in rows}
     listed = once(known.where(F.col("lang").isin(list(found))), "words", words_of(F.col("text")))
-    listed = listed.select("lang", F.floor(WEIGHT / F.greatest(F.size("words"), F.lit(1))).alias("weight"), F.explode(F.filter("words", lambda w: F.length(w) <= SHORT)).alias("word"))
+    listed = listed.select("lang", F.call_function("div", F.lit(WEIGHT), F.greatest(F.size("words"), F.lit(1))).alias("weight"), F.explode("words").alias("word"))
     by_word = listed.groupBy("lang", "word").agg(F.sum("weight").alias("n"))
     ranked = by_word.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     for row in ranked.where(F.col("rank") <= COMMON_WORDS).collect():  # each task passes on so many of a language at most
@@ -169,10 +177,13 @@ def distances(measured: DataFrame, refs: list[dict]) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the counts of the base rules, class_distance, word_distance, base_failed and kept.
+    """docs with the counts of the base rules, base_failed, kept, class_distance and word_distance (to six places).
 
     Two passes over docs: one sums up the references, one judges. A row's verdict needs no shuffle.
     """
+    names = docs.columns
+    docs = docs.toDF(*[f"_{k}" for k in range(len(names))])  # no name of the caller's stands in the way of ours
+    text, lang = f"_{names.index(text)}", f"_{names.index(lang)}"
     refs = references(docs, text, lang)
     measured = measure(docs, text)
     measured = distances(measured, refs) if refs else measured.withColumn("distance", F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("w")))
@@ -180,12 +191,52 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     fits &= (F.col("n_words") < LEAST_WORDS) | (F.col("distance.w") <= MOST_WORDS)
     if refs:
         fits |= F.col(lang).isNotNull() & ~F.col(lang).isin([r["lang"] for r in refs])
-    out = measured.withColumns({"class_distance": F.col("distance.c"), "word_distance": F.col("distance.w"), "kept": ~F.col("base_failed") & fits})
-    return out.drop("word_list", "class_n", "distance")
+    out = measured.withColumns({"class_distance": F.round("distance.c", 6), "word_distance": F.round("distance.w", 6), "kept": ~F.col("base_failed") & fits})
+    return out.select(*[F.col(f"_{k}").alias(n) for k, n in enumerate(names) if n not in RESULTS], *RESULTS)
+
+
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs that judge() keeps, as they are."""
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    judged = judge(numbered, f"c{names.index(text)}", f"c{names.index(lang)}")
+    return judged.where("kept").select(numbered.columns).toDF(*names)
 
 
 def verdicts(spark, sf_dir: str) -> DataFrame:
     """The query: every document's counts, distances and verdict."""
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
-    return judge(docs).select("doc_id", *names)
+    return judge(common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+
+
+def oracle() -> str:
+    """The query in SQL: the same references, as tables, and the same distances."""
+    space = "[\\x09-\\x0D ]"
+    strip, left = [], "t"
+    for name in ("lower", "space", *list(CLASSES)[1:]):
+        chars = CLASSES[name] if name != "space" else "\\x09-\\x0D "
+        strip.append((name, left, f"regexp_replace({left}, '[{chars}]+', '', 'g')"))
+        left = f"s_{name}"
+    steps = ", ".join(f"a{k} AS (SELECT *, {made} AS s_{name} FROM {f'a{k - 1}' if k else 'doc'})" for k, (name, _, made) in enumerate(strip))
+    counts = ", ".join(f"length({before}) - length(s_{name})" for name, before, _ in strip if name != "space")
+    half = lambda x, p, q: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) ELSE 0 END"
+    term = lambda p, q: f"({half(p, p, q)} + {half(q, p, q)})"
+    return f"""WITH doc AS (SELECT doc_id, lang, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), {steps},
+cls AS (SELECT r, doc_id, lang, t, [{counts}, length({left})] AS n FROM a{len(strip) - 1}),
+wrd AS (SELECT *, list_sum(n)::BIGINT AS chars, list_filter(string_split_regex(t, '{space}+'), lambda w: w <> '') AS w FROM cls),
+ref AS (SELECT lang, count(*) AS docs, [{", ".join(f"sum(({WEIGHT}::BIGINT * n[{i + 1}]) // greatest(chars, 1))" for i in range(len(CLASS_NAMES)))}] AS c FROM wrd WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_DOCS}),
+com AS (SELECT lang, word, sum(weight) AS n FROM (SELECT lang, {WEIGHT}::BIGINT // greatest(len(w), 1) AS weight, unnest(w) AS word FROM wrd WHERE lang IN (SELECT lang FROM ref)) GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
+shr AS (SELECT lang, word, com.n::DOUBLE / ({WEIGHT}::DOUBLE * docs) AS q FROM com JOIN ref USING (lang)),
+rest AS (SELECT lang, sum(q) AS listed FROM shr GROUP BY lang),
+pos AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS k FROM wrd),
+tf AS (SELECT r, word, count(*)::DOUBLE / any_value(k) AS p FROM pos GROUP BY r, word),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c, d, e) AS c FROM (SELECT r, i, k, word AS a, lead(word, 1) OVER x AS b, lead(word, 2) OVER x AS c, lead(word, 3) OVER x AS d, lead(word, 4) OVER x AS e FROM pos WINDOW x AS (PARTITION BY r ORDER BY i)) WHERE i <= k - 4),
+rep AS (SELECT r, count(DISTINCT i + o) AS n FROM win, range(5) t(o) WHERE c > 1 GROUP BY r),
+lin AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM wrd) WHERE regexp_matches(line, '[^\\x09-\\x0D ]') GROUP BY r),
+met AS (SELECT tf.r, shr.lang AS l, sum({term("p", "q")} - q) AS t, sum(p) AS p FROM tf JOIN shr USING (word) GROUP BY tf.r, shr.lang),
+dist AS (SELECT wrd.r, x.lang AS l, sqrt(greatest(({" + ".join(term(f"(wrd.n[{i + 1}] / greatest(chars, 1)::DOUBLE)", f"(x.c[{i + 1}] / x.tot)") for i in range(len(CLASS_NAMES)))}) / 2, 0)) AS c,
+ sqrt(greatest((listed + coalesce(met.t, 0) + {term("greatest(1 - coalesce(met.p, 0), 0)", "greatest(1 - listed, 0)")}) / 2, 0)) AS w
+ FROM wrd CROSS JOIN (SELECT lang, c, greatest(list_sum(c), 1)::DOUBLE AS tot FROM ref) x JOIN rest ON rest.lang = x.lang LEFT JOIN met ON met.r = wrd.r AND met.l = x.lang),
+best AS (SELECT r, c, w FROM dist QUALIFY row_number() OVER (PARTITION BY r ORDER BY greatest(c / {MOST_CLASSES}, w / {MOST_WORDS}), c, w) = 1),
+base AS (SELECT wrd.r, doc_id, lang, len(w)::BIGINT AS n_words, chars AS word_chars, wrd.n[{CLASS_NAMES.index("symbol") + 1}]::BIGINT AS n_symbols, coalesce(lin.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM wrd LEFT JOIN lin ON lin.r = wrd.r LEFT JOIN rep ON rep.r = wrd.r),
+judged AS (SELECT base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(c, 0) AS c, coalesce(best.w, 0) AS w FROM base LEFT JOIN best ON best.r = base.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ((word_chars < {LEAST_CHARS} OR c <= {MOST_CLASSES}) AND (n_words < {LEAST_WORDS} OR w <= {MOST_WORDS}) OR (EXISTS (SELECT 1 FROM ref) AND lang IS NOT NULL AND lang NOT IN (SELECT lang FROM ref))) AS kept, round(c, 6) AS class_distance, round(w, 6) AS word_distance FROM judged"""
