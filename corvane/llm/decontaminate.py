@@ -10,7 +10,9 @@ them, the p - n + 1 rarest are its seeds, of which such an alignment then has on
 n of the n-grams, the stretch around it that the alignment can cover is aligned with the item word by word.
 
 Items of one or two words have one seed, themselves. Null and empty texts leak nothing, null or empty items
-are not looked for. Repeated rows and items give repeated results.
+are not looked for. Repeated rows and items give repeated results; of equally good places in a text the first one counts.
+With an empty table of documents or of items there are no results. Of long texts only the stretches around seeds are
+aligned. Other columns aren't read; clean() passes all on.
 """
 
 from __future__ import annotations
@@ -217,9 +219,12 @@ def _block(spark, docs: DataFrame, items: Items, least: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item (those without an id stay)."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_leaking"), "left_anti")
+    """The rows of docs whose text leaks no item (whatever other rows with their id have; null texts stay)."""
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("row", F.xxhash64(F.lit(0), f"c{names.index('text')}"))
+    texts = numbered.select("row", F.col(f"c{names.index('text')}").alias("text"))
+    found = leaks(texts, benchmark, doc_id="row").select(F.col("doc_id").alias("row")).distinct()
+    return numbered.join(found, "row", "left_anti").drop("row").toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
