@@ -1,16 +1,18 @@
 """Near-duplicates by SimHash, searched with vantage-point trees.
 
 A fingerprint's bit is 1 if it is set in over half the hashes of a text's shingles. Equal fingerprints are one
-point. A vantage-point tree, grown on the driver from a bounded sample, parts the points by their Hamming
-distance from a chosen one: those within its radius, and those beyond it. By the triangle bound two points on
-different sides can only be neighbours if the inner one is less than the linking distance from the border;
-such points go to both sides, so every pair of neighbours meets in some leaf. Leaves are the shards; in each,
-the same parting goes on in memory until few points are left, which are compared all with all, and what comes
-out is one edge for each point that isn't the first of its group, not the pairs. Leaves with too many points
-(close ones can't be parted) are dealt out to pairs of blocks. Components are found from the edges.
-
-Null and empty texts have fingerprint zero and are linked like any other. Rows whose id is null are left out;
-repeated rows give repeated results. An empty table gives an empty one.
+point. A vantage-point tree, grown on the driver from a sample of the points, parts them by their Hamming distance
+from a chosen one: those within its radius, and those beyond it. By the triangle bound two points on different
+sides can only be neighbours if the inner one is less than the linking distance from the border; such points go to
+both sides, so every pair of neighbours meets in some leaf. Leaves are the shards; one that still has too many points
+gets a tree of its own, until all are small enough. In each the same parting goes on in memory until few points are
+left, which are compared all with all, and what comes out is one edge for each point that isn't the first of its
+group, not the pairs. (Points that no tree parts, all close to one another, are dealt out to pairs of blocks; there
+are at most 43,745 points within DISTANCE of any.) Components are found from the edges.
+
+Null and empty texts have fingerprint zero and are linked like any other. Rows whose id is null are left out. Repeated
+rows give repeated results, rows that share an id each have the fingerprint of their own text, and an empty table gives
+an empty one. Long texts are hashed piece by piece. fingerprints() replaces a column named like its result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from . import common
 from .components import connected
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-#: Points from which the tree is grown, at most; how many points a shard should have; and from how many it is dealt out to pairs of blocks.
-SAMPLE, SHARD, MOST = 20_000, 20_000, 100_000
+#: How many points a shard has at most, how many it should have where there are few, and points of a sample for each shard.
+MOST, SHARD, EACH = 500_000, 20_000, 24
+#: Points of all samples of a round together, at least and at most (16 MB on the driver).
+LEAST_SAMPLE, SAMPLE = 20_000, 2_000_000
 #: Points that are compared all with all, and steps of parting below which a leaf isn't worth another.
 FEW = 256
 #: A point is parted from the sample's this often at most.
@@ -40,28 +44,26 @@ def fingerprint_of(data: bytes, shingle: int = SHINGLE) -> int:
     words = data.lower().split()
     if not words:
         return 0
-    if len(words) < shingle:
-        parts = [b" ".join(words)]
-    else:
-        parts = [b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))]
     digest, ones, step = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 1 << 16
-    for start in range(0, len(parts), step):
-        hashes = np.array([digest(p, SEED) for p in parts[start : start + step]], np.uint64)
+    total = max(1, len(words) - shingle + 1)
+    for start in range(0, total, step):
+        own = words[start : start + step + shingle - 1]
+        parts = [b" ".join(p) for p in zip(*(own[i:] for i in range(shingle)))] or [b" ".join(own)]
+        hashes = np.array([digest(p, SEED) for p in parts], np.uint64)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", output: str = "fingerprint") -> DataFrame:
     """docs without text, with its fingerprint (a long with the same bits)."""
+    docs, names, schema = common.reduced(docs, [text], {output: "long"}, last=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.chunks(batches, text):
+        for batch, texts in common.chunks(batches, len(names)):
             found = np.array([fingerprint_of(t) if t else 0 for t in texts], np.uint64).view(np.int64)
-            names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(found)], [*names, output])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*names, output])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(run, f"{columns}, `{output}` long")
+    return docs.mapInArrow(run, schema)
 
 
 def _distances(points: np.ndarray, to: int | np.uint64) -> np.ndarray:
@@ -174,31 +176,54 @@ def link(points: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarr
     return points[moved], points[tops[moved]]
 
 
+def _sampled(routed: DataFrame, leaves: DataFrame, total: int, shards: dict[int, int]) -> dict[int, Tree]:
+    """A tree for each of the leaves (leaf), which have `total` points, from a sample of theirs: those of least hash."""
+    wanted = min(SAMPLE, max(LEAST_SAMPLE, EACH * sum(shards.values())))
+    share = min(1.0, wanted / max(1, total))
+    own = routed.join(F.broadcast(leaves), "leaf").where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).toPandas()
+    return {leaf: Tree(part["fp"].to_numpy(np.int64).view(np.uint64), shards[leaf]) for leaf, part in own.groupby("leaf")}
+
+
 def edges(points: DataFrame) -> DataFrame:
-    """Edges (a, b: fingerprints as longs) that link the same groups as all pairs of neighbours among points (fp: long, distinct)."""
+    """Edges (a, b: fingerprints as longs) that link the same groups as all pairs of neighbours among points (fp: long, distinct).
+
+    To the driver come samples of SAMPLE points a round at most, and a row for each leaf (a MOST-th of the points, or SHARDs
+    as long as there are no more of them than shuffle partitions).
+    """
     spark = points.sparkSession
-    total = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(Tree(sample, max(1, round(total / SHARD))))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for leaf, own in tree.value.route(fps):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), leaf, np.int32)), pa.array(fps[own].view(np.int64))], ["leaf", "fp"])
-
-    routed = points.mapInArrow(route, "leaf int, fp long")
-    # leaves that are too large are dealt out to pairs of blocks: a table of leaves, as many as the sample allows
-    sizes = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {leaf: -(-n // (MOST // 2)) for leaf, n in sizes.items() if n > MOST}
-    if blocks:
-        count = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("leaf")]
-        routed = routed.withColumn("blocks", F.coalesce(count, F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-        pair = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y"))))
-        pair = F.coalesce(pair, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))
-        routed = routed.withColumn("pair", F.explode(pair)).select("leaf", "pair.x", "pair.y", "own", "fp")
-    else:
-        routed = routed.select("leaf", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"), "fp")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routed = points.select(F.lit(0).cast("long").alias("leaf"), "fp")
+    sizes, done, size = {0: points.count()}, [], None
+    while sizes:
+        # leaves to part, and how many shards each should give
+        total = sum(sizes.values())
+        size = size or max(MOST // 2, 1) if total > parts * SHARD else SHARD
+        shards = {leaf: max(1, round(n / size)) for leaf, n in sizes.items()}
+        leaves = spark.createDataFrame([(leaf,) for leaf in sizes], "leaf long")
+        trees = spark.sparkContext.broadcast(_sampled(routed, leaves, total, shards))
+        base = {leaf: k for leaf, k in zip(trees.value, np.cumsum([0, *(t.leaves for t in trees.value.values())]).tolist())}
+
+        def route(batches: Iterator[pa.RecordBatch], trees=trees, base=base) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+                for name in np.unique(leaf).tolist():
+                    own = fps[leaf == name]
+                    for k, which in trees.value[name].route(own) if name in trees.value else ():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), base[name] + k)), pa.array(own[which].view(np.int64))], ["leaf", "fp"])
+
+        before = total
+        routed = common.durable(routed.join(F.broadcast(leaves), "leaf").mapInArrow(route, "leaf long, fp long"))
+        found = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {leaf: n for leaf, n in found.items() if n > MOST}
+        small = spark.createDataFrame([(leaf,) for leaf in found if leaf not in sizes], "leaf long")
+        done.append(routed.join(F.broadcast(small), "leaf").select(F.lit(len(done)).alias("round"), "leaf", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"), "fp"))
+        if len(found) == 1 and sizes and sum(sizes.values()) >= before:  # nothing parts them: pairs of blocks
+            blocks = -(-max(sizes.values()) // max(1, MOST // 2))
+            own = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
+            pair = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y")))
+            dealt = routed.withColumn("own", own).withColumn("pair", F.explode(pair))
+            done.append(dealt.select(F.lit(len(done)).alias("round"), "leaf", "pair.x", "pair.y", "own", "fp"))
+            sizes = {}
 
     def search(own: pd.DataFrame) -> pd.DataFrame:
         fps, block = own["fp"].to_numpy(np.int64).view(np.uint64), own["own"].to_numpy()
@@ -209,24 +234,34 @@ def edges(points: DataFrame) -> DataFrame:
             a, b = link(fps[first], fps[~first])
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return routed.groupBy("leaf", "x", "y").applyInPandas(search, "a long, b long")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("round", "leaf", "x", "y").applyInPandas(search, "a long, b long")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """prints (doc_id, fp, and more) with component_id, by components of the fingerprints: the smallest id of any of its rows."""
+    points = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    groups = connected(edges(points.select("fp"))).withColumnsRenamed({"node": "fp", "component": "group"})
+    named = common.durable(points.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    return prints.join(common.durable(named.join(least, "group").select("fp", "component_id", "group")), "fp")
+
+
+def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    return fingerprints(own.where(F.col("doc_id").isNotNull()), output="fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint as a long, component_id) of every row: component_id is the smallest id that links lead to.
 
-    The fingerprints are written once to the shared checkpoint folder; texts are read once and never shuffled.
+    The fingerprints are written once to the shared checkpoint folder; texts are read once and never shuffled. Rows that
+    share an id are linked only if their fingerprints are.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    prints = common.durable(fingerprints(own, output="fp"))
-    points = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = edges(points.select("fp"))
-    # nodes are the smallest ids of the fingerprints, so that the smallest node names the component
-    name = points.select(F.col("fp").alias("a"), F.col("first").alias("x")), points.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    linked = found.join(name[0], "a").join(name[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = connected(linked)
-    named = points.join(groups.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    prints = common.durable(_read(docs, doc_id, text).drop("hash"))
+    return _grouped(prints).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -236,8 +271,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows that share the id, one. Rows without an id stay."""
-    found = near_duplicates(docs, doc_id, text)
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(firsts, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.select(docs.columns).union(docs.where(F.col(doc_id).isNull()))
+    """One row of docs of each component: the one with the smallest id, of rows that share it the one whose text has the
+    least hash, of those with the same text the first by its other columns as JSON. Rows without an id stay."""
+    prints = common.durable(_read(docs, doc_id, text))
+    firsts = _grouped(prints).groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("first")).select("first.doc_id", "first.hash")
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own, body = F.col(f"c{names.index(doc_id)}"), F.col(f"c{names.index(text)}")
+    keyed = numbered.where(own.isNotNull()).withColumns({"doc_id": own.cast("long"), "hash": F.xxhash64(body)})
+    kept = keyed.join(common.durable(firsts), ["doc_id", "hash"], "left_semi")
+    others = [c for c in numbered.columns if c != f"c{names.index(text)}"]
+    whole = kept.groupBy("doc_id", "hash").agg(F.min_by(F.struct(*numbered.columns), F.to_json(F.struct(*others))).alias("row")).select("row.*")
+    return whole.unionByName(numbered.where(own.isNull())).toDF(*names)
