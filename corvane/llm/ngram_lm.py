@@ -86,7 +86,9 @@ class Request:
             turn = np.argsort(keys)
             self.numbers[order], self.keys[order] = own[turn], keys[turn]
             inner = np.searchsorted(self.keys[order], np.array([(k << 64) // parts for k in range(1, parts)], np.uint64))
-            self.ends[order] = list(enumerate(zip([0, *inner.tolist()], [*inner.tolist(), len(keys)])))
+            edges = np.concatenate(([0], inner, [len(keys)]))
+            #: of the ranges it has keys of: with more ranges there are no more blocks than keys
+            self.ends[order] = [(k, (int(edges[k]), int(edges[k + 1]))) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
 _BLOCKS = "part int, order int, bucket int, keys binary, counts binary, types long, tokens long"
@@ -194,4 +196,19 @@ def score(docs: DataFrame, prior: float = PRIOR, part_bytes: int = PART_BYTES) -
 def query(spark, sf_dir: str) -> DataFrame:
     """The query: learned from six sevenths of the documents, scored for all."""
     docs = common.read(spark, sf_dir, "documents")
-    return score(docs.select("doc_id", (common.doc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text"))
+    found = score(docs.select("doc_id", (common.doc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text"))
+    return found.withColumns({n: F.round(n, 6) for n in ("base_score", "score")})
+
+
+def oracle() -> str:
+    """The query in SQL: the model's probabilities by joins."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    p = "(coalesce(u.c, 0) + 1) / (n + v + 1)::DOUBLE"
+    return f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {common.remainder_sql("doc_id", 7)} = 2 AS held_out, list_append(list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x09-\\x0D ]+'), lambda w: w <> ''), ' end') AS w FROM documents),
+tok AS (SELECT r, held_out, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' start') AS prev FROM (SELECT r, held_out, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc)),
+uni AS (SELECT word, count(*) AS c FROM tok WHERE NOT held_out GROUP BY word),
+big AS (SELECT prev, word, count(*) AS c FROM tok WHERE NOT held_out GROUP BY prev, word),
+tot AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM uni),
+sta AS (SELECT word, c FROM uni UNION ALL SELECT ' start', c FROM uni WHERE word = ' end'),
+sco AS (SELECT r, count(*) AS n_tokens, count(u.c) AS n_known, sum(log10({p})) AS base, sum(log10((coalesce(b.c, 0) + {PRIOR} * {p}) / (coalesce(s.c, 0) + {PRIOR}))) AS score FROM tok CROSS JOIN tot LEFT JOIN uni u ON u.word = tok.word LEFT JOIN big b ON b.word = tok.word AND b.prev = tok.prev LEFT JOIN sta s ON s.word = tok.prev GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n::BIGINT AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM doc JOIN sco USING (r) CROSS JOIN tot"""
