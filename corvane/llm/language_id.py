@@ -7,7 +7,12 @@ one with the best penalised likelihood (half a logarithm of the number of units
 from all, the least is dropped while that doesn't make it worse. Its largest proportion names the language.
 
 Null texts and texts without a letter get 'und' with score 0. Rows with a null language or text teach nothing;
-with nothing learned, every text is 'und'. Equal proportions go to the language that sorts first.
+with nothing learned, every text is 'und'. Equal proportions go to the language that sorts first. Repeated rows teach
+and are identified as often as they are there, an empty table gives an empty one. Units of a long text are scored
+piece by piece. Columns named like a result are replaced, others are passed on.
+
+The model has BUCKETS numbers for each language and is broadcast: with over `most` languages (LANGUAGES of them if not
+told otherwise) learning raises ValueError, before anything of it is gathered.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from . import common
 BUCKETS = 1 << 15
 UNIT_WORDS = 4
 ROUNDS = 10
+#: Languages that are learned, at most (64 MB), and bytes that are scored at once.
+LANGUAGES, PIECE = 500, 1 << 20
 
 #: Bytes that count as white space between words: all of ASCII but letters.
 _BLANK = np.array([not (chr(b).isalpha() or b >= 128) for b in range(256)])
@@ -74,8 +81,11 @@ class Model:
         self.logs = np.ascontiguousarray(np.log(shown).T.astype(np.float32))
 
     @classmethod
-    def learn(cls, docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-        """From all rows of docs; a bounded table (languages times buckets) comes to the driver."""
+    def learn(cls, docs: DataFrame, lang: str = "lang", text: str = "text", most: int = LANGUAGES) -> Model:
+        """From all rows of docs; a table of `most` languages times buckets at most comes to the driver."""
+        names = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang).distinct()
+        if names.limit(most + 1).count() > most:
+            raise ValueError(f"over {most} languages to learn")
         table = count(docs, lang, text).toArrow().to_pydict()
         langs = sorted(set(table["lang"]))
         counts = np.zeros((len(langs), BUCKETS))
@@ -97,9 +107,17 @@ class Model:
         heads = heads[nth % UNIT_WORDS == 0]
         if not len(heads):
             return np.zeros((0, len(self.langs)), np.float32), heads
-        scores = self.logs[_grams(data)]
-        scores[~letters] = 0
-        return np.add.reduceat(scores, heads, axis=0), doc[heads]
+        out = np.empty((len(heads), len(self.langs)), np.float32)
+        edges, a = np.append(heads, len(letters)), 0
+        while a < len(heads):  # as many units as fit in a piece, one at least
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + PIECE, side="right")) - 1)
+            b = min(b, len(heads))
+            low, high = int(edges[a]), int(edges[b])
+            scores = self.logs[_grams(data[low : high + 2])]
+            scores[~letters[low:high]] = 0
+            out[a:b] = np.add.reduceat(scores, heads[a:b] - low, axis=0)
+            a = b
+        return out, doc[heads]
 
     def infer(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text, proportions of all languages before any is dropped, and of those that remain (0 for others)."""
@@ -156,12 +174,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A narrow operation; the model, of bounded size, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    results = {"lang_pred": "string", "score": "double", "shares": "map<string,double>"}
+    docs, names, schema = common.reduced(docs, [text], results, last=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
         own.langs, own.logs = shared.value
-        for batch, texts in common.chunks(batches, text, 1 << 20):
-            names = [n for n in batch.schema.names if n != text]
+        for batch, texts in common.chunks(batches, len(names), 1 << 20):
             known = np.array([bool(own.langs) and t is not None and common.has_letter(t.decode()) for t in texts])
             langs, scores, sets = ["und"] * len(texts), np.zeros(len(texts)), [{}] * len(texts)
             if known.any():
@@ -171,12 +190,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         top = int(b.argmax())
                         langs[i], scores[i] = own.langs[top], min(1.0, float(a[top]))
                         sets[i] = {own.langs[j]: float(b[j]) for j in np.flatnonzero(b > 0)}
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             shares = pa.array([list(x.items()) for x in sets], pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(scores), shares], [*names, "lang_pred", "score", "shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(scores), shares], [*names, *results])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(run, f"{columns}, lang_pred string, score double, shares map<string,double>")
+    return docs.mapInArrow(run, schema)
 
 
 def predicted(spark, sf_dir: str) -> DataFrame:
