@@ -6,16 +6,20 @@ document frequency over all documents. The leading directions of a bounded sampl
 the latent space. The sample's vectors are broadcast; every document is compared with all of them in blocks, and
 its NEIGHBOURS nearest vote, each with its cosine. The score is the share of votes for label 1.
 
-The sample takes at most SAMPLE labelled documents, those whose hashed ids come first; the rest of the training
-labels isn't used. A document with several labels has the least. Null and empty texts have a zero vector: all
-labelled documents are then as near, and the share of label 1 among them is the score. With no labels every score
-is 0.5. Neighbours that are equally near are taken in the sample's order.
+The sample takes at most `most` labelled documents (SAMPLE of them in the query), those whose hashed ids come first; the
+rest of the training labels isn't used. A document with several labels has the least, of texts that share an id that
+with the least hash is learned from. Null and empty texts have a zero vector: all labelled documents are then as near,
+and the share of label 1 among them is the score. With no labels every score is 0.5. Neighbours that are equally near
+(to six places) are taken in the sample's order, that of ids. Repeated rows are scored as often as they are there, an
+empty table gives an empty one. Words and texts of any length are taken whole; a long text's features are added up
+piece by piece. A column named score is replaced, others are passed on.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 13
+#: Labelled documents that are learned from, at most.
 SAMPLE = 3000
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -44,8 +49,8 @@ class Features(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        shape = _runs.sub(rb"\1", word.translate(_KINDS)) if len(word) < 200 else b"long"
-        found = (xxhash.xxh64_intdigest(word.lower()[:64], 1) % BUCKETS) << 32 | xxhash.xxh64_intdigest(b"\0" + shape, 1) % BUCKETS
+        shape = _runs.sub(rb"\1", word.translate(_KINDS))
+        found = (xxhash.xxh64_intdigest(word.lower(), 1) % BUCKETS) << 32 | xxhash.xxh64_intdigest(b"\0" + shape, 1) % BUCKETS
         if len(word) < 200:
             self[word] = found
         return found
@@ -54,16 +59,29 @@ class Features(dict):
 _REPEAT = xxhash.xxh64_intdigest(b"\0repeat", 1) % BUCKETS
 
 
+#: Words whose features are counted at once.
+_WORDS = 1 << 20
+
+
 def counts(texts: list[bytes | None], features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, count) of all texts' features, sorted."""
+    found, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
     lists = [t.split() if t else [] for t in texts]
     lengths = np.array([len(x) for x in lists], np.int64)
-    both = np.fromiter((features[w] for x in lists for w in x), np.int64, int(lengths.sum()))
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    again = np.flatnonzero((both[1:] == both[:-1]) & (doc[1:] == doc[:-1])) + 1
-    keys = np.concatenate([doc * BUCKETS + (both >> 32), doc * BUCKETS + (both & 0xFFFFFFFF), doc[again] * BUCKETS + _REPEAT])
-    keys, n = np.unique(keys, return_counts=True)
-    return keys // BUCKETS, keys % BUCKETS, n
+    words, doc = (w for x in lists for w in x), np.repeat(np.arange(len(texts)), lengths)
+    before = (-1, -1)
+    for a in range(0, len(doc), _WORDS):
+        own = doc[a : a + _WORDS]
+        both = np.fromiter((features[w] for w in islice(words, len(own))), np.int64, len(own))
+        again = (both == np.concatenate(([before[1]], both[:-1]))) & (own == np.concatenate(([before[0]], own[:-1])))
+        before = (int(own[-1]), int(both[-1]))
+        keys = np.concatenate([own * BUCKETS + (both >> 32), own * BUCKETS + (both & 0xFFFFFFFF), own[again] * BUCKETS + _REPEAT])
+        keys, n = np.unique(keys, return_counts=True)
+        if len(found):
+            keys, where = np.unique(np.concatenate((found, keys)), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate((total, n))).astype(np.int64)
+        found, total = keys, n
+    return found // BUCKETS, found % BUCKETS, total
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -116,11 +134,12 @@ class Space:
         return cls(weights, np.ascontiguousarray((start @ turn[:rank].T).astype(np.float32)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of at most SAMPLE labelled documents; features are made where the texts are."""
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = SAMPLE) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, buckets, counts) of at most `most` labelled documents, by id; features are made where the texts are."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    own = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = own.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -136,36 +155,41 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple
     return [(int(r["quality"]), np.array(r["buckets"], np.int64), np.array(r["counts"], np.int64)) for r in rows]
 
 
+def nearest(cosine: np.ndarray, near: int) -> np.ndarray:
+    """Which columns of each row are among the `near` largest; of equal ones the first."""
+    least = np.partition(cosine, cosine.shape[1] - near, axis=1)[:, [cosine.shape[1] - near]]
+    above = cosine > least
+    even = cosine == least
+    even &= np.cumsum(even, axis=1, dtype=np.int32) <= near - above.sum(1, keepdims=True)
+    return above | even
+
+
 def vote(docs: DataFrame, space: Space, vectors: np.ndarray, labels: np.ndarray, text: str = "text") -> DataFrame:
     """docs without text, with score. Exact cosines to all labelled vectors, in blocks; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((space, vectors, labels))
+    docs, names, schema = common.reduced(docs, [text], {"score": "double"}, last=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, vectors, labels = shared.value
         features, near = Features(), min(NEIGHBOURS, len(labels))
-        for batch, texts in common.chunks(batches, text, 1 << 21):
+        for batch, texts in common.chunks(batches, len(names), 1 << 21):
             scores = np.full(len(texts), 0.5)
             if near:
                 own = space.vectors(len(texts), *counts(texts, features))
                 for a in range(0, len(texts), 512):
-                    part = own[a : a + 512]
-                    cosine = part @ vectors.T
-                    top = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-                    weight = np.maximum(np.take_along_axis(cosine, top, 1), 0)
+                    cosine = np.round(own[a : a + 512] @ vectors.T, 6)
+                    weight = np.where(nearest(cosine, near), np.maximum(cosine, 0), 0).astype(np.float64)
                     total = weight.sum(1)
-                    share = (weight * labels[top]).sum(1) / np.maximum(total, 1e-12)
-                    scores[a : a + 512] = np.where(total > 0, share, labels.mean())
-            names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(np.clip(scores, 0, 1))], [*names, "score"])
+                    scores[a : a + 512] = np.where(total > 0, weight @ labels / np.maximum(total, 1e-12), labels.mean())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(scores, 0, 1))], [*names, "score"])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(run, f"{columns}, score double")
+    return docs.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score: training and labels give the sample, docs the document frequencies."""
+def score(docs: DataFrame, training: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """docs with score in place of text: training and labels give the sample of at most `most`, docs the document frequencies."""
     found, total = frequencies(docs)
-    rows = sample(training, labels)
+    rows = sample(training, labels, most=most)
     space = Space.fit([(b, n) for _, b, n in rows], found, total)
     doc = np.repeat(np.arange(len(rows)), [len(b) for _, b, _ in rows]) if rows else np.zeros(0, np.int64)
     joined = [np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64) for k in (1, 2)]
