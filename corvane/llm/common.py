@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -60,8 +62,8 @@ def reduced(docs: DataFrame, drop: list[str], results: dict[str, str], last: str
     fields = [f for f in docs.schema.fields if f.name.lower() not in gone]
     names = [f.name for f in fields]
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {kind}" for n, kind in results.items())])
-    kept = [docs[quoted(n)] for n in names]
-    return docs.select(*kept, *([docs[quoted(last)].alias("_last")] if last else [])), names, schema
+    own = "_" * (1 + max(map(len, names), default=0))  # longer than any other name
+    return docs.select(*[docs[quoted(n)] for n in names], *([docs[quoted(last)].alias(own)] if last else [])), names, schema
 
 
 def quoted(name: str) -> str:
@@ -78,6 +80,13 @@ def remainder_sql(doc_id: str, modulus: int) -> str:
     return f"(SELECT xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {modulus} FROM (SELECT {table} AS t) _)"
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose texts add up to about limit bytes (one text at least), with the texts as UTF-8."""
     for batch in batches:
@@ -91,6 +100,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = CHUN
             stop = min(stop, batch.num_rows)
             yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
             start = stop
+    trim()
 
 
 _LETTER = re.compile(r"[^\W\d_]")

@@ -14,4 +14,10 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.digests,
     "op10_knn_quality": knn_quality.query,
 }
-ORACLES: dict[str, str] = {}
+#: Fingerprints, alignments, chains, merges and models that are fitted have no SQL; their queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle(),
+    "op4_license_scan": license_scan.oracle(),
+    "op5_ngram_lm": ngram_lm.oracle(),
+    "op7_suffix_dedup": suffix_dedup.oracle(),
+}

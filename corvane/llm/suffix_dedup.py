@@ -333,6 +333,7 @@ def _scanned(length: int, named: bool):
                 size += len(row[2])
         if held[0]:
             yield flush(*held)
+        common.trim()
 
     return run
 
@@ -447,3 +448,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     """The query: what is left of every document, as counts and a digest."""
     found = remove(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    """The query in SQL: every string by its hash. Bytes are written in hexadecimal, in pieces, as a place in a long text is slow to reach."""
+    piece, size = 2000, 2 * LENGTH
+    return f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pce AS (SELECT r, a, substr(h, 2 * a + 1, {2 * (piece + LENGTH - 1)}) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2, {piece})) AS a FROM doc)),
+str AS (SELECT r, a + i AS p, md5(substr(h, 2 * i + 1, {size})) AS s FROM (SELECT r, a, h, unnest(range(0, least({piece}, length(h) // 2 - {LENGTH - 1}))) AS i FROM pce WHERE length(h) >= {size})),
+dup AS (SELECT r, p FROM str WHERE s IN (SELECT s FROM str GROUP BY s HAVING count(*) > 1)),
+isl AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS n FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM dup)),
+run AS (SELECT r, min(p) AS a, max(p) + {LENGTH} AS b FROM isl GROUP BY r, n),
+gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM run UNION ALL SELECT r, max(b), NULL FROM run GROUP BY r UNION ALL SELECT r, 0, NULL FROM doc WHERE r NOT IN (SELECT r FROM run)),
+kept AS (SELECT r, string_agg(CASE WHEN gap.b IS NULL THEN substr(h, 2 * gap.a + 1) ELSE substr(h, 2 * gap.a + 1, 2 * (gap.b - gap.a)) END, '' ORDER BY gap.a) AS k FROM gap JOIN doc USING (r) GROUP BY r),
+cnt AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM doc JOIN kept USING (r) LEFT JOIN cnt USING (r)"""
