@@ -156,9 +156,11 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
 
 
-def test_simhash_groups(docs, rows, empty, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD", 8)
-    monkeypatch.setattr(simhash, "MOST", 12)
+@pytest.mark.parametrize("shard,most", [(8, 12), (20_000, 500_000), (40, 3)])
+def test_simhash_groups(docs, rows, empty, monkeypatch, shard, most):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "LEAST_SAMPLE", 20)
     monkeypatch.setattr(simhash, "FEW", 4)
     prints = {r[0]: plain_fingerprint(r[1]) for r in rows}
     up = {i: i for i in prints}
@@ -178,6 +180,17 @@ def test_simhash_groups(docs, rows, empty, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(up.values())) and kept.columns == docs.columns
 
 
+def test_simhash_of_rows_that_share_an_id(spark):
+    rng = random.Random(4)
+    one, two, three = (words(rng, 60, 9000) for _ in range(3))
+    rows = [(1, one, "a"), (1, two, "b"), (2, two, "c"), (3, three, "e"), (3, three, "d"), (None, one, "f"), (None, None, None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (5, 4)]
+    kept = {tuple(r) for r in simhash.one_of_each(docs).collect()}
+    assert kept == {(1, one, "a"), (1, two, "b"), (3, three, "d"), (None, one, "f"), (None, None, None), (4, None, None)}
+
+
 def test_vantage_point_search_finds_all_pairs():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 300, dtype=np.uint64)
