@@ -18,12 +18,17 @@ SECRETS = [
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     r"AIza[0-9A-Za-z_\-]{35}",
 ]
-MAX_BYTES, MAX_LINES = 102_400, 5_000
+MAX_BYTES, MAX_LINES, HEAD_BYTES = 102_400, 5_000, 1024
+SECRETS_LOG = "secrets_warn.log"
+#: Parts of a word in camel case.
+CAMEL = r"([A-Z][a-z]+|[A-Z]+(?=[A-Z]|$))"
 CHUNK_LINES, CHUNK_OVERLAP = 40, 5
-TOP_K, RRF_K, FUSED, MAX_PER_FILE = 20, 60, 20, 2
+TOP_K, RRF_K, FUSED, FINAL, MAX_PER_FILE = 20, 60, 20, 5, 2
 CONTEXT_LINES, CONTEXT_MAX = 30, 300
 RANGE_MAX_LINES, RANGE_MAX_BYTES = 300, 10 << 20
 BFS_MAX_DEPTH, BFS_MAX_RESULTS, REFS_LIMIT, GREP_LIMIT = 3, 50, 50, 30
+#: What a snapshot never holds, as ignore rules.
+SNAPSHOT_SKIPS = [".git/", "node_modules/", ".venv/", "venv/", "__pycache__/", "dist/", "build/", "*.pyc", ".DS_Store", ".env", ".env.*", "*.log"]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TRUST = "untrusted_repository_content"
 #: Letters with marks and without, for folding.

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 
-#: Python's line ends, and the pattern that splits camel case.
+#: Python's line ends.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-CAMEL = re.compile(r"([A-Z][a-z]+|[A-Z]+(?=[A-Z]|$))")
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -94,29 +93,28 @@ def glob(path: Column, pattern: str) -> Column:
     return path.rlike(fnmatch.translate(f"*{pattern}*"))
 
 
+def _spellings(token: str) -> list[str]:
+    """A token, its parts in camel case if there are several, and those between underscores if there are any."""
+    camel = re.sub(C.CAMEL, r" \1", token).split()
+    return [token] + camel * (len(camel) > 1) + token.split("_") * ("_" in token)
+
+
 def expand_query(query: str) -> str:
     """Words of a query with the parts of camel and snake case, lower-case, each once."""
-    found: dict[str, None] = {}
-    for token in query.split():
-        camel = CAMEL.sub(r" \1", token).split()
-        snake = token.split("_") if "_" in token else []
-        for part in (token, *(camel if len(camel) > 1 else ()), *snake):
-            if part:
-                found.setdefault(part.lower())
-    return " ".join(found)
+    spelled = (part.lower() for token in query.split() for part in _spellings(token) if part)
+    return " ".join(dict.fromkeys(spelled))
 
 
 def expanded(query: Column) -> Column:
     """expand_query as an expression."""
     tokens = F.filter(F.split(query, r"\s+"), lambda t: t != "")
+
     def parts_of(token: Column) -> Column:
-        camel = F.filter(F.split(F.regexp_replace(token, CAMEL.pattern, " $1"), r"\s+"), lambda p: p != "")
-        camel = F.when(F.size(camel) > 1, camel).otherwise(F.array().cast("array<string>"))
-        snake = F.when(F.instr(token, "_") > 0, F.split(token, "_")).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(token), camel, snake)
+        camel = F.filter(F.split(F.regexp_replace(token, C.CAMEL, " $1"), r"\s+"), lambda p: p != "")
+        none = F.array().cast("array<string>")
+        return F.concat(F.array(token), F.when(F.size(camel) > 1, camel).otherwise(none), F.when(F.instr(token, "_") > 0, F.split(token, "_")).otherwise(none))
 
-    all_parts = F.flatten(F.transform(tokens, parts_of))
-    return F.array_join(F.array_distinct(F.transform(F.filter(all_parts, lambda p: p != ""), F.lower)), " ")
+    return F.array_join(F.array_distinct(F.transform(F.filter(F.flatten(F.transform(tokens, parts_of)), lambda p: p != ""), F.lower)), " ")
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -131,19 +129,20 @@ def phrases(query: str) -> list[list[str]]:
     return found
 
 
+#: Units of a span of time, in seconds.
+_SECONDS = {"d": 86_400, "h": 3_600, "m": 60}
+
+
 def parse_since(value: str | None, now: datetime | None = None) -> datetime | None:
-    """7d, 24h, 30m (minutes), a date or an ISO time, as UTC; None if it's none of them."""
-    if not value:
-        return None
-    now = now or datetime.now(timezone.utc)
-    if m := re.fullmatch(r"(\d+)([dhm])", value.strip()):
-        unit = {"d": "days", "h": "hours", "m": "minutes"}[m[2]]
-        return now - timedelta(**{unit: int(m[1])})
+    """A number of days, hours or minutes before now (7d, 24h, 30m), a date or an ISO time, as UTC; None if it's none of them."""
+    own = (value or "").strip()
+    if own[-1:] in _SECONDS and own[:-1].isdecimal():
+        return (now or datetime.now(timezone.utc)) - timedelta(seconds=int(own[:-1]) * _SECONDS[own[-1]])
     try:
-        found = datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
+        found = datetime.fromisoformat(own.replace("Z", "+00:00"))
     except ValueError:
         return None
-    return found if found.tzinfo else found.replace(tzinfo=timezone.utc)
+    return found.replace(tzinfo=found.tzinfo or timezone.utc)
 
 
 def scrub(value, most: int = C.SCRUB_LENGTH):

@@ -15,6 +15,8 @@ from ..functions import constants as C
 EDGES = "repo string, src_kind string, src string, dst_kind string, dst string, edge_type string, path string, lineno int"
 SYMBOLS = "name string, lineno_start int, lineno_end int"
 PRIORITY = {"imports": 0, "defines": 1, "references": 2}
+#: Of edges of any other kind.
+OTHER_PRIORITY = 9
 REVERSED = {"imports": "imported_by", "defines": "defined_in", "references": "referenced_by"}
 
 #: What starts a definition in languages without a parser here: approximate, and ends are unknown.
@@ -99,8 +101,8 @@ def resolve(imports: DataFrame, listing: DataFrame) -> DataFrame:
     return named.withColumns({"dst_kind": F.when(F.col("_file").isNotNull(), "file").otherwise("external"), "dst": F.coalesce("_file", "module")}).drop("_file")
 
 
-def edges(files: DataFrame) -> DataFrame:
-    """All edges of files (repo, path, language, code). Modules are found by a join with the listing, not on any machine's disk."""
+def edges(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """All edges of files (repo, path, language, code). Modules are found by a join with the listing (repo, path; files if not given), not on any machine's disk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:
@@ -109,35 +111,40 @@ def edges(files: DataFrame) -> DataFrame:
 
     raw = files.select("repo", "path", "language", "code").mapInPandas(run, "repo string, path string, edge_type string, kind string, module string, base string, lineno int")
     known = raw.where("kind = 'symbol'").withColumns({"dst_kind": F.lit("symbol"), "dst": F.col("module")})
-    found = known.unionByName(resolve(raw.where("kind = 'module'"), files))
+    found = known.unionByName(resolve(raw.where("kind = 'module'"), files if listing is None else listing))
     return found.select("repo", F.lit("file").alias("src_kind"), F.col("path").alias("src"), "dst_kind", "dst", "edge_type", "path", "lineno")
 
 
-def find_references(edges: DataFrame, symbol: str, limit: int = C.REFS_LIMIT) -> DataFrame:
-    """Definitions of a symbol, then references to it, by path and line."""
+def find_references(edges: DataFrame, symbol: str, limit: int = C.REFS_LIMIT, repo: str | None = None) -> DataFrame:
+    """Definitions of a symbol, then references to it, by path and line; of one repository if named."""
     own = edges.where((F.col("dst") == symbol) & F.col("edge_type").isin("defines", "references"))
+    if repo is not None:
+        own = own.where(F.col("repo") == repo)
     own = own.withColumn("kind", F.when(F.col("edge_type") == "defines", "definition").otherwise("reference"))
     return own.orderBy("kind", "path", "lineno").limit(limit).select("kind", "path", "lineno")
 
 
-def related(edges: DataFrame, target: str, kind: str, depth: int = 1, most: int = C.BFS_MAX_RESULTS) -> DataFrame:
-    """(kind, value, edge_type, depth, via, lineno, place): what is linked to a node in up to `depth` steps, the first `most`.
+def related(edges: DataFrame, target: str, kind: str, depth: int = 1, most: int = C.BFS_MAX_RESULTS, repo: str | None = None) -> DataFrame:
+    """(kind, value, edge_type, depth, via, lineno, place, truncated): what is linked to a node in up to `depth` steps, the first `most`.
 
     A step joins the few nodes found last with the edges on either end. A node is found once: by the least
-    step, then imports before definitions before references, along edges before against them, then by names.
-    Nodes outside the repository aren't gone on from. Frontiers are `most` rows at most, so they are broadcast.
+    step, then imports before definitions before references (others last), along edges before against them, then by
+    names. Nodes outside the repository aren't gone on from. truncated: `most` nodes were found, so there may be more.
+    Frontiers are `most` rows at most, so they are part of the plan.
     """
     spark = edges.sparkSession
+    edges = edges if repo is None else edges.where(F.col("repo") == repo)
     depth, most = min(max(depth, 1), C.BFS_MAX_DEPTH), min(max(most, 1), C.BFS_MAX_RESULTS)
-    schema = "kind string, value string, edge_type string, depth int, via string, lineno int, place long"
+    schema = "kind string, value string, edge_type string, depth int, via string, lineno int, place long, truncated boolean"
     found, frontier, seen = [], [target], [(kind, target)]
-    backwards = F.create_map(*[F.lit(x) for pair in REVERSED.items() for x in pair])
-    priority = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
+    named = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    backwards = F.coalesce(F.try_element_at(named(REVERSED), F.col("edge_type")), F.col("edge_type"))
+    priority = F.coalesce(F.try_element_at(named(PRIORITY), F.col("edge_type")), F.lit(OTHER_PRIORITY)).alias("prio")
     for step in range(1, depth + 1):
         if not frontier or len(found) >= most:
             break
-        ahead = edges.where(F.col("src").isin(frontier)).select(F.col("dst_kind").alias("kind"), F.col("dst").alias("value"), "edge_type", F.col("src").alias("via"), "lineno", F.lit(0).alias("way"), priority[F.col("edge_type")].alias("prio"))
-        behind = edges.where(F.col("dst").isin(frontier)).select(F.col("src_kind").alias("kind"), F.col("src").alias("value"), backwards[F.col("edge_type")].alias("edge_type"), F.col("dst").alias("via"), "lineno", F.lit(1).alias("way"), priority[F.col("edge_type")].alias("prio"))
+        ahead = edges.where(F.col("src").isin(frontier)).select(F.col("dst_kind").alias("kind"), F.col("dst").alias("value"), "edge_type", F.col("src").alias("via"), "lineno", F.lit(0).alias("way"), priority)
+        behind = edges.where(F.col("dst").isin(frontier)).select(F.col("src_kind").alias("kind"), F.col("src").alias("value"), backwards.alias("edge_type"), F.col("dst").alias("via"), "lineno", F.lit(1).alias("way"), priority)
         known = spark.createDataFrame(seen, "kind string, value string")
         order = ("prio", "way", "via", "lineno", "value")
         new = ahead.union(behind).join(F.broadcast(known), ["kind", "value"], "left_anti")
@@ -146,10 +153,20 @@ def related(edges: DataFrame, target: str, kind: str, depth: int = 1, most: int
         found += [(r["kind"], r["value"], r["edge_type"], step, r["via"], r["lineno"], len(found) + i + 1) for i, r in enumerate(rows)]
         seen += [(r["kind"], r["value"]) for r in rows]
         frontier = [r["value"] for r in rows if r["kind"] != "external"]
-    return spark.createDataFrame(found, schema)
+    return spark.createDataFrame([(*row, len(found) >= most) for row in found], schema)
 
 
-def kind_of(edges: DataFrame, target: str) -> str | None:
+def kind_of(edges: DataFrame, target: str, repo: str | None = None) -> str | None:
     """file, symbol, or None if the graph doesn't have the target."""
-    hits = edges.agg(F.max((F.col("src") == target) | (F.col("path") == target)), F.max((F.col("dst") == target) & (F.col("edge_type") == "defines"))).first()
+    own = edges if repo is None else edges.where(F.col("repo") == repo)
+    own = own.where((F.col("src") == target) | (F.col("path") == target) | (F.col("dst") == target))
+    hits = own.agg(F.max((F.col("src") == target) | (F.col("path") == target)), F.max((F.col("dst") == target) & (F.col("edge_type") == "defines"))).first()
     return "file" if hits[0] else "symbol" if hits[1] else None
+
+
+def expand(edges: DataFrame, target: str, depth: int = 1, most: int = C.BFS_MAX_RESULTS, repo: str | None = None) -> dict:
+    """The neighbourhood of a node as a caller gets it: target, depth, related, truncated, error."""
+    kind, depth = kind_of(edges, target, repo), min(max(depth, 1), C.BFS_MAX_DEPTH)
+    rows = [] if kind is None else related(edges, target, kind, depth, most, repo).orderBy("place").collect()
+    nodes = [{n: r[n] for n in ("kind", "value", "edge_type", "depth", "via", "lineno")} for r in rows]
+    return {"target": {"kind": kind, "value": target}, "depth": depth, "related": nodes, "truncated": bool(rows and rows[0]["truncated"]), "error": None if kind else "target_not_found"}

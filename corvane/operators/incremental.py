@@ -1,10 +1,8 @@
-"""A table kept up to date by difference, and its versions on disk."""
+"""A table kept up to date by difference."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,11 +17,18 @@ def stale(current: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame
     return existing.join(current.select(key), key, "left_anti")
 
 
-def upsert(existing: DataFrame, current: DataFrame, key: str = "id", digest: str = "content_hash") -> DataFrame:
-    """The state after: rows that are equal stay as they were, others come from current."""
-    new = changed(current, existing, key, digest)
-    kept = existing.join(current.select(key), key, "left_semi").join(new.select(key), key, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+def upsert(existing: DataFrame, current: DataFrame, key: str = "id", digest: str = "content_hash", keep: bool = False) -> DataFrame:
+    """The state after, from one join: rows that are equal stay as they were, others come from current; those that current
+    no longer has go, unless keep. Columns that one side lacks are null in its rows."""
+    fields = {f.name: f.dataType for table in (current, existing) for f in table.schema.fields}
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*[F.col(n) if n in table.columns else F.lit(None).cast(kind).alias(n) for n, kind in fields.items()])
+        return table.select(F.col(key).alias("_key"), row.alias(name))
+
+    both = side(existing, "_old").join(side(current, "_new"), "_key", "full_outer" if keep else "right")
+    old = F.col("_new").isNull() | (F.col("_old").isNotNull() & F.col(f"_old.{digest}").eqNullSafe(F.col(f"_new.{digest}")))
+    return both.select(F.when(old, F.col("_old")).otherwise(F.col("_new")).alias("_row")).select("_row.*")
 
 
 def without_paths(table: DataFrame, paths: DataFrame) -> DataFrame:
@@ -35,28 +40,3 @@ def catalog(chunks: DataFrame, repos: DataFrame) -> DataFrame:
     """repos (name, path) with the number of chunks of each, 0 for none."""
     counts = chunks.groupBy(F.col("repo").alias("name")).agg(F.count(F.lit(1)).alias("chunk_count"))
     return repos.join(counts, "name", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-
-
-class Versions:
-    """Snapshots of a table under a folder: each is written whole, partitioned by repo, and then named the current one.
-
-    Readers hold on to the version they began with; a job that fails before the pointer is written leaves the old
-    one in place. The pointer is a one-row table, written through Spark so that any store will do.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def current(self) -> DataFrame | None:
-        try:
-            pointer = self.spark.read.parquet(f"{self.folder}/_pointers/*").orderBy(F.desc("at"), F.desc("version")).first()
-        except Exception:  # no version yet
-            return None
-        return self.spark.read.parquet(f"{self.folder}/{pointer['version']}")
-
-    def publish(self, table: DataFrame) -> str:
-        version = uuid.uuid4().hex
-        table.write.partitionBy("repo").parquet(f"{self.folder}/{version}")
-        row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-        row.write.parquet(f"{self.folder}/_pointers/{version}")
-        return version

@@ -11,56 +11,77 @@ from ..functions import constants as C
 from ..functions import text as T
 
 
-def postings(docs: DataFrame, id: str = "id", text: str = "code") -> DataFrame:
-    """(id, terms, length): tokenised once, to be written and read by all searches."""
+#: Postings, inverted: a row for each term and document. Totals: a row for the documents counted.
+POSTINGS = "term string, id string, places array<int>, length int"
+TOTALS = "docs long, terms long"
+
+
+def tokens(docs: DataFrame, id: str = "id", text: str = "code") -> DataFrame:
+    """(id, terms, length)."""
     found = T.once(docs.select(F.col(id).alias("id"), F.col(text).alias("_text")), "terms", T.terms(F.col("_text"))).drop("_text")
     return found.withColumn("length", F.size("terms"))
 
 
-def _phrase(phrase: list[str]) -> Column:
-    """How often the phrase's terms stand side by side."""
-    places = F.sequence(F.lit(0), F.greatest(F.size("terms") - len(phrase), F.lit(0)))
+def postings(docs: DataFrame, id: str = "id", text: str = "code", *more: str) -> DataFrame:
+    """(term, id, places, length, and more columns of docs): to be written once, by term, and read by all searches.
+
+    A document's terms are gathered in its own row, so nothing is shuffled here.
+    """
+    own = T.once(docs.select(F.col(id).alias("id"), *more, F.col(text).alias("_text")), "_terms", T.terms(F.col("_text")))
+    own = own.withColumn("length", F.size("_terms"))
+    numbered = F.transform("_terms", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    own = T.once(own, "_sorted", F.sort_array(numbered))
+    # equal terms are neighbours: where one ends, the next one's places begin
+    ends = F.filter(F.transform("_sorted", lambda x, k: F.struct(k.alias("k"), x["t"].alias("t"), (F.get(F.col("_sorted"), k + 1)["t"].eqNullSafe(x["t"])).alias("more"))), lambda e: ~e["more"])
+    own = T.once(own, "_ends", ends)
+    first = lambda n: F.coalesce(F.get(F.col("_ends"), n - 1)["k"] + 1, F.lit(0))
+    parts = F.transform("_ends", lambda e, n: F.struct(e["t"].alias("term"), F.transform(F.slice(F.col("_sorted"), first(n) + 1, e["k"] + 1 - first(n)), lambda x: x["i"]).alias("places")))
+    return own.select("id", *more, "length", F.inline(parts)).select("term", "id", "places", "length", *more)
 
-    def fits(i: Column) -> Column:
-        out = F.lit(True)
-        for k, term in enumerate(phrase):
-            out = out & F.coalesce(F.get("terms", i + k) == term, F.lit(False))
-        return out
 
-    return F.size(F.filter(places, fits))
+def totals(docs: DataFrame, text: str = "code") -> DataFrame:
+    """(docs, terms): how many documents there are, and terms in them."""
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(T.terms(F.col(text)))), F.lit(0)).cast("long").alias("terms"))
 
 
-def occurrences(index: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
-    """index with f: how often each phrase is in a row. Single terms are looked up in the few terms of the row that any phrase has."""
-    single = [p[0] for p in phrases if len(p) == 1]
-    known = F.filter("terms", lambda t: t.isin(single)) if single else F.array().cast("array<string>")
-    found = T.once(index, "_known", known)
-    counts = F.transform(F.array(*[F.lit(t) for t in single]).cast("array<string>"), lambda q: F.size(F.filter("_known", lambda t: t == q)))
-    longer = [_phrase(list(p)) for p in phrases if len(p) > 1]
-    return T.once(found, "f", F.concat(counts, F.array(*longer)) if longer else counts).drop("_known")
+def _occurrences(phrase: tuple[str, ...]) -> Column:
+    """How often a phrase's terms stand side by side, from the places of each (a map from term to places)."""
+    def starts(k: int) -> Column:
+        """Where the phrase would begin for its k-th term to be where it is."""
+        return F.transform(F.coalesce(F.try_element_at("_places", F.lit(phrase[k])), F.array().cast("array<int>")), lambda p: p - k)
 
+    found = starts(0)
+    for k in range(1, len(phrase)):
+        found = F.array_intersect(found, starts(k))
+    return F.size(found)
 
-def bm25(index: DataFrame, phrases: list[list[str]], k: int | None = C.TOP_K, repo: Column | None = None) -> DataFrame:
-    """(id, score) of the best k rows of postings that have a phrase. N, document counts and lengths are those of the whole table, whatever the filter.
 
-    One pass counts (a row for each phrase comes together), one scores; only the best rows are sorted.
+def bm25(index: DataFrame, whole: DataFrame, phrases: list[list[str]], k: int | None = C.TOP_K, scope: Column | None = None) -> DataFrame:
+    """(id, score) of the best k documents that have a phrase. index: postings; whole: totals, of one row or more.
+
+    Only the rows of the query's terms are read. N, document counts and lengths are those of the whole table, whatever the
+    scope; a term that is repeated counts as often. The rows of a document meet by its id, with as many terms as the query has.
     """
     if not phrases:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     distinct = sorted(dict.fromkeys(tuple(p) for p in phrases), key=len)
     times = [float(sum(tuple(q) == p for q in phrases)) for p in distinct]
-    found = occurrences(index, distinct)
-    each = found.select("length", F.posexplode("f").alias("i", "x")).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.count_if(F.col("x") > 0).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    each = each.select("i", (F.col("total") / F.col("n")).alias("mean"), F.when(idf <= 0, F.lit(C.LEAST_IDF)).otherwise(idf).alias("idf"))
-    whole = each.agg(F.max("mean").alias("mean"), F.sort_array(F.collect_list(F.struct("i", "idf"))).alias("idfs"))  # one row
-    whole = whole.withColumn("weights", F.zip_with("idfs", F.array(*[F.lit(t) for t in times]), lambda x, t: x["idf"] * t)).drop("idfs")
-    if repo is not None:
-        found = found.where(repo)
-    found = found.where(F.exists("f", lambda x: x > 0)).crossJoin(F.broadcast(whole))
+    wanted = sorted({t for p in distinct for t in p})
+    rows = index.where(F.col("term").isin(wanted))
+    scoped = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    found = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_places"), F.first("length").alias("length"), F.max(scoped).alias("_in"))
+    found = T.once(found, "f", F.array(*[_occurrences(p) for p in distinct])).drop("_places")
+    found = found.where(F.exists("f", lambda x: x > 0))
+    sums = whole.agg(F.sum("docs").alias("n"), F.sum("terms").alias("terms"))
+    each = found.agg(*[F.count_if(F.col("f")[i] > 0).alias(f"df{i}") for i in range(len(distinct))]).crossJoin(F.broadcast(sums))  # one row
+    weights = []
+    for i, t in enumerate(times):
+        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        weights.append(F.when(idf <= 0, F.lit(C.LEAST_IDF)).otherwise(idf) * t)
+    each = each.select((F.col("terms") / F.col("n")).alias("mean"), F.array(*weights).alias("weights"))
     norm = C.K1 * (1 - C.B + C.B * F.col("length") / F.col("mean"))
     scores = F.zip_with("f", "weights", lambda x, w: w * (x * (C.K1 + 1)) / (x + norm))
-    scored = found.select("id", F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("score"))
+    scored = found.where("_in").crossJoin(F.broadcast(each)).select("id", F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
 
@@ -113,51 +134,64 @@ def overlap_reranker(query: str, text: Column) -> Column:
 
 
 def diversify(reranked: DataFrame, k: int, per_file: int = C.MAX_PER_FILE) -> DataFrame:
-    """Of candidates (id, path, score, position, rrf): the first k by score, `per_file` of a path at most; the fused list's first is always among them, in the last place if need be."""
-    order = (F.desc(F.round("score", 3)), "position")
-    rows = reranked.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
-    picked = rows.where(F.col("nth") <= per_file).withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") <= k)
-    whole = Window.partitionBy(F.lit(0))
-    picked = picked.withColumns({"has_top": F.max(F.col("position") == 1).over(whole), "n": F.count(F.lit(1)).over(whole)})
-    stay = picked.where(F.col("has_top") | (F.col("place") < k)).select("id", "path", "score", "place", F.lit(False).alias("guarded"))
-    top = reranked.where("position = 1").select("id", "path", F.col("rrf").alias("score"))
-    missing = top.join(picked.where("has_top").select("id").limit(1).withColumn("found", F.lit(True)).select("found"), F.lit(True), "left")
-    size = picked.agg(F.least(F.count(F.lit(1)), F.lit(k - 1)).alias("before"))
-    guard = missing.where("found is null").crossJoin(size).select("id", "path", "score", (F.col("before") + 1).cast("int").alias("place"), F.lit(True).alias("guarded"))
-    return stay.unionByName(guard)
-
-
-def hybrid(chunks: DataFrame, index: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = 5, where: Column | None = None, repo: str | None = None, rerank=None, prefilter: bool = False) -> dict[str, DataFrame]:
-    """All stages of a search by name: vector, lexical, fused, candidates, final.
-
-    chunks: id, repo, path, language, code and more; index: postings(); vectors: id, vector. Filters hold after the
-    best of each list are taken, unless prefilter. rerank: (query, text column) to a score; without it, or with one
-    candidate only, the fused order is final.
+    """Candidates (id, path, score, position, rrf) with rank (by score), nth (of their path), dropped, place and guarded: those with a place are picked.
+
+    The first k by score are, `per_file` of a path at most; the fused list's first is always among them, in the last
+    place and with its fused score if need be. All in one row, as there are FUSED candidates at most.
+    """
+    row = F.struct((-F.round("score", 3)).alias("order"), F.col("position"), F.col("id"), F.col("path"), F.col("score"), F.col("rrf"))
+    listed = reranked.agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    nth = F.transform("_all", lambda x, i: F.struct(x["id"].alias("id"), x["path"].alias("path"), x["score"].alias("score"), x["rrf"].alias("rrf"), x["position"].alias("position"), (i + 1).alias("rank"), F.size(F.filter(F.slice(F.col("_all"), F.lit(1), i + 1), lambda y: y["path"].eqNullSafe(x["path"]))).alias("nth")))
+    listed = T.once(listed, "_nth", nth)
+    listed = T.once(listed, "_picked", F.slice(F.filter("_nth", lambda x: x["nth"] <= per_file), F.lit(1), F.lit(k)))
+    listed = listed.withColumn("_has", F.exists("_picked", lambda x: x["position"] == 1) | ~F.exists("_nth", lambda x: x["position"] == 1) | (F.size("_picked") == 0))
+    listed = listed.withColumn("_stay", F.when(F.col("_has"), F.size("_picked")).otherwise(F.least(F.size("_picked"), F.lit(k - 1))))
+    listed = listed.withColumn("_until", F.when(F.size("_picked") >= k, F.get("_picked", F.lit(k - 1))["rank"]))
+    rows = listed.select("_picked", "_has", "_stay", "_until", F.explode("_nth").alias("x"))
+    place = F.array_position(F.transform(F.slice("_picked", F.lit(1), F.col("_stay")), lambda y: y["position"]), F.col("x.position"))
+    guarded = ~F.col("_has") & (F.col("x.position") == 1)
+    dropped = (F.col("x.nth") > per_file) & F.coalesce(F.col("x.rank") < F.col("_until"), F.lit(True))
+    rows = rows.select("x.*", dropped.alias("dropped"), guarded.alias("guarded"), F.when(guarded, F.col("_stay") + 1).when(place > 0, place).cast("int").alias("place"))
+    return rows.withColumn("score", F.when(F.col("guarded"), F.col("rrf")).otherwise(F.col("score")))
+
+
+def hybrid(chunks: DataFrame, index: DataFrame, whole: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = C.FINAL, where: Column | None = None, repo: str | None = None, rerank=None, prefilter: bool = False) -> dict[str, DataFrame]:
+    """All stages of a search by name: vector, lexical, fused, candidates, rerank, dropped, guard, final.
+
+    chunks: id, repo, path, language, code and more; index: postings() with repo; whole: totals(); vectors: id, vector, repo.
+    Of index and vectors only the repository's rows can be picked, by their own column. Filters hold after the best of
+    each list are taken, unless prefilter. rerank: (query, text column) to a score; without it, or with one candidate
+    only, the fused order is final. The lists are 20 rows each, and are broadcast to the tables they meet.
     """
+    scope = None if repo in (None, "all") else F.col("repo") == repo
     allowed = None if where is None else chunks.where(where).select("id")
-    scope = None if repo in (None, "all") else chunks.where(F.col("repo") == repo).select("id")
-    own_vectors, own_index = vectors, index
-    if scope is not None:
-        own_vectors = vectors.join(scope, "id", "left_semi")
-        in_scope = scope.withColumn("_in", F.lit(True))
-        own_index = index.join(in_scope, "id", "left")
+    own_vectors = vectors if scope is None else vectors.where(scope)
+    own_index = index
     if prefilter and allowed is not None:
         own_vectors = own_vectors.join(allowed, "id", "left_semi")
-        base = own_index.columns
-        own_index = own_index.join(allowed.withColumn("_allowed", F.lit(True)), "id", "left").withColumn("_in", F.col("_allowed") & (F.col("_in") if "_in" in base else F.lit(True)))
+        own_index = index.where(F.col("term").isin(sorted({t for p in T.phrases(query) for t in p}))).join(allowed.withColumn("_allowed", F.lit(True)), "id", "left")
+        scope = F.coalesce("_allowed", F.lit(False)) & (F.lit(True) if scope is None else scope)
     by_vector = cosine(own_vectors, query_vector)
-    by_terms = bm25(own_index, T.phrases(query), repo=F.col("_in") if "_in" in own_index.columns else None)
+    by_terms = bm25(own_index, whole, T.phrases(query), scope=scope)
     if allowed is not None and not prefilter:
-        by_vector, by_terms = (x.join(allowed, "id", "left_semi") for x in (by_vector, by_terms))
+        by_vector, by_terms = (chunks.where(where).join(F.broadcast(x), "id").select("id", "score") for x in (by_vector, by_terms))
     by_vector, by_terms = ranked(by_vector), ranked(by_terms)
     fused = fuse(by_vector, by_terms)
-    candidates = chunks.join(F.broadcast(fused), "id")  # 20 rows
+    candidates = chunks.join(F.broadcast(fused), "id")
+    out = {"vector": by_vector, "lexical": by_terms, "fused": fused, "candidates": candidates}
+    plain = candidates.where(F.col("position") <= k).select("id", "path", F.col("rrf").alias("score"), F.col("position").alias("place"), F.lit(False).alias("guarded"))
     if rerank is None:
-        final = candidates.where(F.col("position") <= k).select("id", "path", F.col("rrf").alias("score"), F.col("position").alias("place"), F.lit(False).alias("guarded"))
-    else:
-        scored = candidates.withColumn("score", rerank(query, F.col("code")))
-        final = diversify(scored, k)
-    return {"vector": by_vector, "lexical": by_terms, "fused": fused, "candidates": candidates, "final": final}
+        return out | {"final": plain}
+    scored = candidates.withColumn("score", rerank(query, F.col("code")))
+    picked = diversify(scored, k)
+    out["rerank"] = picked.join(scored.select("id", F.col("score").alias("reranked")), "id").select("id", "path", F.col("reranked").alias("score"), "rank")
+    out["dropped"] = picked.where("dropped").select("id", "path", "rank", F.lit("max_per_file").alias("reason"))
+    out["guard"] = picked.where("guarded").select("id", "path", "place")
+    several = F.col("n") > 1
+    final = picked.where("place is not null").select("id", "path", "score", "place", "guarded")
+    n = candidates.agg(F.count(F.lit(1)).alias("n"))
+    out["final"] = final.crossJoin(F.broadcast(n)).where(several).drop("n").unionByName(plain.crossJoin(F.broadcast(n)).where(~several).drop("n"))
+    return out
 
 
 def present(hits: DataFrame, chunks: DataFrame) -> DataFrame:

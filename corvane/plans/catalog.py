@@ -6,12 +6,16 @@ benchmark for questions, events for the log and for file events, pages' links fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import chunking, evaluate, graph, hygiene, incremental, lines, retrieval, stats
+from ..operators import chunking, evaluate, graph, hygiene, incremental, lines, retrieval, stats, store
+from ..operators.embedding import HashEmbedder
 from ..streaming import events as streams
 
 EXTENSIONS = [".py", ".ts", ".go", ".md", ".yaml", ".lock", ".png", ".sh"]
@@ -93,15 +97,42 @@ EDGES = """links AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=
 edges AS (SELECT 'file' AS src_kind, url AS src, dst, ['imports', 'defines', 'references'][(page_id % 3)::INT + 1] AS edge_type, ['external', 'symbol', 'file'][(page_id % 3)::INT + 1] AS dst_kind, url AS path, lineno::INT AS lineno FROM links)"""
 
 
+def places(spark, sf_dir: str) -> DataFrame:
+    """Suppliers import their nation, nations their region."""
+    t = lambda name: table(spark, sf_dir, name)
+    supplier = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), (F.col("s_suppkey") % 100).cast("int").alias("lineno"))
+    nation = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit(1).alias("lineno"))
+    return _edge(supplier.union(nation), "file", "imports")
+
+
+def sales(spark, sf_dir: str) -> DataFrame:
+    """Customers import their nation and define their orders, suppliers refer to the orders they deliver; one kind of edge has no priority of its own."""
+    t = lambda name: table(spark, sf_dir, name)
+    customer = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), (F.col("c_custkey") % 100).cast("int").alias("lineno"))
+    order = t("orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), (F.col("o_orderkey") % 1000).cast("int").alias("lineno"))
+    line = t("lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst"), F.col("l_linenumber").cast("int").alias("lineno"))
+    return places(spark, sf_dir).union(_edge(customer, "file", "imports")).union(_edge(order, "symbol", "defines")).union(_edge(line, "symbol", "references")).union(_edge(order, "symbol", "mentions"))
+
+
+def _edge(df: DataFrame, kind: str, edge_type: str) -> DataFrame:
+    return df.select(F.lit("shop").alias("repo"), F.lit("file").alias("src_kind"), "src", F.lit(kind).alias("dst_kind"), "dst", F.lit(edge_type).alias("edge_type"), F.col("src").alias("path"), "lineno")
+
+
+PLACES = "places AS (SELECT 'file' AS src_kind, 's' || s_suppkey AS src, 'file' AS dst_kind, 'n' || s_nationkey AS dst, 'imports' AS edge_type, (s_suppkey % 100)::INT AS lineno FROM supplier UNION ALL SELECT 'file', 'n' || n_nationkey, 'file', 'r' || n_regionkey, 'imports', 1 FROM nation)"
+SALES = f"{PLACES}, sales AS (SELECT * FROM places UNION ALL SELECT 'file', 'c' || c_custkey, 'file', 'n' || c_nationkey, 'imports', (c_custkey % 100)::INT FROM customer UNION ALL SELECT 'file', 'c' || o_custkey, 'symbol', 'o' || o_orderkey, t, (o_orderkey % 1000)::INT FROM orders, (VALUES ('defines'), ('mentions')) x(t) UNION ALL SELECT 'file', 's' || l_suppkey, 'symbol', 'o' || l_orderkey, 'references', l_linenumber::INT FROM lineitem)"
+
+
 # ------------------------------------------------------------------ SQL pieces
 
 SUFFIX = r"regexp_extract(path, '[^/.][^/]*(\.[^./]+)$', 1)"
 LANGUAGE = "CASE lower(" + SUFFIX + ") " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LANGUAGES.items()) + " END"
 NAME = "regexp_extract(path, '([^/]*)$', 1)"
-REASON = f"""CASE WHEN len(list_intersect(string_split(path, '/'), {_sql_list(C.EXCLUDED_DIRS)})) > 0 THEN 'excluded_dir' WHEN {NAME} IN {_in(C.EXCLUDED_NAMES)} THEN 'excluded_filename' WHEN lower({SUFFIX}) IN {_in(C.EXCLUDED_SUFFIXES)} THEN 'excluded_ext' WHEN lower({NAME}) LIKE '%.min.js' OR lower({NAME}) LIKE '%.min.css' THEN 'excluded_ext' END"""
+EXCLUDED = f"list_filter(string_split(path, '/'), lambda p: list_contains({_sql_list(C.EXCLUDED_DIRS)}, p))"
+REASON = f"""CASE WHEN len({EXCLUDED}) > 0 THEN 'excluded_dir:' || {EXCLUDED}[1] WHEN {NAME} IN {_in(C.EXCLUDED_NAMES)} THEN 'excluded_filename:' || {NAME} WHEN lower({SUFFIX}) IN {_in([x for x in C.EXCLUDED_SUFFIXES if x.count(".") == 1])} THEN 'excluded_ext:' || lower({SUFFIX}) WHEN {NAME} LIKE '%.min.js' THEN 'excluded_ext:.min.js' WHEN {NAME} LIKE '%.min.css' THEN 'excluded_ext:.min.css' END"""
 SECRET = "CASE " + " ".join(f"WHEN regexp_matches(code, '{p}') THEN '{p[:20]}'" for p in C.SECRETS) + " END"
 LINES = "(length(code) - length(replace(code, chr(10), '')) + 1)"
-CONTENT = f"CASE WHEN strlen(code) > 4000 THEN 'too_large:' || strlen(code) WHEN {LINES} > 20 THEN 'too_many_lines:' || {LINES} WHEN {SECRET} IS NOT NULL THEN 'secret_detected' END"
+CONTENT = f"CASE WHEN strlen(code) > @B THEN 'too_large:' || strlen(code) WHEN contains(substr(code, 1, 1024), chr(0)) THEN 'binary' WHEN {LINES} > @L THEN 'too_many_lines:' || {LINES} WHEN {SECRET} IS NOT NULL THEN 'secret_detected' END"
+STRICT, USUAL = CONTENT.replace("@B", "4000").replace("@L", "20"), CONTENT.replace("@B", str(C.MAX_BYTES)).replace("@L", str(C.MAX_LINES))
 FOLD = f"translate(lower(%s), '{C.MARKED}', '{C.PLAIN}')"
 ROLE = f"""CASE WHEN len(list_intersect(string_split(lower(path), '/'), {_sql_list(C.TEST_DIRS)})) > 0 OR starts_with(lower({NAME}), 'test_') THEN 'test' WHEN lower({NAME}) IN {_in(C.BUILD_NAMES)} THEN 'build'
 WHEN list_contains(string_split(lower(path), '/'), 'docs') OR starts_with(lower({NAME}), 'readme') OR lower({SUFFIX}) IN {_in(C.DOC_SUFFIXES)} THEN 'docs'
@@ -128,14 +159,30 @@ FUSED = """, fu AS (SELECT coalesce(vr.id, lr.id) AS id, vector_rank, lexical_ra
 fused AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, vector_rank NULLS LAST, lexical_rank NULLS LAST) AS position FROM fu QUALIFY position <= 20)"""
 
 
-def _index(spark, sf_dir: str) -> DataFrame:
-    return retrieval.postings(chunks(spark, sf_dir))
+def _stored(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and totals of the documents: written once for these files (by name, size and time), then read."""
+    context = spark.sparkContext
+    files = context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    system = files.getFileSystem(context._jsc.hadoopConfiguration())
+    state = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(files))
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_postings/{hashlib.md5(repr((state, VERSION)).encode()).hexdigest()}"
+    done = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals/_SUCCESS")
+    if not done.getFileSystem(context._jsc.hadoopConfiguration()).exists(done):
+        own = chunks(spark, sf_dir)
+        rows = retrieval.postings(own, "id", "code", "repo").repartitionByRange("term").sortWithinPartitions("term", "id")
+        rows.write.mode("overwrite").parquet(f"{folder}/postings")
+        retrieval.totals(own).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/totals")
+
+
+#: Of what is stored; to be changed with it.
+VERSION = 2
 
 
 def _search(spark, sf_dir: str, **more) -> dict[str, DataFrame]:
     text, vector = question(spark, sf_dir)
     own = chunks(spark, sf_dir)
-    return retrieval.hybrid(own, retrieval.postings(own), vectors(spark, sf_dir), text, vector, **more)
+    return retrieval.hybrid(own, *_stored(spark, sf_dir), vectors(spark, sf_dir), text, vector, **more)
 
 
 QUERIES: dict = {}
@@ -171,15 +218,15 @@ def _(s, d):
     return chunks(s, d).select("id", hygiene.path_reason(F.col("path")).alias("reason"))
 
 
-@_add("hygiene_content_reason", f"WITH {CHUNKS}, {KEYED} SELECT id, {CONTENT} AS reason FROM keyed")
+@_add("hygiene_content_reason", f"WITH {CHUNKS}, {KEYED} SELECT id, {STRICT} AS reason FROM keyed")
 def _(s, d):
     own = with_key(chunks(s, d))
     return own.select("id", hygiene.content_reason(F.col("code"), F.octet_length("code"), 4000, 20).alias("reason"))
 
 
-@_add("hygiene_reason_histogram", f"WITH {CHUNKS}, {KEYED} SELECT coalesce({REASON}, CASE WHEN {SECRET} IS NOT NULL THEN 'secret_detected' END) AS reason, count(*) AS n FROM keyed WHERE strlen(code) <= 102400 AND reason IS NOT NULL GROUP BY 1")
+@_add("hygiene_reason_histogram", f"WITH {CHUNKS}, {KEYED} SELECT coalesce({REASON}, {USUAL}) AS reason, count(*) AS n FROM keyed WHERE reason IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return hygiene.filter_files(with_key(chunks(s, d)).where(F.octet_length("code") <= C.MAX_BYTES))[1]
+    return hygiene.filter_files(with_key(chunks(s, d)))[1]
 
 
 @_add("secret_scan", f"WITH {CHUNKS}, {KEYED} SELECT id, {SECRET} AS pattern FROM keyed WHERE {SECRET} IS NOT NULL")
@@ -210,17 +257,26 @@ def _(s, d):
     return chunking.windows(chunks(s, d).drop("id")).select("id", F.get(F.split("code", "\n"), F.lit(1)).alias("second_line"), F.length("code").cast("long").alias("n_chars"))
 
 
-@_add("enclosing_symbol", "WITH sym AS (SELECT page_id, unnest(range(0, 6)) AS o FROM pages), r AS (SELECT page_id, o, 's' || o AS name, 1 + o * 3 AS a, 60 - o * (page_id % 9) AS b FROM sym), w AS (SELECT page_id, 10 AS a, 30 AS b FROM pages), j AS (SELECT w.page_id, r.name, row_number() OVER (PARTITION BY w.page_id ORDER BY r.b - r.a, r.o) AS n FROM w LEFT JOIN r ON w.page_id = r.page_id AND r.a <= w.a AND r.b >= w.b) SELECT page_id, name FROM j WHERE n = 1")
+# of equals the first is taken; some lines are in no symbol
+@_add("enclosing_symbol", "WITH sym AS (SELECT page_id, unnest(range(0, 6)) AS o FROM pages), r AS (SELECT page_id, o, 's' || o || '_' || page_id % 7 AS name, 1 + o * (page_id % 3) AS a, 60 - o * (page_id % 4) AS b FROM sym), w AS (SELECT page_id, 10 + page_id % 50 AS a, 20 + page_id % 50 AS b FROM pages), j AS (SELECT w.page_id, r.name, row_number() OVER (PARTITION BY w.page_id ORDER BY r.b - r.a, r.o) AS n FROM w LEFT JOIN r ON w.page_id = r.page_id AND r.a <= w.a AND r.b >= w.b) SELECT page_id, name FROM j WHERE n = 1")
 def _(s, d):
     pages = table(s, d, "pages")
-    made = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda o: F.struct(F.concat(F.lit("s"), o.cast("string")).alias("name"), (1 + o * 3).alias("lineno_start"), (60 - o * (F.col("page_id") % 9)).alias("lineno_end")))
-    return pages.select("page_id", chunking.enclosing(made, F.lit(10), F.lit(30)).alias("name"))
+    page = F.col("page_id").cast("int")
+    made = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda o: F.struct(F.concat(F.lit("s"), o.cast("string"), F.lit("_"), (page % 7).cast("string")).alias("name"), (1 + o * (page % 3)).alias("lineno_start"), (60 - o * (page % 4)).alias("lineno_end")))
+    return pages.select("page_id", chunking.enclosing(made, 10 + page % 50, 20 + page % 50).alias("name"))
+
 
+_QUERY = "concat('parse_', o_orderpriority, ' get', o_orderstatus, 'Name', o_orderkey, ' HTTPServer foo_Bar Foo x', lower(o_orderstatus), '__y')"
 
-@_add("preprocess_query", "SELECT 'parse_http getUserName XMLParser foo_Bar Foo' AS query, 'parse_http parse http getusername get user name xmlparser xml parser foo_bar foo_ bar foo' AS expanded")
+
+@_add("preprocess_query", f"""WITH q AS (SELECT o_orderkey, {_QUERY} AS q FROM orders), t AS (SELECT o_orderkey, q, unnest(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) AS t, generate_subscripts(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> ''), 1) AS i FROM q),
+c AS (SELECT *, list_filter(string_split_regex(regexp_replace(regexp_replace(t, '([A-Z][a-z]+)', ' \\1', 'g'), '([A-Z]+)( |$)', ' \\1\\2', 'g'), '\\s+'), lambda x: x <> '') AS p FROM t),
+a AS (SELECT o_orderkey, i, list_filter(list_concat([t], CASE WHEN len(p) > 1 THEN p ELSE [] END, CASE WHEN contains(t, '_') THEN string_split(t, '_') ELSE [] END), lambda x: x <> '') AS l FROM c),
+f AS (SELECT o_orderkey, lower(unnest(l)) AS w, i, generate_subscripts(l, 1) AS j FROM a),
+g AS (SELECT o_orderkey, w, min(i * 1000 + j) AS n FROM f GROUP BY o_orderkey, w)
+SELECT o_orderkey, string_agg(w, ' ' ORDER BY n) AS expanded FROM g GROUP BY o_orderkey""")
 def _(s, d):
-    own = s.createDataFrame([("parse_http getUserName XMLParser foo_Bar Foo",)], "query string")
-    return own.select("query", T.expanded(F.col("query")).alias("expanded"))
+    return table(s, d, "orders").select("o_orderkey", T.expanded(F.expr(_QUERY)).alias("expanded"))
 
 
 @_add("log_scrub", "SELECT doc_id, length(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...[truncated]' ELSE text END) AS n, sha256(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...[truncated]' ELSE text END) AS digest FROM documents")
@@ -233,7 +289,7 @@ def _(s, d):
 
 @_add("tokenize_terms", f"WITH {SEARCH} SELECT id, len(terms) AS n_terms, sha256(array_to_string(terms, ' ')) AS digest FROM trm")
 def _(s, d):
-    return _index(s, d).select("id", F.col("length").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", " "), 256).alias("digest"))
+    return retrieval.tokens(chunks(s, d)).select("id", F.col("length").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", " "), 256).alias("digest"))
 
 
 def _round(hits: DataFrame) -> DataFrame:
@@ -242,21 +298,26 @@ def _round(hits: DataFrame) -> DataFrame:
 
 @_add("bm25_topk", f"WITH {SEARCH} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, id LIMIT 20")
 def _(s, d):
-    found = retrieval.bm25(_index(s, d), T.phrases(question(s, d)[0]), None)
+    found = retrieval.bm25(*_stored(s, d), T.phrases(question(s, d)[0]), None)
     return _round(found).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 @_add("bm25_repo_scoped", f"WITH {SEARCH} SELECT bm.id, round(score, 6) AS score FROM bm JOIN chunks USING (id) WHERE repo = 'src3' ORDER BY round(bm.score, 9) DESC, bm.id LIMIT 20")
 def _(s, d):
-    own = chunks(s, d)
-    index = retrieval.postings(own).join(own.select("id", "repo"), "id")
-    found = retrieval.bm25(index, T.phrases(question(s, d)[0]), None, repo=F.col("repo") == "src3")
+    found = retrieval.bm25(*_stored(s, d), T.phrases(question(s, d)[0]), None, scope=F.col("repo") == "src3")
     return _round(found).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 @_add("bm25_phrase", f"WITH {CHUNKS}, trm AS (SELECT id, regexp_extract_all({FOLD % 'code'}, '[\\p{{L}}\\p{{N}}]+') AS t FROM chunks), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM trm), f AS (SELECT id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f FROM trm), h AS (SELECT * FROM f WHERE f > 0), df AS (SELECT count(*) AS df FROM h) SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean)), 9) AS score FROM h, st, df")
 def _(s, d):
-    return _round(retrieval.bm25(_index(s, d), [["of", "the"]], None))
+    return _round(retrieval.bm25(*_stored(s, d), [["of", "the"]], None))
+
+
+@_add("postings", f"WITH {SEARCH}, p AS (SELECT id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS i, len(terms) AS length FROM trm) SELECT term, count(*) AS n_docs, sum(n)::BIGINT AS n_places, sum(s)::BIGINT AS sum_places, max(length)::INT AS longest FROM (SELECT id, term, count(*) AS n, sum(i) AS s, any_value(length) AS length FROM p GROUP BY id, term) GROUP BY term")
+def _(s, d):
+    index, _ = _stored(s, d)
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("places")).alias("n_places"), F.sum(total).alias("sum_places"), F.max("length").alias("longest"))
 
 
 @_add("cosine_topk", f"WITH {SEARCH} SELECT id, round(score, 6) AS score FROM cs ORDER BY round(cs.score, 9) DESC, id LIMIT 20")
@@ -271,6 +332,18 @@ def _(s, d):
     return found.select("id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.round("rrf", 9).alias("rrf"), F.col("position").cast("long").alias("position"))
 
 
+# both lists are of the same forty ids, so most are in both
+SHARED = "p AS (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 40), vr AS (SELECT id, row_number() OVER (ORDER BY (id * 7 % 41)::DOUBLE DESC, id) AS vector_rank FROM p QUALIFY vector_rank <= 20), lr AS (SELECT id, row_number() OVER (ORDER BY (id * 11 % 13)::DOUBLE DESC, id) AS lexical_rank FROM p QUALIFY lexical_rank <= 20)"
+
+
+@_add("rrf_shared_ids", f"WITH {SHARED}{FUSED} SELECT id, vector_rank, lexical_rank, round(rrf, 9) AS rrf, position FROM fused")
+def _(s, d):
+    pool = table(s, d, "documents").select(F.col("doc_id").alias("id")).orderBy("id").limit(40)
+    take = lambda score: retrieval.ranked(pool.select("id", score.cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(20))
+    found = retrieval.fuse(take(F.col("id") * 7 % 41), take(F.col("id") * 11 % 13))
+    return found.select("id", *[F.col(n).cast("long").alias(n) for n in ("vector_rank", "lexical_rank", "position")], F.round("rrf", 9).alias("rrf"))
+
+
 @_add("hybrid_search", f"WITH {SEARCH}{LISTS}{FUSED} SELECT id, path, round(rrf, 9) AS score, position AS place FROM fused JOIN chunks USING (id) WHERE position <= 20")
 def _(s, d):
     found = _search(s, d, k=20)["final"]
@@ -308,9 +381,8 @@ def _(s, d):
 
 @_add("filter_since", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'")
 def _(s, d):
-    since = T.parse_since("1997-06-01").replace(tzinfo=None)
-    own = table(s, d, "orders").withColumn("last_modified", F.col("o_orderdate"))
-    return own.where(F.coalesce(F.col("last_modified") >= F.lit(str(since)).cast("timestamp_ntz"), F.lit(False))).select(F.col("o_orderkey").alias("id"))
+    own = table(s, d, "orders").withColumn("last_modified", F.col("o_orderdate").cast("timestamp"))
+    return own.where(retrieval.filters(since=T.parse_since("1997-06-01"))).select(F.col("o_orderkey").alias("id"))
 
 
 @_add("filter_author", "SELECT c_custkey AS id FROM customer WHERE contains(lower(c_name), '99')")
@@ -334,15 +406,20 @@ def _(s, d):
     return _reranked(s, d).select("id", F.col("position").cast("long").alias("position"), F.round("score", 6).alias("score"))
 
 
-@_add("diversity_cap", f"{RERANKED}, n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 3) DESC, position) AS nth FROM sc) SELECT id, path, nth <= 2 AS picked FROM n")
+@_add("diversity_cap", f"{PICKED}, z AS (SELECT n.*, row_number() OVER (ORDER BY round(score, 3) DESC, position) AS rank FROM n), u AS (SELECT max(z.rank) AS r, count(*) AS c FROM p JOIN z USING (id)) SELECT id, path, nth, rank, nth > 2 AND (c < 3 OR rank < r) AS dropped FROM z, u")
 def _(s, d):
-    order = Window.partitionBy("path").orderBy(F.desc(F.round("score", 3)), "position")
-    return _reranked(s, d).select("id", "path", (F.row_number().over(order) <= C.MAX_PER_FILE).alias("picked"))
+    return retrieval.diversify(_reranked(s, d), 3).select("id", "path", F.col("nth").cast("long").alias("nth"), F.col("rank").cast("long").alias("rank"), "dropped")
 
 
 @_add("consensus_guard", f"{PICKED} SELECT id, place, false AS guarded FROM p, h WHERE has OR place < 3 UNION ALL SELECT sc.id, least(n, 2) + 1, true FROM sc, h WHERE NOT has AND position = 1")
 def _(s, d):
-    return retrieval.diversify(_reranked(s, d), 3).select("id", F.col("place").cast("long").alias("place"), "guarded")
+    return retrieval.diversify(_reranked(s, d), 3).where("place is not null").select("id", F.col("place").cast("long").alias("place"), "guarded")
+
+
+@_add("hybrid_reranked", f"{RERANKED}, n AS (SELECT *, row_number() OVER (PARTITION BY c.path ORDER BY round(score, 3) DESC, position) AS nth FROM sc JOIN chunks c USING (id)), p AS (SELECT *, row_number() OVER (ORDER BY round(score, 3) DESC, position) AS place FROM n WHERE nth <= 2 QUALIFY place <= 5), h AS (SELECT bool_or(position = 1) AS has, count(*) AS n FROM p) SELECT id, place, round(score, 6) AS score FROM p, h WHERE has OR place < 5 UNION ALL SELECT sc.id, least(n, 4) + 1, round(rrf, 6) FROM sc, h WHERE NOT has AND position = 1")
+def _(s, d):
+    found = _search(s, d, rerank=retrieval.overlap_reranker)["final"]
+    return found.select("id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ lines and graph
@@ -352,6 +429,11 @@ def _(s, d):
     return lines.grep(chunks(s, d), "Licensed? under", "src/", None)
 
 
+@_add("grep_anchored", f"WITH {CHUNKS}, x AS (SELECT path, string_split(code, chr(10)) AS p FROM chunks), y AS (SELECT path, unnest(p) AS line, generate_subscripts(p, 1) AS lineno FROM x) SELECT path, lineno::INT AS lineno, line FROM y WHERE regexp_matches(line, '^Licensed? under .*[.]$')")
+def _(s, d):
+    return lines.grep(chunks(s, d), r"^(?P<first>Licensed?) under .*[.]\Z", None, None)
+
+
 @_add("file_range", f"WITH {CHUNKS}, {KEYED} SELECT path, CASE WHEN {SECRET} IS NULL THEN array_to_string(string_split(rtrim(code, chr(10)), chr(10))[2:4], chr(10)) END AS content, CASE WHEN {SECRET} IS NOT NULL THEN 'secret detected' END AS error FROM keyed")
 def _(s, d):
     return lines.line_range(with_key(chunks(s, d)), 2, 4).drop("context_trust")
@@ -364,28 +446,33 @@ def _(s, d):
     return graph.find_references(own, target)
 
 
-def _bfs_sql(depth: int) -> str:
-    out = f"WITH {EDGES}, s0 AS (SELECT 'file' AS kind, min(url) AS value FROM pages), k0 AS (SELECT * FROM s0), "
-    both = "(SELECT dst_kind AS kind, dst AS value, edge_type, src AS via, lineno, 0 AS way, CASE edge_type WHEN 'imports' THEN 0 WHEN 'defines' THEN 1 ELSE 2 END AS prio FROM edges WHERE src IN (SELECT value FROM {f}) UNION ALL SELECT src_kind, src, CASE edge_type WHEN 'imports' THEN 'imported_by' WHEN 'defines' THEN 'defined_in' ELSE 'referenced_by' END, dst, lineno, 1, CASE edge_type WHEN 'imports' THEN 0 WHEN 'defines' THEN 1 ELSE 2 END FROM edges WHERE dst IN (SELECT value FROM {f}))"
+def _bfs_sql(tables: str, edges: str, kind: str, start: str, depth: int) -> str:
+    out = f"WITH {tables}, s0 AS (SELECT '{kind}' AS kind, '{start}' AS value), k0 AS (SELECT * FROM s0), "
+    prio = "CASE edge_type WHEN 'imports' THEN 0 WHEN 'defines' THEN 1 WHEN 'references' THEN 2 ELSE 9 END AS prio"
+    both = f"(SELECT dst_kind AS kind, dst AS value, edge_type, src AS via, lineno, 0 AS way, {prio} FROM {edges} WHERE src IN (SELECT value FROM @F) UNION ALL SELECT src_kind, src, CASE edge_type WHEN 'imports' THEN 'imported_by' WHEN 'defines' THEN 'defined_in' WHEN 'references' THEN 'referenced_by' ELSE edge_type END, dst, lineno, 1, {prio} FROM {edges} WHERE dst IN (SELECT value FROM @F))"
     order = "prio, way, via, lineno, value"
     parts = []
     for k in range(1, depth + 1):
         frontier = "s0" if k == 1 else f"(SELECT value FROM r{k - 1} WHERE kind <> 'external')"
         held = " - ".join(["50", *(f"(SELECT count(*) FROM r{j})" for j in range(1, k))])
-        parts.append(f"b{k} AS (SELECT * FROM {both.format(f=frontier)} x WHERE NOT EXISTS (SELECT 1 FROM k{k - 1} k WHERE k.kind = x.kind AND k.value = x.value) QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY {order}) = 1), r{k} AS (SELECT kind, value, edge_type, {k}::INT AS depth, via, lineno FROM b{k} QUALIFY row_number() OVER (ORDER BY {order}, kind) <= {held}), k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT kind, value FROM r{k})")
-    return out + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(1, depth + 1))
+        parts.append(f"b{k} AS (SELECT * FROM {both.replace('@F', frontier)} x WHERE NOT EXISTS (SELECT 1 FROM k{k - 1} k WHERE k.kind = x.kind AND k.value = x.value) QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY {order}) = 1), r{k} AS (SELECT kind, value, edge_type, {k}::INT AS depth, via, lineno FROM b{k} QUALIFY row_number() OVER (ORDER BY {order}, kind) <= {held}), k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT kind, value FROM r{k})")
+    whole = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(1, depth + 1))
+    return out + ", ".join(parts) + f", a AS ({whole}) SELECT *, (SELECT count(*) FROM a) >= 50 AS truncated FROM a"
 
 
-def _bfs(depth: int):
-    def run(s, d):
-        start = table(s, d, "pages").agg(F.min("url")).first()[0]
-        return graph.related(edges(s, d), start, "file", depth).drop("place")
+for _depth in (1, 2, 3):
+    # a supplier's nation; its region and the nation's other suppliers; the region's other nations
+    _add(f"bfs_depth{_depth}", _bfs_sql(PLACES, "places", "file", "s1", _depth))(lambda s, d, depth=_depth: graph.related(places(s, d), "s1", "file", depth).drop("place"))
 
-    return run
 
+@_add("bfs_capped", _bfs_sql(SALES, "sales", "file", "r1", 3))
+def _(s, d):
+    return graph.related(sales(s, d), "r1", "file", 3, repo="shop").drop("place")
 
-for _depth in (1, 2, 3):
-    _add(f"bfs_depth{_depth}", _bfs_sql(_depth))(_bfs(_depth))
+
+@_add("bfs_symbol", _bfs_sql(SALES, "sales", "symbol", "o1", 2))
+def _(s, d):
+    return graph.related(sales(s, d), "o1", "symbol", 2).drop("place")
 
 
 @_add("edge_dedup", f"WITH {EDGES} SELECT src, dst, edge_type, min(lineno)::INT AS lineno, count(*) AS n FROM edges GROUP BY src, dst, edge_type")
@@ -461,6 +548,76 @@ def _(s, d):
     return incremental.upsert(old, now).select("id", "content_hash", "state")
 
 
+@_add("upsert_kept", f"WITH {VERSIONS} SELECT coalesce(now.id, old.id) AS id, coalesce(now.content_hash, old.content_hash) AS content_hash, CASE WHEN now.id IS NULL OR old.content_hash = now.content_hash THEN 'old' ELSE 'new' END AS state FROM now FULL JOIN old ON now.id = old.id")
+def _(s, d):
+    now, old = _versions(s, d)
+    return incremental.upsert(old, now, keep=True).select("id", "content_hash", "state")
+
+
+# ------------------------------------------------------------------ indexing: documents as files, before and after
+
+def _file_events(s, d) -> DataFrame:
+    kind = F.when(F.col("id") % 7 == 0, "deleted").when(F.col("id") % 3 == 0, "modified").when(F.col("id") % 8 == 1, "created")
+    return chunks(s, d).select("id", "repo", "path", kind.alias("kind")).where("kind is not null")
+
+
+def _after(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every thirteenth modified file isn't there any more, every second one of the others has another last line."""
+    files = chunks(s, d)
+    before = store.cut(files.drop("id")).withColumn("vector", F.lit(None).cast("array<float>"))
+    code = F.when(F.col("id") % 2 == 0, F.concat("code", F.lit("\nand more"))).otherwise(F.col("code"))
+    there = files.withColumn("code", code).where(F.col("id") % 13 != 0).drop("id")
+    links = files.select("repo", F.lit("file").alias("src_kind"), F.col("path").alias("src"), F.lit("symbol").alias("dst_kind"), F.concat(F.lit("s"), "id").alias("dst"), F.lit("defines").alias("edge_type"), "path", F.lit(1).alias("lineno"))
+    return store.after_events(before, links, _file_events(s, d), there, HashEmbedder(8), 8)
+
+
+def _windows(name: str, source: str) -> str:
+    """The windows of a table of files, as tables whose names end in name."""
+    out = re.sub(r"\b(ls|fl|w|c|k)\b(?= AS \()", rf"\1_{name}", "ls AS" + WINDOWS.split("ls AS", 1)[1])
+    return re.sub(r"FROM (ls|fl|w|c|k)\b", rf"FROM \1_{name}", out).replace("FROM chunks", f"FROM {source}")
+
+
+CHANGED = f"""{CHUNKS}, ev AS (SELECT id, path, CASE WHEN id % 7 = 0 THEN 'deleted' WHEN id % 3 = 0 THEN 'modified' ELSE 'created' END AS kind FROM chunks WHERE id % 7 = 0 OR id % 3 = 0 OR id % 8 = 1),
+aft AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN code || chr(10) || 'and more' ELSE code END AS code) FROM chunks WHERE id % 13 <> 0),
+gone AS (SELECT path FROM ev WHERE kind = 'deleted' OR (path NOT IN (SELECT path FROM aft) AND {REASON} IS NULL)),
+kept AS (SELECT * FROM aft WHERE path IN (SELECT path FROM ev WHERE kind <> 'deleted') AND {REASON} IS NULL AND {USUAL} IS NULL),
+{_windows("old", "chunks")}, {_windows("new", "kept")},
+o AS (SELECT id, path, sha256(head || body) AS content_hash FROM k_old), n AS (SELECT id, path, sha256(head || body) AS content_hash FROM k_new),
+stay AS (SELECT * FROM o WHERE path NOT IN (SELECT path FROM gone) AND path NOT IN (SELECT path FROM n)),
+chg AS (SELECT DISTINCT coalesce(n.path, x.path) AS path FROM n FULL JOIN (SELECT * FROM o WHERE path IN (SELECT path FROM n)) x ON n.id = x.id WHERE n.content_hash IS DISTINCT FROM x.content_hash)"""
+
+
+@_add("events_chunks", f"WITH {CHANGED} SELECT id, path, content_hash FROM stay UNION ALL SELECT id, path, content_hash FROM n")
+def _(s, d):
+    return _after(s, d)[0].select("id", "path", "content_hash")
+
+
+# no definitions are found in prose, so changed files lose their edges
+@_add("events_edges", f"WITH {CHANGED} SELECT path, 's' || id AS dst FROM chunks WHERE path NOT IN (SELECT path FROM gone) AND path NOT IN (SELECT path FROM chg)")
+def _(s, d):
+    return _after(s, d)[1].select("path", "dst")
+
+
+@_add("events_touched", f"WITH {CHANGED} SELECT DISTINCT path, true AS deleted FROM gone WHERE path IN (SELECT path FROM o) UNION ALL SELECT path, false FROM chg")
+def _(s, d):
+    return _after(s, d)[2].select("path", "deleted")
+
+
+@_add("chunk_metadata", f"WITH {WINDOWS}, m AS (SELECT c_custkey AS id, c_name AS last_author, 'sha' || c_custkey AS commit_sha FROM customer) SELECT k.id, coalesce(m.commit_sha, '') AS commit_sha, m.last_author FROM k JOIN chunks x ON x.path = k.path LEFT JOIN m ON m.id = x.id")
+def _(s, d):
+    files = chunks(s, d)
+    known = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("sha"), "c_custkey").alias("commit_sha"), F.col("c_name").alias("last_author"), F.lit(None).cast("timestamp").alias("last_modified"))
+    return store.cut(files.drop("id"), files.select("id", "path").join(known, "id").drop("id")).select("id", "commit_sha", "last_author")
+
+
+@_add("event_moves", "WITH m AS (SELECT event_id AS seq, 'f' || user_id AS path, CASE WHEN event_type = 'signup' THEN 'moved' WHEN event_type = 'error' THEN 'deleted' ELSE 'modified' END AS kind, 'f' || (user_id + 1) AS moved_to FROM events), x AS (SELECT path, CASE WHEN kind = 'moved' THEN 'deleted' ELSE kind END AS kind, seq * 2 AS seq FROM m UNION ALL SELECT moved_to, 'created', seq * 2 + 1 FROM m WHERE kind = 'moved'), g AS (SELECT path, arg_max(kind, seq) AS l, arg_min(kind, seq) AS f, bool_or(kind = 'deleted') AS x, count(*) AS n FROM x GROUP BY path) SELECT path, CASE WHEN l = 'deleted' THEN 'deleted' WHEN x THEN 'modified' ELSE f END AS kind, n AS n_events FROM g")
+def _(s, d):
+    e = table(s, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "moved").when(F.col("event_type") == "error", "deleted").otherwise("modified")
+    own = e.select(F.lit("r").alias("repo"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), "ts", F.col("event_id").alias("seq"), F.concat(F.lit("f"), (F.col("user_id") + 1).cast("string")).alias("moved_to"))
+    return streams.coalesce(streams.split_moves(own), ("path",))
+
+
 @_add("event_coalesce", f"WITH {FILE_EVENTS}, g AS (SELECT repo, path, arg_max(kind, seq) AS l, arg_min(kind, seq) AS f, bool_or(kind = 'deleted') AS x, count(*) AS n FROM ev GROUP BY repo, path) SELECT repo, path, CASE WHEN l = 'deleted' THEN 'deleted' WHEN x THEN 'modified' ELSE f END AS kind, n AS n_events FROM g")
 def _(s, d):
     return streams.coalesce(streams.split_moves(file_events(s, d)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from datetime import date, datetime, timedelta, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +30,13 @@ def append(folder: str, tool: str, args: dict, latency_ms: float, paths=(), chun
     return ident
 
 
-def read(spark: SparkSession, folder: str, days: int = 7, today: date | None = None) -> DataFrame:
-    """Calls of the last days: only those days' files are opened. Lines and times that can't be read are left out; a time without a zone is UTC."""
-    today = today or datetime.now(timezone.utc).date()
-    wanted = [f"{folder}/queries-{today - timedelta(days=k)}.jsonl" for k in range(days + 1)]
-    there = [p for p in wanted if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
-    if not there:
-        rows = spark.createDataFrame([], SCHEMA)
-    else:
-        rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(there)
-    at = F.expr("try_to_timestamp(ts)")
-    since = datetime.combine(today, datetime.max.time(), timezone.utc) - timedelta(days=days + 1)
-    return rows.withColumn("at", at).where(F.col("at") >= F.lit(since)).withColumn("query", F.col("args.query")).drop("bad")
+def read(spark: SparkSession, folder: str, days: int = 7, now: datetime | None = None) -> DataFrame:
+    """Calls since so many days before now: only files of that day and later are opened. Lines and times that can't be read are left out; a time without a zone is UTC."""
+    since = (now or datetime.now(timezone.utc)) - timedelta(days=days)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/queries-*.jsonl")
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []
+    first = f"queries-{since:%Y-%m-%d}"
+    wanted = sorted(str(f.getPath()) for f in found if f.getPath().getName().removesuffix(".jsonl") >= first)
+    rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(wanted) if wanted else spark.createDataFrame([], SCHEMA)
+    return rows.withColumn("at", F.expr("try_to_timestamp(ts)")).where(F.col("at") >= F.lit(since)).withColumn("query", F.col("args.query")).drop("bad")

@@ -8,7 +8,7 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -25,47 +25,88 @@ def listing(root: str) -> Iterator[str]:
                 yield os.path.relpath(path, root)
 
 
-def scan(spark: SparkSession, repo: str, root: str, prefix: str = "") -> DataFrame:
-    """(repo, path, language, code) of a repository on a file system that driver and executors share. Bytes that aren't UTF-8 are dropped, line ends made one."""
-    paths = spark.createDataFrame([(p,) for p in listing(root) if p.startswith(prefix)], "path string")
+def scan(spark: SparkSession, repo: str, root: str, prefix: str = "", paths: DataFrame | None = None) -> DataFrame:
+    """(repo, path, language, code, size, mtime, error) of a repository on a file system that driver and executors share.
+
+    Bytes that aren't UTF-8 are dropped, line ends made one. A file that can't be looked at or read has an error instead
+    of code. paths (path) in place of a listing: those that aren't there any more are left out.
+    """
+    listed = paths is None
+    paths = spark.createDataFrame([(p,) for p in listing(root) if p.startswith(prefix)], "path string") if listed else paths.select("path")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:
-            texts = []
+            rows = []
             for path in own["path"]:
+                code = size = mtime = error = None
                 try:
+                    found = os.stat(os.path.join(root, path))
+                    size, mtime = found.st_size, found.st_mtime
                     with open(os.path.join(root, path), "rb") as file:
-                        texts.append(file.read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
-                except OSError:
-                    texts.append(None)
-            yield pd.DataFrame({"path": own["path"], "code": texts})
+                        code = file.read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
+                except FileNotFoundError as e:
+                    if not listed:
+                        continue
+                    error = f"stat_error:{e.strerror}"
+                except OSError as e:
+                    error = f"{'stat_error' if size is None else 'read_error'}:{e.strerror}"
+                rows.append((path, code, size, mtime, error))
+            yield pd.DataFrame(rows, columns=["path", "code", "size", "mtime", "error"]).astype({"size": "Int64", "mtime": "float64"})
+
+    found = paths.mapInPandas(read, "path string, code string, size long, mtime double, error string")
+    return found.select(F.lit(repo).alias("repo"), "path", T.language_of(F.col("path")).alias("language"), "code", "size", F.timestamp_millis((F.col("mtime") * 1000).cast("long")).alias("mtime"), "error")
+
 
-    found = paths.mapInPandas(read, "path string, code string")
-    return found.select(F.lit(repo).alias("repo"), "path", T.language_of(F.col("path")).alias("language"), "code")
+def _escape(text: str) -> str:
+    """Literal text in a pattern, for Python's engine and Java's."""
+    return re.sub(r"([^\w\s/])", r"\\\1", text)
 
 
 class Ignore:
-    """Patterns of .gitignore files; those of nested files are anchored to their folder. The last one that fits decides."""
+    """Patterns of ignore files, by folder; those of nested files are anchored to their folder. The last one that fits decides."""
 
     def __init__(self, files: dict[str, str]):
-        self.rules: list[tuple[re.Pattern, bool]] = []
+        self.rules: list[tuple[str, bool]] = []
         for folder, content in sorted(files.items()):
             for line in content.splitlines():
-                line = line.rstrip()
+                line = re.sub(r"(?<!\\)\s+$", "", line)
                 if not line or line.startswith("#"):
                     continue
                 keep = line.startswith("!")
-                line = line[1:] if keep else line
-                whole = f"{folder}/{line.lstrip('/')}" if folder else line
-                self.rules.append((self._pattern(whole), keep))
+                self.rules.append((self._pattern(folder, line[1:] if keep else line), keep))
+
+    @classmethod
+    def globs(cls, patterns: list[str]) -> Ignore:
+        return cls({"": "\n".join(patterns)})
 
     @staticmethod
-    def _pattern(rule: str) -> re.Pattern:
-        only_dir, anchored = rule.endswith("/"), "/" in rule.rstrip("/")
-        wild = {"*": "[^/]*", "?": "[^/]"}
-        pieces = [".*" if part == "**" else "".join(wild.get(c) or re.escape(c) for c in part) for part in rule.strip("/").split("/")]
-        body = "/".join(pieces).replace(".*/", "(?:.*/)?")
-        return re.compile(("" if anchored else "(?:.*/)?") + body + ("/.*" if only_dir else "(?:/.*)?") + r"\Z")
+    def _pattern(folder: str, rule: str) -> str:
+        """A rule as a pattern of whole paths."""
+        only_dir = rule.endswith("/")
+        body = rule.rstrip("/")
+        anchored = bool(folder) or "/" in body
+        parts = []
+        for part in body.strip("/").split("/"):
+            if part == "**":
+                parts.append(None)
+                continue
+            out = ""
+            for m in re.finditer(r"\\(.)|(\*+)|(\?)|\[([!^]?)(\]?[^\]]*)\]|(.)", part):
+                literal, stars, one, negated, members, other = m.groups()
+                if members is not None:
+                    out += "[" + ("^/" if negated else "") + re.sub(r"([\\\[\]&^])", r"\\\1", members) + "]"
+                else:
+                    out += "[^/]*" if stars else "[^/]" if one else _escape(literal or other)
+            parts.append(out)
+        found = ""
+        for k, part in enumerate(parts):
+            last = k == len(parts) - 1
+            if part is None:
+                found += ".*" if last else "(?:.*/)?"
+            else:
+                found += part + ("" if last else "/")
+        start = f"{_escape(folder)}/" if folder else ""
+        return f"^{start}{'' if anchored else '(?:.*/)?'}{found}{'/.*' if only_dir else '(?:/.*)?'}$"
 
     @classmethod
     def load(cls, root: str) -> Ignore:
@@ -79,34 +120,29 @@ class Ignore:
         return cls(files)
 
     def __call__(self, path: str) -> bool:
-        found = False
-        for pattern, keep in self.rules:
-            if pattern.match(path):
-                found = not keep
-        return found
-
-    def column(self, path):
-        rules = self
+        return next((not keep for pattern, keep in reversed(self.rules) if re.search(pattern, path)), False)
 
-        @F.pandas_udf("boolean")
-        def run(paths: pd.Series) -> pd.Series:
-            return paths.map(rules)
-
-        return run(path)
+    def column(self, path: Column) -> Column:
+        """The same in the JVM."""
+        found = F.lit(False)
+        for pattern, keep in self.rules:  # later rules stand before earlier ones
+            found = F.when(path.rlike(pattern), F.lit(not keep)).otherwise(found)
+        return found
 
 
 def git_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(path, commit_sha, last_author, last_modified) of each file's last commit, from one pass over the history; no rows without one."""
     schema = "path string, commit_sha string, last_author string, last_modified timestamp"
-    try:
-        log = subprocess.run(["git", "-C", root, "log", "--format=%x01%H|%ae|%ct", "--name-only"], capture_output=True, text=True, timeout=600, check=True).stdout
+    try:  # names end with a null byte, so that none is quoted
+        log = subprocess.run(["git", "-C", root, "log", "-z", "--format=%x01%H|%ae|%ct", "--name-only"], capture_output=True, timeout=600, check=True).stdout.decode("utf-8", "surrogateescape")
     except (OSError, subprocess.SubprocessError):
         return spark.createDataFrame([], schema)
     seen: dict[str, tuple] = {}
     for commit in log.split("\x01")[1:]:
-        head, *names = commit.strip().split("\n")
-        sha, author, at = head.split("|")
-        for name in filter(None, names):
-            seen.setdefault(name, (name, sha, author, int(at)))
-    rows = spark.createDataFrame(list(seen.values()), "path string, commit_sha string, last_author string, at long")
+        head, *names = commit.split("\0")
+        sha, author, at = head.strip().split("|")
+        for name in (n.lstrip("\n") for n in names):
+            if name:
+                seen.setdefault(name, (name, sha, author, int(at)))
+    rows = spark.createDataFrame([r for r in seen.values() if r[0].isprintable()], "path string, commit_sha string, last_author string, at long")
     return rows.select("path", "commit_sha", "last_author", F.timestamp_seconds("at").alias("last_modified"))

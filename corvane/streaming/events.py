@@ -24,12 +24,24 @@ def coalesce(events: DataFrame, keys: tuple[str, ...] = ("repo", "path")) -> Dat
     return grouped.select(*keys, kind.alias("kind"), "n_events")
 
 
-def bursts(events: DataFrame, gap_seconds: float = 1.0, key: str = "repo") -> DataFrame:
-    """events with burst: a number that rises whenever nothing came for the gap, for each key."""
-    order = Window.partitionBy(key).orderBy("ts", "seq")
-    since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))) / 1e6
-    starts = F.when(since.isNull() | (since >= gap_seconds), 1).otherwise(0)
-    return events.withColumn("_starts", starts).withColumn("burst", F.sum("_starts").over(order)).drop("_starts")
+def bursts(events: DataFrame, gap_seconds: float = 1.0, key: str = "repo", slot_seconds: int = 3600) -> DataFrame:
+    """events with burst: a number that rises whenever nothing came for the gap, for each key.
+
+    Each key's events are sorted by slots of time, so that a busy key isn't one task's; what a slot begins with comes
+    from a table with a row for each key and slot: the last time before it, and the bursts so far.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = events.withColumns({"_at": micros, "_slot": F.floor(micros / F.lit(int(slot_seconds * 1e6)))})
+    slots = own.groupBy(key, "_slot").agg(F.max("_at").alias("_last"))
+    slots = slots.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_slot"))).drop("_last")
+    own = own.join(slots, [key, "_slot"])
+    order = Window.partitionBy(key, "_slot").orderBy("_at", "seq")
+    since = (F.col("_at") - F.coalesce(F.lag("_at").over(order), F.col("_before"))) / 1e6
+    own = own.withColumn("_starts", F.when(since.isNull() | (since >= gap_seconds), 1).otherwise(0))
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(key, "_slot").agg(F.sum("_starts").alias("_n")).withColumn("_so_far", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    own = own.join(sums, [key, "_slot"]).withColumn("burst", F.col("_so_far") + F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.drop("_at", "_slot", "_before", "_starts", "_so_far")
 
 
 def bursts_stream(events: DataFrame, gap: str = "1 second", late: str = "10 seconds") -> DataFrame:
