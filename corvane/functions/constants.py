@@ -22,7 +22,7 @@ MAX_BYTES, MAX_LINES, HEAD_BYTES = 102_400, 5_000, 1024
 SECRETS_LOG = "secrets_warn.log"
 #: Parts of a word in camel case.
 CAMEL = r"([A-Z][a-z]+|[A-Z]+(?=[A-Z]|$))"
-CHUNK_LINES, CHUNK_OVERLAP = 40, 5
+CHUNK_LINES, CHUNK_OVERLAP, CHUNK_CHARS = 40, 5, 2000
 TOP_K, RRF_K, FUSED, FINAL, MAX_PER_FILE = 20, 60, 20, 5, 2
 CONTEXT_LINES, CONTEXT_MAX = 30, 300
 RANGE_MAX_LINES, RANGE_MAX_BYTES = 300, 10 << 20

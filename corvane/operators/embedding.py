@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,6 +36,25 @@ class HashEmbedder:
         return [x / length for x in out] if length else out
 
 
+class Lazy:
+    """A model that is loaded by load() when it is first asked something, once for each process; warm_up() does it ahead of time."""
+
+    def __init__(self, load: Callable[[], Embedder]):
+        self.load, self._model, self._lock = load, None, threading.Lock()
+
+    def warm_up(self) -> Embedder:
+        with self._lock:  # two threads don't load it both
+            if self._model is None:
+                self._model = self.load()
+            return self._model
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return (self._model or self.warm_up())(texts)
+
+    def __reduce__(self):
+        return Lazy, (self.load,)  # sent without what was loaded
+
+
 def checked(vectors: list[list[float]], texts: int, dimension: int | None) -> list[list[float]]:
     """The vectors, if there are as many as texts and all have the dimension; ValueError else."""
     if len(vectors) != texts:
@@ -58,3 +78,20 @@ def embedded(text: Column, model: Embedder, dimension: int | None = C.EMBEDDING_
             yield pd.Series(out, index=texts.index, dtype=object)
 
     return run(text)
+
+
+def model_reranker(model: Callable[[str, list[str]], list[float]], batch: int = C.FUSED) -> Callable[[str, Column], Column]:
+    """What a search takes as its reranker, from a model that scores a list of texts for a query."""
+
+    def rerank(query: str, text: Column) -> Column:
+        @F.pandas_udf("double")
+        def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in series:
+                own, out = texts.fillna("").tolist(), []
+                for a in range(0, len(own), batch):
+                    out += [float(x) for x in model(query, own[a : a + batch])]
+                yield pd.Series(out, index=texts.index)
+
+        return run(text)
+
+    return rerank

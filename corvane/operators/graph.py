@@ -19,7 +19,7 @@ PRIORITY = {"imports": 0, "defines": 1, "references": 2}
 OTHER_PRIORITY = 9
 REVERSED = {"imports": "imported_by", "defines": "defined_in", "references": "referenced_by"}
 
-#: What starts a definition in languages without a parser here: approximate, and ends are unknown.
+#: What starts a definition in languages without a parser here: approximate.
 DEFINITIONS = {
     "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|interface|enum|type)\s+([A-Za-z_$][\w$]*)",
     "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class)\s+([A-Za-z_$][\w$]*)",
@@ -30,8 +30,41 @@ DEFINITIONS = {
 }
 
 
+#: Texts in quotes and comments, in which braces mean nothing.
+_QUOTED = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/", re.S)
+
+
+def _brace_ends(code: str, starts: list[int]) -> list[int]:
+    """The last line of what begins on each of the lines: where the first brace from there on closes; the line itself if a statement ends before."""
+    plain = _QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    lines, out = plain.split("\n"), []
+    for start in starts:
+        depth, end = 0, start
+        for number in range(start, len(lines) + 1):
+            for c in re.findall(r"[{};]", lines[number - 1]):
+                depth += (c == "{") - (c == "}")
+                if depth <= 0:
+                    end = number
+                    break
+            else:
+                continue
+            break
+        out.append(end)
+    return out
+
+
+def _word_ends(code: str, starts: list[int]) -> list[int]:
+    """The same for blocks that close with the word end, indented as they begin."""
+    lines, out = code.split("\n"), []
+    for start in starts:
+        indent = re.match(r"\s*", lines[start - 1])[0]
+        closes = re.compile(rf"{indent}end\b")
+        out.append(next((n for n in range(start + 1, len(lines) + 1) if closes.match(lines[n - 1])), start))
+    return out
+
+
 def symbols_of(code: str, language: str | None) -> list[tuple[str, int, int]]:
-    """(name, first line, last line) of each definition, in order of lines; none if the code can't be parsed."""
+    """(name, first line, last line) of each definition, in order of lines; by patterns where there's no parser, or it fails."""
     if language == "python":
         try:
             tree = ast.parse(code)
@@ -43,7 +76,9 @@ def symbols_of(code: str, language: str | None) -> list[tuple[str, int, int]]:
     if language not in DEFINITIONS:
         return []
     found = re.compile(DEFINITIONS[language])
-    return [(m[1], i, i) for i, line in enumerate(code.split("\n"), 1) if (m := found.match(line))]
+    named = [(m[1], i) for i, line in enumerate(code.split("\n"), 1) if (m := found.match(line))]
+    ends = (_word_ends if language == "ruby" else _brace_ends)(code, [i for _, i in named])
+    return [(name, i, end) for (name, i), end in zip(named, ends)]
 
 
 def _imports(path: str, node: ast.AST) -> Iterator[tuple[str, str]]:

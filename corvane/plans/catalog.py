@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from ..operators import chunking, evaluate, graph, hygiene, incremental, lines, retrieval, stats, store
-from ..operators.embedding import HashEmbedder
+from ..operators.embedding import HashEmbedder, embedded, model_reranker
+from ..sources.repository import Ignore
 from ..streaming import events as streams
 
 EXTENSIONS = [".py", ".ts", ".go", ".md", ".yaml", ".lock", ".png", ".sh"]
@@ -229,6 +230,53 @@ def _(s, d):
     return hygiene.filter_files(with_key(chunks(s, d)))[1]
 
 
+RULES = ["*.png", "src3/", "!src3/lib/", "/src1*/config/", "doc_[12]*.md", "src5/**/doc_*0.go"]
+IGNORED = "CASE WHEN regexp_matches(path, '^src5/(.*/)?doc_[^/]*0[.]go(/.*)?$') THEN true WHEN regexp_matches(path, '(^|/)doc_[12][^/]*[.]md(/.*)?$') THEN true WHEN regexp_matches(path, '^src1[^/]*/config/.*$') THEN true WHEN regexp_matches(path, '^src3/lib/.*$') THEN false WHEN regexp_matches(path, '(^|/)src3/.*$') THEN true WHEN regexp_matches(path, '(^|/)[^/]*[.]png(/.*)?$') THEN true ELSE false END"
+
+
+@_add("ignore_rules", f"WITH {CHUNKS} SELECT id, {IGNORED} AS ignored FROM chunks")
+def _(s, d):
+    return chunks(s, d).select("id", Ignore.globs(RULES).column(F.col("path")).alias("ignored"))
+
+
+@_add("hygiene_settings", f"WITH {CHUNKS}, {KEYED} SELECT id, CASE WHEN {REASON.replace(_sql_list(C.EXCLUDED_DIRS), _sql_list([*C.EXCLUDED_DIRS, 'config']))} IS NOT NULL THEN {REASON.replace(_sql_list(C.EXCLUDED_DIRS), _sql_list([*C.EXCLUDED_DIRS, 'config']))[:-4]} END WHEN {IGNORED} THEN 'extra_glob' ELSE {CONTENT.replace('@B', '3000').replace('@L', '9').replace(f" WHEN {SECRET} IS NOT NULL THEN 'secret_detected'", '')} END AS reason FROM keyed")
+def _(s, d):
+    rules = hygiene.Rules.of({"extra_exclude_dirs": ["config"], "extra_exclude_globs": RULES, "max_file_bytes": 3000, "max_file_lines": 9, "secret_scan": False})
+    return store.prepared(with_key(chunks(s, d)), "", rules)[1].select("id", "reason")
+
+
+@_add("secret_warnings", f"WITH {CHUNKS}, {KEYED} SELECT path FROM keyed WHERE {REASON} IS NULL AND {USUAL} = 'secret_detected'")
+def _(s, d):
+    return hygiene.secret_hits(hygiene.judged(with_key(chunks(s, d)))).select("path")
+
+
+@_add("sample_prefix", f"WITH {CHUNKS} SELECT path FROM chunks WHERE starts_with(path, 'src1') AND {REASON} IS NULL AND {USUAL} IS NULL")
+def _(s, d):
+    return store.prepared(chunks(s, d).where(F.col("path").startswith("src1")))[0].select("path")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(t.count("e")), 1.0] for t in texts]
+
+
+@_add("embed_batches", "SELECT doc_id AS id, length(text)::BIGINT AS a, (length(text) - length(replace(text, 'e', '')))::BIGINT AS b FROM documents")
+def _(s, d):
+    own = chunks(s, d).select("id", embedded(F.col("code"), _letters, 3).alias("v"))
+    return own.select("id", F.col("v")[0].cast("long").alias("a"), F.col("v")[1].cast("long").alias("b"))
+
+
+@_add("reindexed_chunks", f"WITH now AS (SELECT doc_id AS id, sha256(text) AS content_hash, length(text)::BIGINT AS size FROM documents WHERE doc_id % 5 <> 0), old AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 7 <> 0) SELECT now.id, now.content_hash, CASE WHEN old.content_hash = now.content_hash THEN 'old' ELSE 'new' END AS state, CASE WHEN old.content_hash = now.content_hash THEN -1 ELSE now.size END AS embedded FROM now LEFT JOIN old USING (id)")
+def _(s, d):
+    """Unchanged chunks keep their vectors (of -1), others are embedded."""
+    docs = table(s, d, "documents")
+    blank = {n: F.lit(None).cast(k) for n, k in (c.split() for c in store.CHUNKS.split(", "))}
+    row = lambda state, code, vector: [(F.col("doc_id").cast("string") if n == "id" else code if n == "code" else F.sha2(code, 256) if n == "content_hash" else F.lit(state) if n == "symbol" else vector if n == "vector" else v).alias(n) for n, v in blank.items()]
+    old = docs.where("doc_id % 7 <> 0").select(*row("old", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), F.array(F.lit(-1.0).cast("float"))))
+    now = docs.where("doc_id % 5 <> 0").select(*row("new", F.col("text"), F.lit(None).cast("array<float>"))).drop("vector")
+    found = store.reindexed(old, now, lambda texts: [[float(len(t))] for t in texts], 1)
+    return found.select(F.col("id").cast("long").alias("id"), "content_hash", F.col("symbol").alias("state"), F.col("vector")[0].cast("long").alias("embedded"))
+
+
 @_add("secret_scan", f"WITH {CHUNKS}, {KEYED} SELECT id, {SECRET} AS pattern FROM keyed WHERE {SECRET} IS NOT NULL")
 def _(s, d):
     return with_key(chunks(s, d)).select("id", hygiene.secret_pattern(F.col("code")).alias("pattern")).where("pattern is not null")
@@ -350,11 +398,21 @@ def _(s, d):
     return found.select("id", "path", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@_add("hybrid_debug_stages", f"WITH {SEARCH}{LISTS}{FUSED} SELECT 'vector' AS stage, id, vector_rank AS place, round(score, 5) AS score FROM vr UNION ALL SELECT 'lexical', id, lexical_rank, round(score, 5) FROM lr UNION ALL SELECT 'fused', id, position, round(rrf, 5) FROM fused")
+STAGES = "SELECT 'vector' AS stage, id, vector_rank AS place, round(score, 5) AS score FROM vr UNION ALL SELECT 'lexical', id, lexical_rank, round(score, 5) FROM lr UNION ALL SELECT 'fused', id, position, round(rrf, 5) FROM fused"
+
+
+@_add("hybrid_debug_stages", f"WITH {SEARCH}{LISTS}{FUSED} {STAGES} UNION ALL SELECT 'final', id, position, round(rrf, 5) FROM fused JOIN chunks USING (id) WHERE position <= 5")
 def _(s, d):
     found = _search(s, d)
-    take = lambda name, place, score: found[name].select(F.lit(name).alias("stage"), "id", F.col(place).cast("long").alias("place"), F.round(score, 5).alias("score"))
-    return take("vector", "rank", "score").union(take("lexical", "rank", "score")).union(take("fused", "position", "rrf"))
+    return _stages(found, vector=("rank", "score"), lexical=("rank", "score"), fused=("position", "rrf"), final=("place", "score"))
+
+
+def _stages(found: dict[str, DataFrame], **columns) -> DataFrame:
+    out = None
+    for name, (place, score) in columns.items():
+        own = found[name].select(F.lit(name).alias("stage"), "id", F.col(place).cast("long").alias("place"), F.round(score, 5).alias("score"))
+        out = own if out is None else out.union(own)
+    return out
 
 
 LANG = f"WITH {SEARCH}{LISTS}, lf AS (SELECT l.id, score, row_number() OVER (ORDER BY score DESC, l.id) AS lexical_rank FROM l JOIN chunks USING (id) WHERE @), vf AS (SELECT v.id, score, row_number() OVER (ORDER BY score DESC, v.id) AS vector_rank FROM v JOIN chunks USING (id) WHERE @), fu AS (SELECT coalesce(vf.id, lf.id) AS id, vector_rank, lexical_rank, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS rrf FROM vf FULL JOIN lf ON vf.id = lf.id) SELECT id, round(rrf, 9) AS rrf FROM fu"
@@ -416,6 +474,29 @@ def _(s, d):
     return retrieval.diversify(_reranked(s, d), 3).where("place is not null").select("id", F.col("place").cast("long").alias("place"), "guarded")
 
 
+# all of a repository is one path here, so that some are passed over, and a model looks at letters only
+PICKY = f"WITH {SEARCH}{LISTS}{FUSED}, sc AS (SELECT f.id, c.path, position, rrf, ((length(code) - length(replace(code, 'e', '')))::DOUBLE / (length(code) + 1)) AS score FROM fused f JOIN (SELECT * REPLACE ('src' || id % 4 AS path) FROM chunks) c ON f.id = c.id)"
+
+
+@_add("debug_rerank_stages", f"{PICKY}, z AS (SELECT *, row_number() OVER (ORDER BY round(score, 3) DESC, position) AS rank, row_number() OVER (PARTITION BY path ORDER BY round(score, 3) DESC, position) AS nth FROM sc), p AS (SELECT *, row_number() OVER (ORDER BY rank) AS place FROM z WHERE nth <= 2 QUALIFY place <= 5), h AS (SELECT bool_or(position = 1) AS has, count(*) AS n, max(rank) AS until FROM p) SELECT 'rerank' AS stage, id, rank AS place, round(score, 5) AS score FROM z UNION ALL SELECT 'dropped', id, rank, NULL FROM z, h WHERE nth > 2 AND (n < 5 OR rank < until) UNION ALL SELECT 'guard', z.id, least(n, 4) + 1, NULL FROM z, h WHERE NOT has AND position = 1 UNION ALL SELECT 'final', id, place, round(score, 5) FROM p, h WHERE has OR place < 5 UNION ALL SELECT 'final', z.id, least(n, 4) + 1, round(rrf, 5) FROM z, h WHERE NOT has AND position = 1")
+def _(s, d):
+    text, vector = question(s, d)
+    own = chunks(s, d).withColumn("path", F.concat(F.lit("src"), F.col("id") % 4))
+    letters = model_reranker(lambda query, texts: [t.count("e") / (len(t) + 1) for t in texts])
+    found = retrieval.hybrid(own, *_stored(s, d), vectors(s, d), text, vector, rerank=letters)
+    found["dropped"], found["guard"] = (found[n].withColumn("score", F.lit(None).cast("double")) for n in ("dropped", "guard"))
+    return _stages(found, rerank=("rank", "score"), dropped=("rank", "score"), guard=("place", "score"), final=("place", "score"))
+
+
+@_add("present_hits", f"WITH {SEARCH}{LISTS}{FUSED}, h AS (SELECT c.*, position, (id % 400 + 1)::INT AS s, (id % 400 + 30)::INT AS e FROM fused JOIN chunks c USING (id) WHERE position <= 5), r AS (SELECT *, {ROLE} AS role FROM h) SELECT id, position AS place, role AS file_role, role = 'test' AS is_test, role = 'docs' AS is_doc, role = 'config' AS is_config, greatest(1, s - 30) AS first_line, (e + 30)::INT AS last_line, '{C.TRUST}' AS context_trust FROM r")
+def _(s, d):
+    found = _search(s, d)
+    own = found["candidates"].withColumns({"lineno_start": (F.col("id") % 400 + 1).cast("int"), "lineno_end": (F.col("id") % 400 + 30).cast("int"), "symbol": F.lit(None).cast("string"), "language": T.language_of(F.col("path"))})
+    hits = retrieval.present(found["final"], own)
+    spans = F.col("suggested_ranges")[0]
+    return hits.select("id", F.col("place").cast("long").alias("place"), "file_role", "is_test", "is_doc", "is_config", spans["lineno_start"].alias("first_line"), spans["lineno_end"].alias("last_line"), "context_trust")
+
+
 @_add("hybrid_reranked", f"{RERANKED}, n AS (SELECT *, row_number() OVER (PARTITION BY c.path ORDER BY round(score, 3) DESC, position) AS nth FROM sc JOIN chunks c USING (id)), p AS (SELECT *, row_number() OVER (ORDER BY round(score, 3) DESC, position) AS place FROM n WHERE nth <= 2 QUALIFY place <= 5), h AS (SELECT bool_or(position = 1) AS has, count(*) AS n FROM p) SELECT id, place, round(score, 6) AS score FROM p, h WHERE has OR place < 5 UNION ALL SELECT sc.id, least(n, 4) + 1, round(rrf, 6) FROM sc, h WHERE NOT has AND position = 1")
 def _(s, d):
     found = _search(s, d, rerank=retrieval.overlap_reranker)["final"]
@@ -434,6 +515,23 @@ def _(s, d):
     return lines.grep(chunks(s, d), r"^(?P<first>Licensed?) under .*[.]\Z", None, None)
 
 
+@_add("grep_limited", f"WITH {CHUNKS}, x AS (SELECT path, string_split(code, chr(10)) AS p FROM chunks), y AS (SELECT path, unnest(p) AS line, generate_subscripts(p, 1) AS lineno FROM x) SELECT path, lineno::INT AS lineno, line FROM y WHERE regexp_matches(line, '[Ll]icensed') ORDER BY path, lineno LIMIT 7")
+def _(s, d):
+    return lines.grep(chunks(s, d), "[Ll]icensed", limit=7)
+
+
+SPLIT = ["chr(10)", "chr(13) || chr(10)", "chr(11)", "chr(133)", "chr(8232)", "chr(28)"]
+
+
+@_add("split_lines", rf"WITH t AS (SELECT doc_id, replace(array_to_string(string_split(text, ' ')[1:40], ' '), ' ', [{', '.join(SPLIT)}][(doc_id % {len(SPLIT)})::INT + 1]) || CASE WHEN doc_id % 2 = 0 THEN [{', '.join(SPLIT)}][(doc_id % {len(SPLIT)})::INT + 1] ELSE '' END AS t FROM documents), l AS (SELECT doc_id, t, regexp_replace(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]', chr(1), 'g') AS u FROM t) SELECT doc_id, (length(u) - length(replace(u, chr(1), '')) + CASE WHEN u = '' OR ends_with(u, chr(1)) THEN 0 ELSE 1 END)::INT AS n_lines FROM l")
+def _(s, d):
+    between = F.get(F.array(*[F.lit(x) for x in ("\n", "\r\n", "\x0b", "\x85", "\u2028", "\x1c")]), (F.col("doc_id") % len(SPLIT)).cast("int"))
+    words = F.slice(F.split("text", " "), 1, 40)
+    joined = F.aggregate(F.slice(words, F.lit(2), F.lit(40)), F.get(words, F.lit(0)), lambda a, x: F.concat(a, F.col("b"), x))
+    own = table(s, d, "documents").withColumn("b", between).withColumn("t", F.concat(joined, F.when(F.col("doc_id") % 2 == 0, F.col("b")).otherwise(F.lit(""))))
+    return own.select("doc_id", F.size(T.lines(F.col("t"))).alias("n_lines"))
+
+
 @_add("file_range", f"WITH {CHUNKS}, {KEYED} SELECT path, CASE WHEN {SECRET} IS NULL THEN array_to_string(string_split(rtrim(code, chr(10)), chr(10))[2:4], chr(10)) END AS content, CASE WHEN {SECRET} IS NOT NULL THEN 'secret detected' END AS error FROM keyed")
 def _(s, d):
     return lines.line_range(with_key(chunks(s, d)), 2, 4).drop("context_trust")
@@ -475,6 +573,51 @@ def _(s, d):
     return graph.related(sales(s, d), "o1", "symbol", 2).drop("place")
 
 
+def _code_files(s, d) -> DataFrame:
+    """A file of Python code for each page: imports, a class with a method, calls; every eleventh doesn't parse."""
+    n = F.col("page_id").cast("string")
+    code = F.concat(F.lit("import lib.m"), (F.col("page_id") % 20).cast("string"), F.lit("\nfrom .near import thing\nfrom pkg import a, b\n\n\nclass C"), n, F.lit("(Base"), (F.col("page_id") % 3).cast("string"), F.lit("):\n    def run(self):\n        return call_"), (F.col("page_id") % 7).cast("string"), F.lit("(self.go(1))\n"), F.when(F.col("page_id") % 11 == 0, F.lit("def broken(:\n")).otherwise(F.lit("")))
+    return table(s, d, "pages").select("page_id", F.lit("r").alias("repo"), F.concat(F.lit("lib/m"), n, F.lit(".py")).alias("path"), F.lit("python").alias("language"), code.alias("code"))
+
+
+CODE = "f AS (SELECT page_id, 'lib/m' || page_id || '.py' AS path, page_id % 11 = 0 AS broken FROM pages)"
+
+
+@_add("code_symbols", f"WITH {CODE} SELECT path, 'C' || page_id AS name, 6 AS lineno_start, CASE WHEN broken THEN 6 ELSE 8 END AS lineno_end FROM f UNION ALL SELECT path, 'run', 7, CASE WHEN broken THEN 7 ELSE 8 END FROM f UNION ALL SELECT path, 'broken', 9, 9 FROM f WHERE broken")
+def _(s, d):
+    return lines.symbols(_code_files(s, d))
+
+
+@_add("code_edges", f"""WITH {CODE}, there AS (SELECT path FROM f), i AS (SELECT path, 'lib/m' || page_id % 20 || '.py' AS file, 'lib.m' || page_id % 20 AS module FROM f WHERE NOT broken)
+SELECT path, 'defines' AS edge_type, 'symbol' AS dst_kind, 'C' || page_id AS dst, 6 AS lineno FROM f UNION ALL SELECT path, 'defines', 'symbol', 'run', 7 FROM f UNION ALL SELECT path, 'defines', 'symbol', 'broken', 9 FROM f WHERE broken
+UNION ALL SELECT path, 'imports', CASE WHEN file IN (SELECT path FROM there) THEN 'file' ELSE 'external' END, CASE WHEN file IN (SELECT path FROM there) THEN file ELSE module END, 1 FROM i
+UNION ALL SELECT path, 'imports', 'external', 'near', 2 FROM f WHERE NOT broken UNION ALL SELECT path, 'imports', 'external', 'pkg', 3 FROM f WHERE NOT broken
+UNION ALL SELECT path, 'references', 'symbol', 'Base' || page_id % 3, 6 FROM f WHERE NOT broken UNION ALL SELECT path, 'references', 'symbol', 'call_' || page_id % 7, 8 FROM f WHERE NOT broken UNION ALL SELECT path, 'references', 'symbol', 'go', 8 FROM f WHERE NOT broken""")
+def _(s, d):
+    return graph.edges(_code_files(s, d)).select("path", "edge_type", "dst_kind", "dst", "lineno")
+
+
+@_add("chunk_signature", f"WITH {CODE} SELECT path, CASE WHEN broken THEN NULL ELSE 'C' || page_id END AS symbol, '# file: ' || path || chr(10) || '# language: python' || CASE WHEN broken THEN '' ELSE chr(10) || '# symbol: C' || page_id || chr(10) || '# signature: class C' || page_id || '(Base' || page_id % 3 || '):' END AS header FROM f")
+def _(s, d):
+    """Files without what stands before the class, so that it is around their only chunk."""
+    own = _code_files(s, d).withColumn("code", F.regexp_replace("code", r"(?s)^.*?\n\n\n", ""))
+    found = chunking.windows(graph.with_symbols(own))
+    return found.select("path", "symbol", F.regexp_extract("code", r"(?s)^((?:# [^\n]*\n)*# [^\n]*)\n", 1).alias("header"))
+
+
+@_add("edges_without_paths", f"WITH {EDGES}, p AS (SELECT DISTINCT path FROM edges WHERE lineno = 6) SELECT path, dst, lineno FROM edges WHERE path NOT IN (SELECT path FROM p)")
+def _(s, d):
+    own = edges(s, d)
+    return incremental.without_paths(own, own.where("lineno = 6")).select("path", "dst", "lineno")
+
+
+@_add("postings_without_paths", f"WITH {SEARCH}, gone AS (SELECT id FROM chunks WHERE path LIKE '%/docs/%'), p AS (SELECT id, unnest(terms) AS term FROM trm WHERE id NOT IN (SELECT id FROM gone)) SELECT term, count(DISTINCT id) AS n_docs FROM p GROUP BY term")
+def _(s, d):
+    index, _ = _stored(s, d)
+    gone = chunks(s, d).where(F.col("path").contains("/docs/"))
+    return incremental.stale(gone, index, "id").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 @_add("edge_dedup", f"WITH {EDGES} SELECT src, dst, edge_type, min(lineno)::INT AS lineno, count(*) AS n FROM edges GROUP BY src, dst, edge_type")
 def _(s, d):
     return edges(s, d).groupBy("src", "dst", "edge_type").agg(F.min("lineno").alias("lineno"), F.count(F.lit(1)).alias("n"))
@@ -516,6 +659,13 @@ def _(s, d):
     return stats.by_tool(log(s, d)).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
 
 
+@_add("stats_summary", f"WITH {LOG}, q AS (SELECT query, count(*) AS n, min(ts) AS t FROM log WHERE query IS NOT NULL GROUP BY query ORDER BY n DESC, t, query LIMIT 10) SELECT (SELECT count(*) FROM log) AS total_calls, (SELECT count(error) FROM log) AS errors, (SELECT count(DISTINCT tool) FROM log) AS n_tools, (SELECT string_agg(query || ':' || n, ',' ORDER BY n DESC, t, query) FROM q) AS top")
+def _(s, d):
+    own = stats.summary(log(s, d))
+    row = (own["total_calls"], own["errors"], len(own["by_tool"]), ",".join(f"{q}:{n}" for q, n in own["top_queries"]))
+    return s.createDataFrame([row], "total_calls long, errors long, n_tools long, top string")
+
+
 @_add("stats_top_queries", f"WITH {LOG} SELECT query, count(*) AS n FROM log WHERE query IS NOT NULL GROUP BY query ORDER BY n DESC, min(ts), query LIMIT 10")
 def _(s, d):
     return stats.top_queries(log(s, d))

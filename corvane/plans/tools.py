@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..operators import graph, hygiene, lines, retrieval, stats
+from ..operators import evaluate, graph, hygiene, lines, retrieval, stats
 from ..operators.embedding import Embedder, HashEmbedder
 from ..operators.store import Store, apply_events, index_repo
 from ..sources import query_log, repository
@@ -301,3 +301,17 @@ class Tools:
         changes = folders.watch(self.spark, repo, self._root(repo), f"{checkpoint.rstrip('/')}.listing")
         return streams.follow(changes, lambda batch, _: self.apply(repo, batch), checkpoint, interval)
 
+
+def compare_models(make: Callable[[str, Embedder], Tools], models: dict[str, Embedder], repo: str, questions: list[dict], folder: str, sample: str | None = None) -> list[dict]:
+    """Indexes a repository with each model, asks all questions, and writes the runs side by side; the first model is the baseline.
+
+    make(alias, model) gives tools over a store of the model's own.
+    """
+    results = []
+    for name, model in models.items():
+        alias = re.sub(r"[^A-Za-z0-9]+", "_", name.split("/")[-1])
+        tools = make(alias, model)
+        tools.index(repo, sample)
+        results.append({"model": name, "alias": alias, **evaluate.run(questions, lambda query, k, tools=tools: tools.search_code(query, repo, k))})
+    evaluate.write_comparison(folder, results)
+    return results

@@ -5,7 +5,8 @@ from __future__ import annotations
 import filecmp
 import os
 import shutil
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from ..functions import constants as C
 from . import settings
@@ -49,3 +50,29 @@ def take(source: str, target: str, most_bytes: int | None = None, repo: str | No
     if repo and config:
         settings.register(config, repo, target)
     return {"copied": copied, "removed": sorted(removed)}
+
+
+def follow(source: str, act: Callable[[], object], quiet: float = 2.0, every: float = 0.5, go_on: Callable[[], bool] = lambda: True) -> int:
+    """Calls act whenever something wanted of source has changed and nothing more has for `quiet` seconds, as long as go_on; gives how often."""
+
+    def look() -> dict[str, tuple[int, int]]:
+        found = {}
+        for path in wanted(source):
+            try:
+                own = os.stat(os.path.join(source, path))
+            except FileNotFoundError:
+                continue
+            found[path] = (own.st_mtime_ns, own.st_size)
+        return found
+
+    done = seen = look()
+    since, times = time.monotonic(), 0
+    while go_on():
+        now = look()
+        if now != seen:
+            seen, since = now, time.monotonic()
+        elif now != done and time.monotonic() - since >= quiet:
+            act()
+            done, times = now, times + 1
+        time.sleep(every)
+    return times

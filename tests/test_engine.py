@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import chunking, embedding, evaluate, graph, hygiene, incremental, lines, retrieval, stats, store
 from corvane.plans import catalog, policy
-from corvane.plans.tools import Tools
+from corvane.plans.tools import Tools, compare_models
 from corvane.sources import query_log, repository, settings, snapshot
 from corvane.sources.repository import Ignore
 from corvane.streaming import events, folder
@@ -222,6 +222,16 @@ def test_embedder_checks(spark):
         texts.select(embedding.embedded(F.col("code"), embedding.HashEmbedder(8), 16)).collect()
 
 
+def test_a_model_is_loaded_once():
+    import pickle
+    from functools import partial
+
+    loaded = []
+    model = embedding.Lazy(lambda: loaded.append(1) or embedding.HashEmbedder(4))
+    assert not loaded and model(["a"]) == model(["a"]) and loaded == [1]
+    assert pickle.loads(pickle.dumps(embedding.Lazy(partial(embedding.HashEmbedder, 4))))(["a"]) == model(["a"])
+
+
 FILES = {
     "app.py": "from lib import util\n\n\nclass Runner:\n    def start_engine(self):\n        return util.spin_wheel()\n",
     "lib/__init__.py": "", "lib/util.py": "def spin_wheel():\n    return 'wheel'\n", "lib/notes.md": "notes", "web/é.ts": "export function draw() {}\n",
@@ -387,6 +397,75 @@ def test_settings_questions_and_snapshots(spark, tmp_path):
     assert [r["name"] for r in settings.load(config)["repos"]] == ["a", "b"]
 
 
+def test_a_source_is_followed(tmp_path):
+    source = tmp_path / "src"
+    source.mkdir()
+    (source / "a.py").write_text("1")
+    looks, acted = iter(range(40)), []
+
+    def go_on():
+        n = next(looks, None)
+        if n in (3, 5, 6):
+            (source / f"new{n}.py").write_text("x")
+        if n == 25:
+            (source / "x.log").write_text("left out")
+        return n is not None
+
+    assert snapshot.follow(str(source), lambda: acted.append(len(list(snapshot.wanted(str(source))))), 0.1, 0.02, go_on) == 1 and acted == [4]
+
+
+def test_definitions_with_ends():
+    go = 'package p\n\nfunc (t *T) Get() string {\n\tif x { return "}" } // }\n\treturn y\n}\n\nfunc two() {}\n'
+    assert graph.symbols_of(go, "go") == [("Get", 3, 6), ("two", 8, 8)]
+    ts = "export interface A {\n  b: string;\n}\nexport type B = string;\nclass C {\n  run() {\n  }\n}\n"
+    assert graph.symbols_of(ts, "typescript") == [("A", 1, 3), ("B", 4, 4), ("C", 5, 8)]
+    ruby = "class A\n  def b?\n    if x\n    end\n  end\nend\n"
+    assert graph.symbols_of(ruby, "ruby") == [("A", 1, 6), ("b?", 2, 5)]
+    assert graph.symbols_of("def broken(:\n", "python") == [("broken", 1, 1)] and graph.symbols_of("x", "cobol") == []
+
+
+def test_chunks_of_statements(spark):
+    body = "".join(f"    y{i} = {i} * 2\n" for i in range(30))
+    code = f"import os\nimport re\n\n\n@deco\ndef long():\n{body}\n\ndef short():\n    return 1\n\n\nz = 3\n"
+    spans = chunking.statements(code, 200)
+    lines_ = code.split("\n")
+    covered = [n for a, b in spans for n in range(a, b + 1)]
+    assert len(covered) == len(set(covered)) and {n for n, x in enumerate(lines_, 1) if x.strip()} <= set(covered)
+    assert all(sum(len(x) + 1 for x in lines_[a - 1 : b]) <= 200 for a, b in spans) and spans[0] == (1, 2)
+    files = spark.createDataFrame([("r", "a.py", "python", code), ("r", "b.py", "python", "def (:\n"), ("r", "c.go", "go", "package x\n")], "repo string, path string, language string, code string")
+    got = chunking.by_statements(files, 200).collect()
+    assert {(r["lineno_start"], r["lineno_end"]) for r in got if r["path"] == "a.py"} == set(spans) and {r["path"] for r in got} == {"a.py", "b.py", "c.go"}
+    assert len({r["id"] for r in got}) == len(got) and all(r["code"].startswith("# file: ") for r in got)
+
+
+def test_models_side_by_side(spark, tools, tmp_path):
+    made = []
+
+    def make(alias, model):
+        made.append(alias)
+        return Tools(spark, tools.settings, store.Store(spark, str(tmp_path / alias)), tools.log_folder, model, environment_repo="shop")
+
+    asked = [{"id": 1, "query": "spin_wheel", "expected_paths": ["lib/util.py"]}]
+    found = compare_models(make, {"own/first": embedding.HashEmbedder(16), "second": lambda texts: [[1.0] * 16 for _ in texts]}, "shop", asked, str(tmp_path / "results"))
+    assert made == ["first", "second"] and [r["recall_hits"] for r in found] == [1, 1] and len(os.listdir(tmp_path / "results")) == 1
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from corvane.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("def only_one():\n    pass\n")
+    config = str(tmp_path / "config.json")
+    settings.save(config, {"repos": [], "embedding": {"dimension": 16}, "storage": {"path": str(tmp_path / "store")}})
+    assert main(["--config", config, "snapshot", "own", str(tmp_path / "src"), str(tmp_path / "snap")]) == 0
+    assert main(["--config", config, "index", "--repo", "nobody"]) == 1 and main(["--config", config, "index"]) == 0
+    assert '"chunks": 1' in capsys.readouterr().out
+    settings.save(str(tmp_path / "qa.json"), [{"id": 1, "query": "only_one", "expected_paths": ["a.py"]}])
+    assert main(["--config", config, "evaluate", str(tmp_path / "qa.json"), "--repo", "own"]) == 0
+    assert len(os.listdir(tmp_path / "results")) == 2
+
+
 def test_evaluation(tmp_path):
     asked = [{"id": "1", "query": "a", "expected_paths": ["x.py"]}, {"id": "2", "query": "b", "expected_symbols": ["S"]}, {"id": "3", "query": "fail"}, {"id": "4", "query": "c", "expected_paths": ["none"]}]
 
