@@ -60,28 +60,29 @@ def bm25(index: DataFrame, whole: DataFrame, phrases: list[list[str]], k: int |
     """(id, score) of the best k documents that have a phrase. index: postings; whole: totals, of one row or more.
 
     Only the rows of the query's terms are read. N, document counts and lengths are those of the whole table, whatever the
-    scope; a term that is repeated counts as often. The rows of a document meet by its id, with as many terms as the query has.
+    scope; a term that is repeated counts as often. A single term's row says how often a document has it; only the rows
+    of phrases of several terms meet by document first.
     """
     if not phrases:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    distinct = sorted(dict.fromkeys(tuple(p) for p in phrases), key=len)
-    times = [float(sum(tuple(q) == p for q in phrases)) for p in distinct]
-    wanted = sorted({t for p in distinct for t in p})
-    rows = index.where(F.col("term").isin(wanted))
-    scoped = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
-    found = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_places"), F.first("length").alias("length"), F.max(scoped).alias("_in"))
-    found = T.once(found, "f", F.array(*[_occurrences(p) for p in distinct])).drop("_places")
-    found = found.where(F.exists("f", lambda x: x > 0))
-    sums = whole.agg(F.sum("docs").alias("n"), F.sum("terms").alias("terms"))
-    each = found.agg(*[F.count_if(F.col("f")[i] > 0).alias(f"df{i}") for i in range(len(distinct))]).crossJoin(F.broadcast(sums))  # one row
-    weights = []
-    for i, t in enumerate(times):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        weights.append(F.when(idf <= 0, F.lit(C.LEAST_IDF)).otherwise(idf) * t)
-    each = each.select((F.col("terms") / F.col("n")).alias("mean"), F.array(*weights).alias("weights"))
+    times = {p: float(sum(tuple(q) == p for q in phrases)) for p in dict.fromkeys(map(tuple, phrases))}
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    single, longer = [p[0] for p in times if len(p) == 1], [p for p in times if len(p) > 1]
+    found = index.where(F.col("term").isin(single)).select("id", F.col("term").alias("phrase"), F.size("places").alias("f"), "length", inside.alias("_in"))
+    if longer:
+        rows = index.where(F.col("term").isin(sorted({t for p in longer for t in p})))
+        each = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_places"), F.first("length").alias("length"), F.max(inside).alias("_in"))
+        counts = F.array(*[F.struct(F.lit(" ".join(p)).alias("phrase"), _occurrences(p).alias("f")) for p in longer])
+        each = each.select("id", "length", "_in", F.inline(counts)).where("f > 0").select("id", "phrase", "f", "length", "_in")
+        found = each if not single else found.union(each)
+    sums = whole.agg(F.sum("docs").alias("n"), F.sum("terms").alias("terms"))  # one row
+    counted = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sums))  # a row for each phrase
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    often = F.create_map(*[F.lit(x) for p, t in times.items() for x in (" ".join(p), t)])
+    weights = counted.select("phrase", (F.when(idf <= 0, F.lit(C.LEAST_IDF)).otherwise(idf) * often[F.col("phrase")]).alias("weight"), (F.col("terms") / F.col("n")).alias("mean"))
     norm = C.K1 * (1 - C.B + C.B * F.col("length") / F.col("mean"))
-    scores = F.zip_with("f", "weights", lambda x, w: w * (x * (C.K1 + 1)) / (x + norm))
-    scored = found.where("_in").crossJoin(F.broadcast(each)).select("id", F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("score"))
+    parts = found.where("_in").join(F.broadcast(weights), "phrase").select("id", (F.col("weight") * (F.col("f") * (C.K1 + 1)) / (F.col("f") + norm)).alias("part"))
+    scored = parts.groupBy("id").agg(F.sum("part").alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
 
