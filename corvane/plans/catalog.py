@@ -380,15 +380,15 @@ def _(s, d):
     return found.select("id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.round("rrf", 9).alias("rrf"), F.col("position").cast("long").alias("position"))
 
 
-# both lists are of the same forty ids, so most are in both
-SHARED = "p AS (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 40), vr AS (SELECT id, row_number() OVER (ORDER BY (id * 7 % 41)::DOUBLE DESC, id) AS vector_rank FROM p QUALIFY vector_rank <= 20), lr AS (SELECT id, row_number() OVER (ORDER BY (id * 11 % 13)::DOUBLE DESC, id) AS lexical_rank FROM p QUALIFY lexical_rank <= 20)"
+# both lists have the longest documents, so most are in both
+SHARED = "vr AS (SELECT doc_id AS id, row_number() OVER (ORDER BY length(text)::DOUBLE DESC, doc_id) AS vector_rank FROM documents QUALIFY vector_rank <= 20), lr AS (SELECT doc_id AS id, row_number() OVER (ORDER BY (length(text) * (10 + doc_id % 7))::DOUBLE DESC, doc_id) AS lexical_rank FROM documents QUALIFY lexical_rank <= 20)"
 
 
 @_add("rrf_shared_ids", f"WITH {SHARED}{FUSED} SELECT id, vector_rank, lexical_rank, round(rrf, 9) AS rrf, position FROM fused")
 def _(s, d):
-    pool = table(s, d, "documents").select(F.col("doc_id").alias("id")).orderBy("id").limit(40)
-    take = lambda score: retrieval.ranked(pool.select("id", score.cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(20))
-    found = retrieval.fuse(take(F.col("id") * 7 % 41), take(F.col("id") * 11 % 13))
+    size = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
+    take = lambda score: retrieval.ranked(size.select("id", score.cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(20))
+    found = retrieval.fuse(take(F.col("n")), take(F.col("n") * (10 + F.col("id") % 7)))
     return found.select("id", *[F.col(n).cast("long").alias(n) for n in ("vector_rank", "lexical_rank", "position")], F.round("rrf", 9).alias("rrf"))
 
 
