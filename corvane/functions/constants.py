@@ -35,6 +35,8 @@ TRUST = "untrusted_repository_content"
 MARKED, PLAIN = "àâäáçéèêëíïîñóöôúüùû", "aaaaceeeeiiinooouuuu"
 EMBEDDING_DIM, EMBEDDING_BATCH = 384, 32
 SCRUB_LENGTH = 500
+#: What a symbol's name looks like, characters that a file's name may not have, and the day in the name of a log.
+SYMBOL, UNSAFE, LOG_DAY = r"[A-Za-z_][A-Za-z0-9_.]*", r"[^A-Za-z0-9._-]", r"queries-(\d{4}-\d{2}-\d{2})\.jsonl$"
 #: How a file's role is told from its path, in this order: names, name starts, name ends, folders and suffixes.
 TEST_DIRS = ["tests", "test", "__tests__", "spec"]
 TEST_ENDS = ["_test.py", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx"]

@@ -158,3 +158,38 @@ def scrub(value, most: int = C.SCRUB_LENGTH):
 
 def scrubbed(text: Column, most: int = C.SCRUB_LENGTH) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("...[truncated]"))).otherwise(text)
+
+
+def target_kind(target: Column) -> Column:
+    """What is asked about: path, symbol, or null if it can be neither."""
+    return F.when(target.contains("/") | target.startswith("."), "path").when(target.rlike(f"^{C.SYMBOL}$"), "symbol")
+
+
+def range_error(start: Column, end: Column, most: int = C.RANGE_MAX_LINES) -> Column:
+    """What is wrong with a range of lines, null if nothing is."""
+    return F.when(start < 1, "start must be 1 or more").when(end < start, "end is before start").when(end - start + 1 > most, f"more than {most} lines")
+
+
+def safe_name(name: Column) -> Column:
+    """A name that can be a file's."""
+    return F.regexp_replace(name, C.UNSAFE, "_")
+
+
+def commit_line(line: Column) -> Column:
+    """commit_sha, last_author and last_modified of a line 'sha|author|seconds'; null for lines of another form."""
+    parts = F.split(line, r"\|")
+    at = F.timestamp_seconds(F.get(parts, F.lit(2)).try_cast("long"))
+    return F.when((F.size(parts) == 3) & at.isNotNull(), F.struct(parts[0].alias("commit_sha"), parts[1].alias("last_author"), at.alias("last_modified")))
+
+
+def log_day(path: Column) -> Column:
+    """The day that a log's name says, null if it is no log's."""
+    return F.to_date(F.nullif(F.regexp_extract(path, C.LOG_DAY, 1), F.lit("")))
+
+
+def since(value: Column, now: Column) -> Column:
+    """parse_since() as an expression: a number of days, hours or minutes before now, a date or a time, as a timestamp."""
+    number = F.regexp_extract(value, r"^\s*(\d+)[dhm]\s*$", 1)
+    unit = F.regexp_extract(value, r"([dhm])\s*$", 1)
+    seconds = number.cast("long") * F.when(unit == "d", 86_400).when(unit == "h", 3_600).otherwise(60)
+    return F.when(number != "", F.timestamp_seconds(F.unix_micros(now) / 1e6 - seconds)).otherwise(F.try_to_timestamp(F.trim(value)))

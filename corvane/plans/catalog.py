@@ -314,6 +314,44 @@ def _(s, d):
     return pages.select("page_id", chunking.enclosing(made, 10 + page % 50, 20 + page % 50).alias("name"))
 
 
+@_add("target_kinds", f"WITH {CHUNKS}, t AS (SELECT id, CASE id % 4 WHEN 0 THEN path WHEN 1 THEN 'name_' || id || '.x' WHEN 2 THEN '.' || id ELSE id || ' a' END AS t FROM chunks) SELECT id, CASE WHEN contains(t, '/') OR starts_with(t, '.') THEN 'path' WHEN regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_.]*') THEN 'symbol' END AS kind FROM t")
+def _(s, d):
+    n = F.col("id").cast("string")
+    asked = F.when(F.col("id") % 4 == 0, F.col("path")).when(F.col("id") % 4 == 1, F.concat(F.lit("name_"), n, F.lit(".x"))).when(F.col("id") % 4 == 2, F.concat(F.lit("."), n)).otherwise(F.concat(n, F.lit(" a")))
+    return chunks(s, d).select("id", T.target_kind(asked).alias("kind"))
+
+
+@_add("range_errors", "WITH r AS (SELECT o_orderkey, (o_orderkey % 50 - 2)::INT AS a, (o_orderkey % 50 - 2 + o_orderkey % 400 - 3)::INT AS b FROM orders) SELECT o_orderkey, CASE WHEN a < 1 THEN 'start must be 1 or more' WHEN b < a THEN 'end is before start' WHEN b - a + 1 > 300 THEN 'more than 300 lines' END AS error FROM r")
+def _(s, d):
+    start = (F.col("o_orderkey") % 50 - 2).cast("int")
+    return table(s, d, "orders").select("o_orderkey", T.range_error(start, (start + F.col("o_orderkey") % 400 - 3).cast("int")).alias("error"))
+
+
+@_add("lock_names", f"WITH {CHUNKS} SELECT id, regexp_replace(path || ' é:' || id, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM chunks")
+def _(s, d):
+    return chunks(s, d).select("id", T.safe_name(F.concat("path", F.lit(" é:"), F.col("id").cast("string"))).alias("name"))
+
+
+@_add("commit_lines", "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN 'sha' || c_custkey END AS commit_sha, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS last_author, CASE WHEN c_custkey % 9 <> 0 THEN 1700000000 + c_custkey END AS at FROM customer")
+def _(s, d):
+    last = F.when(F.col("c_custkey") % 9 == 0, F.lit("never")).otherwise((F.col("c_custkey") + 1_700_000_000).cast("string"))
+    own = table(s, d, "customer").select("c_custkey", T.commit_line(F.concat(F.lit("sha"), "c_custkey", F.lit("|"), "c_name", F.lit("|"), last)).alias("c"))
+    return own.select("c_custkey", "c.commit_sha", "c.last_author", F.unix_seconds("c.last_modified").alias("at"))
+
+
+@_add("log_days", "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN ts::DATE END AS day FROM events")
+def _(s, d):
+    name = F.concat(F.lit("logs/queries-"), F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 10 == 0, ".json").otherwise(".jsonl"))
+    return table(s, d, "events").select("event_id", T.log_day(name).alias("day"))
+
+
+@_add("since_values", "WITH v AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'd' WHEN 1 THEN 'h' WHEN 2 THEN 'm' END AS u, o_orderkey % 90 AS n, o_orderdate FROM orders) SELECT k, CASE WHEN u IS NOT NULL THEN 1717243200 - n * CASE u WHEN 'd' THEN 86400 WHEN 'h' THEN 3600 ELSE 60 END WHEN k % 5 = 3 THEN epoch(o_orderdate::DATE::TIMESTAMP)::BIGINT END AS at FROM v")
+def _(s, d):
+    n, key = (F.col("o_orderkey") % 90).cast("string"), F.col("o_orderkey")
+    value = F.when(key % 5 == 0, F.concat(n, F.lit("d"))).when(key % 5 == 1, F.concat(F.lit(" "), n, F.lit("h"))).when(key % 5 == 2, F.concat(n, F.lit("m"))).when(key % 5 == 3, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.lit("soon"))
+    return table(s, d, "orders").select(key.alias("k"), F.unix_seconds(T.since(value, F.timestamp_seconds(F.lit(1_717_243_200)))).alias("at"))
+
+
 _QUERY = "concat('parse_', o_orderpriority, ' get', o_orderstatus, 'Name', o_orderkey, ' HTTPServer foo_Bar Foo x', lower(o_orderstatus), '__y')"
 
 

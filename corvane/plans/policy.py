@@ -47,11 +47,11 @@ def target_kind(target: str) -> str | None:
     """path, symbol, or None if it can be neither."""
     if "/" in target or target.startswith("."):
         return "path"
-    return "symbol" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", target) else None
+    return "symbol" if re.fullmatch(C.SYMBOL, target) else None
 
 
 def lock_path(folder: str, repo: str) -> str:
-    return os.path.join(folder, re.sub(r"[^A-Za-z0-9._-]", "_", repo) + ".lock")
+    return os.path.join(folder, re.sub(C.UNSAFE, "_", repo) + ".lock")
 
 
 @contextlib.contextmanager
