@@ -30,8 +30,8 @@ from . import common
 from .components import connected
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-#: How many points a shard has at most, how many it should have where there are few, and points of a sample for each shard.
-MOST, SHARD, EACH = 500_000, 20_000, 24
+#: How many points a shard has at most, how many it should have if there are as many shards as partitions or fewer, and points of a sample for each shard.
+MOST, SHARD, EACH = 500_000, (4_000, 20_000), 24
 #: Points of all samples of a round together, at least and at most (16 MB on the driver).
 LEAST_SAMPLE, SAMPLE = 20_000, 2_000_000
 #: Points that are compared all with all, and steps of parting below which a leaf isn't worth another.
@@ -187,7 +187,7 @@ def _sampled(routed: DataFrame, leaves: DataFrame, total: int, shards: dict[int,
 def edges(points: DataFrame) -> DataFrame:
     """Edges (a, b: fingerprints as longs) that link the same groups as all pairs of neighbours among points (fp: long, distinct).
 
-    To the driver come samples of SAMPLE points a round at most, and a row for each leaf (a MOST-th of the points, or SHARDs
+    To the driver come samples of SAMPLE points a round at most, and a row for each leaf (a MOST-th of the points, or more
     as long as there are no more of them than shuffle partitions).
     """
     spark = points.sparkSession
@@ -197,7 +197,7 @@ def edges(points: DataFrame) -> DataFrame:
     while sizes:
         # leaves to part, and how many shards each should give
         total = sum(sizes.values())
-        size = size or max(MOST // 2, 1) if total > parts * SHARD else SHARD
+        size = size or (max(MOST // 2, 1) if total > parts * SHARD[1] else max(SHARD[0], -(-total // parts)))
         shards = {leaf: max(1, round(n / size)) for leaf, n in sizes.items()}
         leaves = spark.createDataFrame([(leaf,) for leaf in sizes], "leaf long")
         trees = spark.sparkContext.broadcast(_sampled(routed, leaves, total, shards))

@@ -158,7 +158,7 @@ def plain_fingerprint(text):
 
 @pytest.mark.parametrize("shard,most", [(8, 12), (20_000, 500_000), (40, 3)])
 def test_simhash_groups(docs, rows, empty, monkeypatch, shard, most):
-    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "SHARD", (shard, 10 * shard))
     monkeypatch.setattr(simhash, "MOST", most)
     monkeypatch.setattr(simhash, "LEAST_SAMPLE", 20)
     monkeypatch.setattr(simhash, "FEW", 4)
@@ -255,6 +255,33 @@ def test_language_model(docs, rows, empty):
     assert ngram_lm.score(own.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_of_any_order(spark, rows, order):
+    """The recursion itself, against the automaton's chains of failure arcs."""
+    rows = [r for r in rows if r[1] is not None][:30]
+    held = {r[0]: r[0] % 4 == 1 for r in rows}
+    docs = spark.createDataFrame([(r[0], held[r[0]], r[1]) for r in rows], "doc_id long, held_out boolean, text string").repartition(3)
+    seqs = [(r[0], ["<s>", *(r[1] or "").encode().lower().split(), None]) for r in rows]
+    count = Counter()
+    for i, seq in seqs:
+        if not held[i]:
+            for n in range(1, order + 1):
+                count.update(tuple(seq[k : k + n]) for k in range(len(seq) - n + 1))
+    words = {g: c for g, c in count.items() if len(g) == 1 and g != ("<s>",)}
+    n, v = sum(words.values()), len(words)
+
+    def p(context, word):
+        if not context:
+            return (words.get((word,), 0) + 1) / (n + v + 1)
+        total, lower = count[context], p(context[1:], word)
+        return (count[*context, word] + 30 * lower) / (total + 30) if total else lower
+
+    for r in ngram_lm.score(docs, part_bytes=3000, order=order).collect():
+        seq = next(s for i, s in seqs if i == r["doc_id"])
+        expected = sum(np.log10(p(tuple(seq[max(0, k - order + 1) : k]), seq[k])) for k in range(1, len(seq)))
+        assert r["score"] == pytest.approx(expected, rel=1e-9)
+
+
 def test_languages(spark, empty):
     rng = random.Random(4)
     sounds = {"aa": ["ka", "mo", "ri"], "bb": ["schl", "ung", "eit"]}

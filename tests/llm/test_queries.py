@@ -236,9 +236,7 @@ def test_quality_query(spark, tables):
         for word in (text or "").encode().split():
             shape = knn_quality._runs.sub(rb"\1", word.translate(knn_quality._KINDS))
             both = (xxhash.xxh64_intdigest(word.lower(), 1) % knn_quality.BUCKETS, xxhash.xxh64_intdigest(b"\0" + shape, 1) % knn_quality.BUCKETS)
-            found.update(both)
-            if both == last:
-                found[knn_quality._REPEAT] += 1
+            found.update([knn_quality._REPEAT] if both == last else both)
             last = both
         return found
 
@@ -409,3 +407,27 @@ def test_a_long_text(spark, more, call):
         assert {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in got} == {1: 0, 2: 6, 3: 0}
     if call in ("bpe", "encode", "languages", "votes", "quality"):
         assert len(got) == 3
+
+
+# ------------------------------------------------------------------ on the supplied tables, where they are
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_held_out_languages(spark):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in rows_of(spark, "op6_language_id", SF) if r["held_out"] and langs[r["doc_id"]]]
+    right = sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) / len(held)
+    print(f"held-out languages right: {right:.4f} of {len(held)}")
+    assert right > 0.98
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_held_out_quality(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [(r["score"], labels[r["doc_id"]]) for r in rows_of(spark, "op10_knn_quality", SF) if r["held_out"] and r["doc_id"] in labels]
+    good, bad = [s for s, q in held if q], [s for s, q in held if not q]
+    area = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    print(f"area under the curve on held-out labels: {area:.4f} of {len(held)}")
+    assert area > 0.95
