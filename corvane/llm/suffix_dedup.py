@@ -447,7 +447,7 @@ def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
 def query(spark, sf_dir: str) -> DataFrame:
     """The query: what is left of every document, as counts and a digest."""
     found = remove(common.read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_removed", "n_spans", "n_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def oracle() -> str:
