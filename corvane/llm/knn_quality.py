@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-Features are words and word shapes (letters and digits by kind, runs drawn together), and whether a word repeats
-the one before it, hashed into a fixed number of buckets; their weights are logarithmic counts times the inverse
+Features are words and word shapes (letters and digits by kind, runs drawn together), and for a word that repeats
+the one before it only that it does, hashed into a fixed number of buckets; their weights are logarithmic counts times the inverse
 document frequency over all documents. The leading directions of a bounded sample of labelled documents make
 the latent space. The sample's vectors are broadcast; every document is compared with all of them in blocks, and
 its NEIGHBOURS nearest vote, each with its cosine. The score is the share of votes for label 1.
@@ -75,7 +75,8 @@ def counts(texts: list[bytes | None], features: Features) -> tuple[np.ndarray, n
         both = np.fromiter((features[w] for w in islice(words, len(own))), np.int64, len(own))
         again = (both == np.concatenate(([before[1]], both[:-1]))) & (own == np.concatenate(([before[0]], own[:-1])))
         before = (int(own[-1]), int(both[-1]))
-        keys = np.concatenate([own * BUCKETS + (both >> 32), own * BUCKETS + (both & 0xFFFFFFFF), own[again] * BUCKETS + _REPEAT])
+        new = ~again
+        keys = np.concatenate([own[new] * BUCKETS + (both[new] >> 32), own[new] * BUCKETS + (both[new] & 0xFFFFFFFF), own[again] * BUCKETS + _REPEAT])
         keys, n = np.unique(keys, return_counts=True)
         if len(found):
             keys, where = np.unique(np.concatenate((found, keys)), return_inverse=True)
