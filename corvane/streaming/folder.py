@@ -52,22 +52,34 @@ class _Reader(SimpleDataSourceStreamReader):
         except FileNotFoundError:
             return []
 
+    def _seen(self) -> dict[str, tuple] | None:
+        try:
+            with open(f"{self.state}.seen", encoding="utf-8") as file:
+                return {p: tuple(v) for p, v in json.load(file).items()}
+        except FileNotFoundError:
+            return None
+
+    def _see(self, now: dict) -> None:
+        with open(f"{self.state}.new", "w", encoding="utf-8") as file:
+            json.dump(now, file)
+        os.replace(f"{self.state}.new", f"{self.state}.seen")
+
     def initialOffset(self) -> dict:  # noqa: N802
-        with open(self.state, "a", encoding="utf-8") as file:
-            if not file.tell():
-                file.write(json.dumps({"listing": listing(self.root), "events": [], "at": time.time()}) + "\n")
-        return {"seen": 1}
+        if self._seen() is None:
+            self._see(listing(self.root))
+        return {"seen": len(self._log())}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        log = self._log()
-        if start["seen"] >= len(log):  # nothing is waiting: look again
+        count = len(self._log())
+        if start["seen"] >= count:  # nothing is waiting: look again
             now = listing(self.root)
-            found = differences({p: tuple(v) for p, v in log[-1]["listing"].items()}, now)
-            if found:
-                log.append({"listing": now, "events": found, "at": time.time()})
+            found = differences(self._seen() or {}, now)
+            if found:  # events first: after a failure in between they are seen again, not lost
                 with open(self.state, "a", encoding="utf-8") as file:
-                    file.write(json.dumps(log[-1]) + "\n")
-        return self.readBetweenOffsets(start, {"seen": len(log)}), {"seen": len(log)}
+                    file.write(json.dumps({"events": found, "at": time.time()}) + "\n")
+                self._see(now)
+                count += 1
+        return self.readBetweenOffsets(start, {"seen": count}), {"seen": count}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         from datetime import datetime, timezone
@@ -83,7 +95,7 @@ class _Reader(SimpleDataSourceStreamReader):
 
 
 class FolderEvents(DataSource):
-    """spark.readStream.format("folder_events").option("root", ...).option("repo", ...): looks are written to a state file, so a batch can be read again."""
+    """spark.readStream.format("folder_events").option("root", ...).option("repo", ...): events are written to a state file, so a batch can be read again, and beside it what was there last."""
 
     @classmethod
     def name(cls) -> str:
