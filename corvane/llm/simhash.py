@@ -30,8 +30,8 @@ from . import common
 from .components import connected
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-#: How many points a shard has at most, how many it should have if there are as many shards as partitions or fewer, and points of a sample for each shard.
-MOST, SHARD, EACH = 500_000, (4_000, 20_000), 24
+#: How many points a shard has at most, how many it should have as long as there are no more shards than partitions, and points of a sample for each shard.
+MOST, SHARD, EACH = 500_000, 20_000, 24
 #: Points of all samples of a round together, at least and at most (16 MB on the driver).
 LEAST_SAMPLE, SAMPLE = 20_000, 2_000_000
 #: Points that are compared all with all, and steps of parting below which a leaf isn't worth another.
@@ -197,7 +197,7 @@ def edges(points: DataFrame) -> DataFrame:
     while sizes:
         # leaves to part, and how many shards each should give
         total = sum(sizes.values())
-        size = size or (max(MOST // 2, 1) if total > parts * SHARD[1] else max(SHARD[0], -(-total // parts)))
+        size = size or (max(MOST // 2, 1) if total > parts * SHARD else SHARD)
         shards = {leaf: max(1, round(n / size)) for leaf, n in sizes.items()}
         leaves = spark.createDataFrame([(leaf,) for leaf in sizes], "leaf long")
         trees = spark.sparkContext.broadcast(_sampled(routed, leaves, total, shards))
@@ -237,7 +237,8 @@ def edges(points: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.groupBy("round", "leaf", "x", "y").applyInPandas(search, "a long, b long")
+    keys = ("round", "leaf", "x", "y")
+    return out.repartition(parts, *keys).groupBy(*keys).applyInPandas(search, "a long, b long")  # dealt out by number: shards are small but take long
 
 
 def _grouped(prints: DataFrame) -> DataFrame:
