@@ -158,7 +158,7 @@ def plain_fingerprint(text):
 
 @pytest.mark.parametrize("shard,most", [(8, 12), (20_000, 500_000), (40, 3)])
 def test_simhash_groups(docs, rows, empty, monkeypatch, shard, most):
-    monkeypatch.setattr(simhash, "SHARD", (shard, 10 * shard))
+    monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "MOST", most)
     monkeypatch.setattr(simhash, "LEAST_SAMPLE", 20)
     monkeypatch.setattr(simhash, "FEW", 4)
@@ -222,13 +222,44 @@ def test_components(spark):
 
 
 def test_licences(spark, empty):
-    mit = license_scan.TEMPLATES["mit"]
-    rows = [(1, f"words before\n{mit}\nand after"), (2, mit), (3, "nothing of the kind"), (4, None), (5, ""), (6, license_scan.TEMPLATES["mit-grant"].replace("free of charge", "gratis")), (2, mit)]
-    got = sorted((r["doc_id"], r["license"], r["dice"] == 1.0) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(1, "mit", True), (2, "mit", True), (2, "mit", True), (6, "mit-grant", False)]
+    known = license_scan.templates()
+    mit = known["mit-notice"]
+    rows = [(1, f"words before\n{mit}\nand after"), (2, mit), (3, "nothing of the kind"), (4, None), (5, ""), (6, known["isc"].replace("without fee", "gratis")), (2, mit), (7, "before it " + known["apache-2.0"] + " and after it")]
+    got = sorted((r["doc_id"], r["license"], r["dice"] == 1.0, r["start_word"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g for g in got if g[0] != 7] == [(1, "mit-notice", True, 2), (2, "mit-notice", True, 0), (2, "mit-notice", True, 0), (6, "isc", False, 0)]
+    assert (7, "apache-2.0", True, 2) in got
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licences_are_those_of_all_places():
+    rng = random.Random(11)
+    texts = {f"t{i}": words(rng, rng.randrange(2, 12), 6) for i in range(6)}
+    least = 0.6
+    scanner = license_scan.Scanner(texts, least)
+
+    def dice(a, b):
+        left, right = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
+        return 2.0 * sum((left & right).values()) / (sum(left.values()) + sum(right.values()))
+
+    found = 0
+    for _ in range(600):
+        own = words(rng, rng.randrange(2, 40), 6).split()
+        expected = []
+        for name, text in sorted(texts.items()):
+            other = text.split()
+            pairs, size = set(zip(other, other[1:])), len(other) - 1
+            places = [i for i in range(len(own) - 1) if (own[i], own[i + 1]) in pairs]
+            tried = [(dice(own[i : i + size + 1], other), -i, len(own[i : i + size + 1])) for i in places]
+            if places and least / (2 - least) * size <= len(own) - 1 <= (2 - least) / least * size:
+                tried.append((dice(own, other), -len(own), len(own)))
+            best = max(tried, default=(0.0, 0, 0))
+            if best[0] >= least:
+                expected.append((name, best[0], 0 if best[1] == -len(own) else -best[1], best[2]))
+        assert scanner.scan(" ".join(own).encode()) == expected
+        found += len(expected)
+    assert found > 100
+
+
 def test_language_model(docs, rows, empty):
     from pyspark.sql import functions as F
 
