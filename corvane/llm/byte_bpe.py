@@ -390,6 +390,13 @@ def _encoder(ranks: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
+def _release() -> None:
+    """At the end of a task: a worker that waits for another one holds neither vocabulary nor memory (half a second to make again)."""
+    _encoders.clear()
+    _made.clear()
+    common.trim()
+
+
 def _ids(texts: list[bytes | None], encoder: Encoder) -> pa.ListArray:
     found = encoder.encode_all([t.decode() if t else "" for t in texts])
     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
@@ -426,6 +433,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", outp
         encoder = _encoder(shared.value, pattern)
         for batch, texts in common.chunks(batches, len(names)):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _ids(texts, encoder)], [*names, output])
+        del encoder
+        _release()
 
     return docs.mapInArrow(run, schema)
 
@@ -457,6 +466,8 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text")
         for batch, texts in common.chunks(batches, len(names)):
             ids = _ids(texts, encoder)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, _bytes(ids, tokens)], [*names, "ids", "decoded"])
+        del encoder, tokens
+        _release()
 
     return docs.mapInArrow(run, schema)
 
