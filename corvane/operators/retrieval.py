@@ -44,6 +44,20 @@ def totals(docs: DataFrame, text: str = "code") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(T.terms(F.col(text)))), F.lit(0)).cast("long").alias("terms"))
 
 
+#: Places after the point that the order of a list goes by: sums of the same parts differ beyond, by the order in which tasks add them up.
+DIGITS = 9
+
+
+def rounded(score: Column, digits: int) -> Column:
+    """score to so many places as SQL engines round a double: the nearest whole multiple. (Spark rounds what is printed, so halves can differ.)"""
+    return F.round(score * 10.0**digits) / 10.0**digits
+
+
+def _best(scored: DataFrame, k: int | None) -> DataFrame:
+    """The best k of (id, score), scores to DIGITS places; of equal ones those of the smallest ids."""
+    return scored.withColumn("score", rounded(F.col("score"), DIGITS)).orderBy(F.desc("score"), "id").limit(k) if k else scored
+
+
 def _occurrences(phrase: tuple[str, ...]) -> Column:
     """How often a phrase's terms stand side by side, from the places of each (a map from term to places)."""
     def starts(k: int) -> Column:
@@ -57,7 +71,7 @@ def _occurrences(phrase: tuple[str, ...]) -> Column:
 
 
 def bm25(index: DataFrame, whole: DataFrame, phrases: list[list[str]], k: int | None = C.TOP_K, scope: Column | None = None) -> DataFrame:
-    """(id, score) of the best k documents that have a phrase. index: postings; whole: totals, of one row or more.
+    """(id, score) of the best k documents that have a phrase (all for None, with whole scores). index: postings; whole: totals, of one row or more.
 
     Only the rows of the query's terms are read. N, document counts and lengths are those of the whole table, whatever the
     scope; a term that is repeated counts as often. A single term's row says how often a document has it; only the rows
@@ -83,18 +97,18 @@ def bm25(index: DataFrame, whole: DataFrame, phrases: list[list[str]], k: int |
     norm = C.K1 * (1 - C.B + C.B * F.col("length") / F.col("mean"))
     parts = found.where("_in").join(F.broadcast(weights), "phrase").select("id", (F.col("weight") * (F.col("f") * (C.K1 + 1)) / (F.col("f") + norm)).alias("part"))
     scored = parts.groupBy("id").agg(F.sum("part").alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
+    return _best(scored, k)
 
 
 def cosine(vectors: DataFrame, query: list[float], k: int | None = C.TOP_K, id: str = "id", vector: str = "vector") -> DataFrame:
-    """(id, score) of the k vectors nearest to the query; null and empty vectors are left out."""
+    """(id, score) of the k vectors nearest to the query (all for None, with whole scores); null and empty vectors are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     norm = F.sqrt(F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     length = sum(float(x) ** 2 for x in query) ** 0.5
     known = vectors.where(F.size(F.coalesce(F.col(vector), F.array().cast("array<float>"))) > 0)
     scored = known.select(F.col(id).alias("id"), (dot / ((norm + 1e-9) * (length + 1e-9))).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
+    return _best(scored, k)
 
 
 def filters(lang: str | None = None, path_glob: str | None = None, since: datetime | None = None, author: str | None = None) -> Column:
@@ -140,7 +154,7 @@ def diversify(reranked: DataFrame, k: int, per_file: int = C.MAX_PER_FILE) -> Da
     The first k by score are, `per_file` of a path at most; the fused list's first is always among them, in the last
     place and with its fused score if need be. All in one row, as there are FUSED candidates at most.
     """
-    row = F.struct((-F.round("score", 3)).alias("order"), F.col("position"), F.col("id"), F.col("path"), F.col("score"), F.col("rrf"))
+    row = F.struct((-rounded(F.col("score"), 3)).alias("order"), F.col("position"), F.col("id"), F.col("path"), F.col("score"), F.col("rrf"))
     listed = reranked.agg(F.sort_array(F.collect_list(row)).alias("_all"))
     nth = F.transform("_all", lambda x, i: F.struct(x["id"].alias("id"), x["path"].alias("path"), x["score"].alias("score"), x["rrf"].alias("rrf"), x["position"].alias("position"), (i + 1).alias("rank"), F.size(F.filter(F.slice(F.col("_all"), F.lit(1), i + 1), lambda y: y["path"].eqNullSafe(x["path"]))).alias("nth")))
     listed = T.once(listed, "_nth", nth)

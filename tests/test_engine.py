@@ -59,6 +59,15 @@ def test_bm25_closed_form(spark):
     assert twice == {4: pytest.approx(2 * once[4])} and retrieval.bm25(index, whole, []).count() == 0
 
 
+def test_lists_take_scores_that_agree_in_nine_places_by_id(spark):
+    near = spark.createDataFrame([(1, [1.0, 1e-7]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, vector array<double>")
+    found = [(r["id"], r["score"]) for r in retrieval.cosine(near, [1.0, 0.0], 2).collect()]
+    assert found == [(1, found[0][1]), (2, found[0][1])]
+    index = spark.createDataFrame([("a", 1, [0], 1001), ("a", 2, [0], 1000), ("a", 3, [0], 9)], "term string, id long, places array<int>, length int")
+    whole = spark.createDataFrame([(3, 3000)], "docs long, terms long")
+    assert [r["id"] for r in retrieval.ranked(retrieval.bm25(index, whole, [["a"]], 3)).orderBy("rank").collect()] == [3, 1, 2]
+
+
 def test_diversity_and_guard(spark):
     rows = [(i, f"p{i % 2}" if i < 6 else "q", score, i + 1, 1 / (61 + i)) for i, score in enumerate([0.1, 0.9, 0.8, 0.7, 0.9, 0.9, 0.5])]
     df = spark.createDataFrame(rows, "id long, path string, score double, position int, rrf double")
