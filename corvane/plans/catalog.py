@@ -448,7 +448,7 @@ def _(s, d):
 def _stages(found: dict[str, DataFrame], **columns) -> DataFrame:
     out = None
     for name, (place, score) in columns.items():
-        own = found[name].select(F.lit(name).alias("stage"), "id", F.col(place).cast("long").alias("place"), F.round(score, 5).alias("score"))
+        own = found[name].select(F.lit(name).alias("stage"), "id", F.col(place).cast("long").alias("place"), retrieval.rounded(F.col(score), 5).alias("score"))
         out = own if out is None else out.union(own)
     return out
 

@@ -68,6 +68,19 @@ def test_lists_take_scores_that_agree_in_nine_places_by_id(spark):
     assert [r["id"] for r in retrieval.ranked(retrieval.bm25(index, whole, [["a"]], 3)).orderBy("rank").collect()] == [3, 1, 2]
 
 
+def test_stages_round_halves_as_sql_does(spark):
+    import duckdb
+
+    halves = [(398, 640), (388, 1280), (378, 640), (203, 400), (201, 400), (1, 64), (1, 80)]
+    values = [(i, a / n) for i, (a, n) in enumerate(halves)]
+    stage = spark.createDataFrame([(i, x, i) for i, x in values], "id long, score double, place int")
+    got = {r["id"]: r["score"] for r in catalog._stages({"final": stage}, final=("place", "score")).collect()}
+    assert got == {i: duckdb.connect().execute(f"SELECT round({x!r}::DOUBLE, 5)").fetchone()[0] for i, x in values}
+    # 0.5025 is 0.502 in SQL, as 0.502 is, so that positions decide
+    tied = spark.createDataFrame([(1, "a", 0.502, 1, 0.1), (2, "b", 201 / 400, 2, 0.1)], "id long, path string, score double, position int, rrf double")
+    assert {r["id"]: r["rank"] for r in retrieval.diversify(tied, 2).collect()} == {1: 1, 2: 2}
+
+
 def test_diversity_and_guard(spark):
     rows = [(i, f"p{i % 2}" if i < 6 else "q", score, i + 1, 1 / (61 + i)) for i, score in enumerate([0.1, 0.9, 0.8, 0.7, 0.9, 0.9, 0.5])]
     df = spark.createDataFrame(rows, "id long, path string, score double, position int, rrf double")
