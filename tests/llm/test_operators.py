@@ -493,6 +493,44 @@ def test_passage_among_pieces_of_it(spark):
     assert sum(r["end_word"] - r["start_word"] for r in got) == 80
 
 
+def test_passage_among_long_pieces_of_it(spark, monkeypatch):
+    """The pieces have the contexts of the passage's seeds, too, but none of its strings of LEAST words."""
+    rng = random.Random(22)
+    own = words(rng, 80, 10**6, "p").split()
+    text = lambda middle: " ".join([words(rng, rng.randrange(60), 10**6, "h"), *middle, words(rng, rng.randrange(60), 10**6, "t")])
+    rows = [(100, text(own)), (200, text(own)), (300, text(own[15:65]))]
+    for doc in (*range(1, 60), *range(101, 160), *range(201, 260)):
+        at = rng.randrange(36)
+        rows.append((doc, text(own[at : at + 45])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts, bits in ((1, 1 << 26), (5, 1 << 12)):
+        monkeypatch.setattr(passage_dedup, "FILTER_BITS", bits)
+        got = passage_dedup.passages(docs.repartition(parts)).collect()
+        assert {(r["doc_id"], r["other_id"]) for r in got} >= {(200, 100), (300, 100)}
+        assert {r["doc_id"] for r in got} | {r["other_id"] for r in got} == {100, 200, 300}
+        assert {r["end_word"] - r["start_word"] for r in got if r["doc_id"] == 200} == {80}
+
+
+def test_open_windows_are_those_without_two_rare_seeds():
+    rng = np.random.default_rng(3)
+    lengths = np.array([0, 3, 49, 50, 51, 300, 7, 200])
+    hashes = rng.integers(0, 1 << 63, int(lengths.sum())).astype(np.uint64)
+    text, at, *_ = passage_dedup.seeds_of(hashes, lengths)
+    for share in (0, 0.05, 0.2, 1):
+        rare = rng.random(len(at)) < share
+        got = set(passage_dedup.open_windows(hashes, lengths, 50, text, at, rare).tolist())
+        expected, start = set(), 0
+        for t, n in enumerate(lengths.tolist()):
+            own = at[rare & (text == t)].tolist()
+            for i in range(n - 49):
+                inside = [x for x in own if i <= x <= i + 45]
+                nexts = [next((y for y in own if y >= x + 5), None) for x in inside]
+                if not any(y in inside and y - x <= passage_dedup.STEP for x, y in zip(inside, nexts) if y is not None):
+                    expected.add(start + i)
+            start += n
+        assert got == expected
+
+
 def test_passages_of_all_pairs(spark):
     rng = random.Random(5)
     rows, where = [], []
