@@ -531,6 +531,28 @@ def test_open_windows_are_those_without_two_rare_seeds():
         assert got == expected
 
 
+def test_strings_that_a_better_chain_leaves(spark):
+    """A passage ends with words that another string of 50 words begins with; a chain is on its way through both."""
+    rng = random.Random(24)
+    rows = []
+    for k in range(12):
+        own, more = words(rng, 60, 10**6, "p").split(), words(rng, 40, 10**6, "q").split()
+        rows.append((2 * k, " ".join([*words(rng, 20, 10**6, "h").split(), *own, *more, words(rng, 20, 10**6, "t")])))
+        rows.append((2 * k + 1, " ".join([*words(rng, 20, 10**6, "h").split(), *own, *words(rng, 30, 10**6, "g").split(), *own[50:], *more, words(rng, 20, 10**6, "t")])))
+    got = [tuple(r) for r in passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    for k in range(12):
+        spans = [r[1:3] + r[4:6] for r in got if (r[0], r[3]) == (2 * k + 1, 2 * k)]
+        for a, b, c, d in ((20, 80, 20, 80), (110, 160, 70, 120)):
+            assert any(s <= a and b <= e and t <= c and d <= u for s, e, t, u in spans), (k, spans)
+    assert {(r[0], r[3]) for r in got} == {(2 * k + 1, 2 * k) for k in range(12)}
+
+
+def test_links_that_chains_have_no_use_for():
+    x, y = np.array([0, 4, 9, 40, 3, 30]), np.array([20, 24, 29, 60, 1, 51])
+    assert passage_dedup.strays(x, y, 50) == [[0, 1, 2]]  # the others are too far on, or of another diagonal
+    assert passage_dedup.strays(x[:2], y[:2], 50) == []
+
+
 def test_passages_of_all_pairs(spark):
     rng = random.Random(5)
     rows, where = [], []
