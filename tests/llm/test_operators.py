@@ -547,6 +547,22 @@ def test_strings_that_a_better_chain_leaves(spark):
     assert {(r[0], r[3]) for r in got} == {(2 * k + 1, 2 * k) for k in range(12)}
 
 
+def test_repeated_words_in_longer_and_shorter_runs(spark):
+    rng = random.Random(25)
+    rows = []
+    for k, line in enumerate(("run", "to and", "one two three four five six seven")):
+        own = [f"{w}{k}" for w in line.split()] * 400
+        rows += [(20 * k + j, " ".join([*words(rng, 20, 10**6, "h").split(), *own[:n], words(rng, 20, 10**6, "t")])) for j, n in enumerate((60, 333, 75, *[60] * 10))]
+    got = {}
+    for r in passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["doc_id"] // 20 == r["other_id"] // 20
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    for doc, text in rows:
+        if doc % 20:
+            assert got[doc] >= set(range(20, len(text.split()) - 20)), doc
+    assert len(got) == len(rows) - 3
+
+
 def test_links_that_chains_have_no_use_for():
     x, y = np.array([0, 4, 9, 40, 3, 30]), np.array([20, 24, 29, 60, 1, 51])
     assert passage_dedup.strays(x, y, 50) == [[0, 1, 2]]  # the others are too far on, or of another diagonal
